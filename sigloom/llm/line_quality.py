@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from sigloom.llm.common import slices, with_text
 
 #: Labelled documents that are fitted, at most; gradient steps; penalty on squared weights.
-FIT_DOCS, STEPS, PENALTY = 3_000, 120, 1e-3
+FIT_DOCS, STEPS, PENALTY = 2_000, 60, 1e-3
 #: Score from which a document is predicted good.
 GOOD_FROM = 0.7
 
@@ -90,39 +90,47 @@ class Field:
     shift: float = 0.0
 
 
-def chains(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Documents by falling number of lines: their order, each one's first line, and how many have a line at each step."""
+def chains(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines in the order of their place in the document, longer documents first, and where each place begins.
+
+    The documents with a line at a place are the first of those with one at the place before.
+    """
     n = np.array(lengths, np.int64)
     order = np.argsort(-n, kind="stable")
     first = np.concatenate([[0], np.cumsum(n)])[:-1]
-    falling = n[order]
-    steps = int(falling[0]) if len(falling) else 0
-    active = np.searchsorted(-falling, -np.arange(steps), side="left").tolist()  # those with more than t lines
-    return order, first, active
-
-
-def marginals(unary: np.ndarray, lengths: list[int], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """P(good) of each line, summed pair marginals [from, to] and log-partition, by forward-backward over all documents at once."""
-    order, first, active = chains(lengths)
-    score = np.stack([np.zeros_like(unary), unary], axis=1)
-    start = first[order]
-    ahead, behind = np.zeros_like(score), np.zeros_like(score)
-    for t, live in enumerate(active):
-        at = start[:live] + t
-        ahead[at] = score[at] if t == 0 else score[at] + np.logaddexp.reduce(ahead[at - 1][:, :, None] + moves, axis=1)
-    for t in range(len(active) - 2, -1, -1):
-        live = active[t + 1]
-        at = start[:live] + t
-        behind[at] = np.logaddexp.reduce(moves + (score[at + 1] + behind[at + 1])[:, None, :], axis=2)
-    both = ahead + behind
-    total = np.logaddexp.reduce(both, axis=1)
-    good = np.exp(both[:, 1] - total)
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.arange(len(n))
+    lines = np.lexsort((np.repeat(rank, n), place))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(place))]) if len(place) else np.zeros(1, np.int64)
+    return lines, starts
+
+
+def marginals(unary: np.ndarray, layout: tuple[np.ndarray, np.ndarray], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line and the summed pair marginals [from, to], by forward-backward over all documents at once.
+
+    Log-odds carry the messages: with two labels one number a line is enough each way.
+    """
+    lines, starts = layout
+    u = unary[lines]
+    ahead, behind = u.copy(), np.zeros_like(u)
+    (m00, m01), (m10, m11) = moves
+    spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+    for (s0, _), (s, e) in zip(spans, spans[1:], strict=False):
+        x = ahead[s0 : s0 + e - s]
+        ahead[s:e] += np.logaddexp(m01, x + m11) - np.logaddexp(m00, x + m10)
+    for (s0, _), (s, e) in zip(spans[-2::-1], spans[:0:-1], strict=False):
+        x = u[s:e] + behind[s:e]
+        behind[s0 : s0 + e - s] = np.logaddexp(m10, x + m11) - np.logaddexp(m00, x + m01)
+    good = np.empty_like(u)
+    good[lines] = 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
     pairs = np.zeros((2, 2))
-    for t in range(1, len(active)):
-        at = start[: active[t]] + t
-        joint = ahead[at - 1][:, :, None] + moves + (score[at] + behind[at])[:, None, :] - total[at][:, None, None]
-        pairs += np.exp(joint).sum(axis=0)
-    return good, pairs, float(total[start].sum()) if len(start) else 0.0
+    for (s0, _), (s, e) in zip(spans, spans[1:], strict=False):
+        x, y = ahead[s0 : s0 + e - s], u[s:e] + behind[s:e]
+        joint = np.stack([np.full_like(x, m00), m01 + y, m10 + x, m11 + x + y])
+        joint = np.exp(joint - joint.max(axis=0))
+        pairs += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    return good, pairs
 
 
 def document_means(good: np.ndarray, line_bytes: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -147,11 +155,12 @@ def train(features: np.ndarray, line_bytes: np.ndarray, lengths: list[int], labe
     first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     inner = np.ones(len(y), bool)
     inner[first] = False
-    seen = np.array([[((1 - y[inner]) ).sum(), 0.0], [0.0, y[inner].sum()]])
+    seen = np.array([[(1 - y[inner]).sum(), 0.0], [0.0, y[inner].sum()]])
     weights, moves = np.zeros(WIDTH), np.zeros((2, 2))
     squares, move_squares = np.full(WIDTH, 1e-8), np.full((2, 2), 1e-8)
+    layout = chains(lengths)
     for _ in range(steps):
-        good, pairs, _ = marginals(features @ weights, lengths, moves)
+        good, pairs = marginals(features @ weights, layout, moves)
         step = features.T @ ((y - good) * share) / docs - penalty * weights
         move = (seen - pairs) / len(y) - penalty * moves * 10
         squares += step * step
@@ -159,7 +168,7 @@ def train(features: np.ndarray, line_bytes: np.ndarray, lengths: list[int], labe
         weights = weights + 0.5 * step / np.sqrt(squares)
         moves = np.clip(moves + 0.1 * move / np.sqrt(move_squares), -2, 2)
     field = Field(weights, moves)
-    x = _logit(document_means(marginals(features @ weights, lengths, moves)[0], line_bytes, lengths))
+    x = _logit(document_means(marginals(features @ weights, layout, moves)[0], line_bytes, lengths))
     slope, shift = 1.0, 0.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-(slope * x + shift)))
@@ -173,7 +182,7 @@ def scores(field: Field, texts: list[str]) -> np.ndarray:
     """Document scores between 0 and 1."""
     parts = [line_features(t.encode()) for t in texts]
     lengths = [len(p[1]) for p in parts]
-    good, _, _ = marginals(np.concatenate([p[0] for p in parts]) @ field.weights, lengths, field.moves)
+    good, _ = marginals(np.concatenate([p[0] for p in parts]) @ field.weights, chains(lengths), field.moves)
     x = _logit(document_means(good, np.concatenate([p[1] for p in parts]), lengths))
     return 1 / (1 + np.exp(-(field.slope * x + field.shift)))
 
