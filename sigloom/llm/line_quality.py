@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from sigloom.llm.common import slices, with_text
 
 #: Labelled documents that are fitted, at most; gradient steps; penalty on squared weights.
-FIT_DOCS, STEPS, PENALTY = 2_000, 60, 1e-3
+FIT_DOCS, STEPS, PENALTY = 3_000, 150, 1e-3
 #: Score from which a document is predicted good.
 GOOD_FROM = 0.7
 
