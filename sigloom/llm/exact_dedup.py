@@ -119,11 +119,10 @@ def fingerprint(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame:
     return small.unionByName(whole)
 
 
-def differing(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     """bytes, l, r of the groups that share length and fingerprint but not every chunk."""
     key = ["bytes", "l", "r"]
-    shared = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = prints.join(shared, key, "left_semi").select("row_key", *key).distinct()
+    members = prints.join(groups.filter("group_size > 1").select(*key), key, "left_semi").select("row_key", *key).distinct()
     texts = _rows(docs).select("row_key", "text").join(members, "row_key")
     chunks = texts.select(*key, F.explode(_pieces(F.col("text"))).alias("c")).select(*key, "c.no", "c.piece")
     ends = chunks.groupBy(*key, "no").agg(F.min("piece").alias("least"), F.max("piece").alias("most"))
@@ -140,11 +139,18 @@ def exact_duplicates(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame
     """
     key = ["bytes", "l", "r"]
     prints = settle(fingerprint(docs, huge_bytes))
-    split = differing(docs, prints).withColumn("split", F.lit(True))
-    part = F.when(F.col("split"), F.col("sha")).otherwise(F.lit("")).alias("part")
-    named = settle(prints.join(split, key, "left").select("doc_id", *key, part, "sha"))
-    groups = named.groupBy(*key, "part").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    sums = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    # settled, so that joins with them have their shuffles next to them and a group's rows can be split over tasks
+    groups = settle(prints.groupBy(*key).agg(*sums))
+    split = settle(differing(docs, prints, groups))
+    parted = prints.withColumn("part", F.lit(""))
+    if not split.isEmpty():
+        groups = groups.join(split, key, "left_anti").withColumn("part", F.lit(""))
+        apart = prints.join(split, key, "left_semi").withColumn("part", F.col("sha"))
+        parted = prints.join(split, key, "left_anti").withColumn("part", F.lit("")).unionByName(apart)
+        groups = settle(groups.unionByName(apart.groupBy(*key, "part").agg(*sums)))
+        key = [*key, "part"]
     turn = F.row_number().over(W.partitionBy("doc_id", "sha").orderBy("bytes"))
-    return named.join(groups, [*key, "part"]).select(
+    return parted.join(groups, key).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"), F.col("sha").alias("text_sha256")
     )

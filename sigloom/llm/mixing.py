@@ -26,8 +26,8 @@ WEIGHTS, SHARE, MOST_REPEATS = (3, 1, 2), 1.5, 2
 SEED = "mix-1"
 #: Sources up to which their targets are broadcast; a longer list is joined by shuffling.
 BROADCAST_SOURCES = 10_000
-#: Documents of the largest source in a bucket, about; buckets grow with the table.
-BUCKET_ROWS = 4_000
+#: Documents of the largest source in a bucket, about, and the fewest buckets; they grow with the table.
+BUCKET_ROWS, LEAST_BUCKETS = 4_000, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,7 +72,7 @@ def row_key() -> Column:
 
 def queue_places(sized: DataFrame, targets: DataFrame, rows_in_largest: int, seed: str = SEED) -> DataFrame:
     """``sized`` (doc_id, source, size, more) with source_size, target and ``before``: the words of its source ahead of it."""
-    buckets = max(16, -(-rows_in_largest // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-rows_in_largest // BUCKET_ROWS))
     keyed = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     keyed = keyed.withColumn("key", shuffle_key(seed=seed))
     keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
