@@ -1 +1 @@
-"""Part of sigloom."""
+"""Scalar functions and fixed tables."""

@@ -1 +1 @@
-"""Part of sigloom."""
+"""DataFrame operators."""

@@ -1 +1 @@
-"""Part of sigloom."""
+"""Registered queries and their SQL."""

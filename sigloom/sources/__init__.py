@@ -1 +1 @@
-"""Part of sigloom."""
+"""Readers of the file kinds."""

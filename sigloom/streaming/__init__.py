@@ -1 +1 @@
-"""Part of sigloom."""
+"""Streams: the engine is batch only; nothing is offered here."""
