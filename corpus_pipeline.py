@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sigloom.llm import exact_dedup, langid, mixing, packing, simhash
 from sigloom.llm.common import shared_folder, table
@@ -17,7 +18,10 @@ from sigloom.llm.queries import TOKENIZER
 
 
 def _staying(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among those that go; rows without a doc_id stay."""
+    """The rows whose doc_id is not among those that go.
+
+    Rows that share a doc_id go together; rows without one stay.
+    """
     return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -27,15 +31,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; of rows that repeat it, one."""
     found = exact_dedup.exact_duplicates(docs)
-    return _staying(docs, found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")))
+    verdicts = found.groupBy(F.xxhash64("doc_id", "text_sha256").alias("row_key")).agg(F.max("kept").alias("kept"))
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col("doc_id"), sha).alias("row_key"))
+    left = keyed.join(verdicts.filter(~F.col("kept")), "row_key", "left_anti")
+    turn = F.row_number().over(W.partitionBy("row_key").orderBy("row_key"))
+    return left.withColumn("turn", turn).filter("turn = 1").select("doc.*")
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal fingerprints the one with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    return _staying(docs, found.filter("doc_id <> component_id"))
+    return _staying(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

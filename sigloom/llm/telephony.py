@@ -72,6 +72,8 @@ def samples(media: bytes) -> tuple[int, bytes]:
     at, codec = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        if at + 8 + size > len(media):
+            raise ValueError("a chunk is cut short")
         if name == b"fmt ":
             codec = struct.unpack_from("<H", media, at + 8)[0]
         elif name == b"data":
