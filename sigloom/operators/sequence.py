@@ -71,11 +71,14 @@ def quota(spark: SparkSession, background: DataFrame, foreground: DataFrame, ord
 
 
 def motif(sequence: Column, at: Column, size: int = CENTRE) -> Column:
-    """The window of ``size`` residues around the 0-based place, dashes where it leaves the sequence, centre in lower case."""
+    """The window of ``size`` residues around the 0-based place, centre in lower case.
+
+    Dashes fill it where it begins before the sequence, or else where it ends behind it; never both.
+    """
     left = F.substring(sequence, F.greatest(F.lit(1), at - size + 1), F.least(at, F.lit(size)))
     right = F.substring(sequence, at + 2, F.lit(size))
     centre = F.lower(F.substring(sequence, at + 1, F.lit(1)))
-    return F.concat(F.lpad(left, size, "-"), centre, F.rpad(right, size, "-"))
+    return F.concat(F.lpad(left, size, "-"), centre, F.when(at < size, right).otherwise(F.rpad(right, size, "-")))
 
 
 def map_sites(sites: DataFrame, proteome: DataFrame) -> DataFrame:
