@@ -122,7 +122,9 @@ def fingerprint(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame:
 def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     """bytes, l, r of the groups that share length and fingerprint but not every chunk."""
     key = ["bytes", "l", "r"]
-    members = prints.join(groups.filter("group_size > 1").select(*key), key, "left_semi").select("row_key", *key).distinct()
+    members = prints.join(groups.filter("group_size > 1").select(*key), key, "left_semi")
+    # gathered by row, not by group, so that a large group's rows leave the join's partitions
+    members = members.groupBy("row_key").agg(F.collect_set(F.struct(*key)).alias("g")).select("row_key", F.explode("g").alias("g")).select("row_key", "g.*")
     texts = _rows(docs).select("row_key", "text").join(members, "row_key")
     chunks = texts.select(*key, F.explode(_pieces(F.col("text"))).alias("c")).select(*key, "c.no", "c.piece")
     ends = chunks.groupBy(*key, "no").agg(F.min("piece").alias("least"), F.max("piece").alias("most"))
