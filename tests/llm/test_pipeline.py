@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import corpus_pipeline
 from fixtures import awkward, frame
-from test_operators import plain_components, plain_print
+from test_corpus_operators import plain_components, plain_print
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
