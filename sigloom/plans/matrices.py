@@ -68,11 +68,11 @@ def center_pairs(spark, sf_dir):
     return pairs.groupBy("a", "b").agg(rounded(F.sum(F.col("u") * F.col("v")) / (norm("u") * norm("v"))).alias("cosine"), rounded(F.sqrt(F.sum(F.pow(F.col("u") - F.col("v"), 2)))).alias("distance"))
 
 
-@query(f"WITH {CENTRES}, w AS (SELECT pep_id, label, avg(pow(x - mu, 2)) AS mse FROM sig JOIN c USING (label, s) WHERE pep_id % 5 = 0 GROUP BY ALL) SELECT label, count(*) AS n, round(avg(mse), 4) AS mse FROM w GROUP BY label")
+@query(f"WITH {CENTRES}, w AS (SELECT pep_id, label, avg(pow(x - mu, 2)) AS mse FROM sig JOIN c USING (label, s) GROUP BY ALL) SELECT label, count(*) AS n, round(avg(mse), 4) AS mse FROM w GROUP BY label")
 def peptide_distance(spark, sf_dir):
     sig = signal(spark, sf_dir)
     c = sig.groupBy("label", "s").agg(F.avg("x").alias("mu"))
-    per = sig.filter("pep_id % 5 = 0").join(c, ["label", "s"]).groupBy("pep_id", "label").agg(F.avg(F.pow(F.col("x") - F.col("mu"), 2)).alias("mse"))
+    per = sig.join(c, ["label", "s"]).groupBy("pep_id", "label").agg(F.avg(F.pow(F.col("x") - F.col("mu"), 2)).alias("mse"))
     return per.groupBy("label").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("mse")).alias("mse"))
 
 

@@ -72,9 +72,11 @@ def kmer_windows(spark, sf_dir):
     return sequence.windows(docs, "doc_id").groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT doc_id, substr(text, 1, 11) AS seq FROM documents WHERE NOT coalesce(regexp_full_match(substr(text, 1, 11), '(?i)[{ALPHABET}]{{11}}'), false)")
+@query(f"SELECT seq, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS seq FROM documents) WHERE NOT regexp_full_match(seq, '(?i)[{ALPHABET}]{{11}}') GROUP BY seq")
 def seq_validate(spark, sf_dir):
-    return filters.bad_sequences(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 11).alias("seq")))
+    """Runs of letters in the texts that aren't sequences of the window's length over the alphabet."""
+    runs = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("seq"))
+    return filters.bad_sequences(runs).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {RESIDUES} SELECT count(*) FILTER (aa = 'Y') AS n_y, count(*) FILTER (aa = 'S') AS n_s, count(*) FILTER (aa = 'T') AS n_t FROM res WHERE pos = 5")
@@ -122,10 +124,10 @@ def proteome(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("name"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
 
 
-@query(f"""WITH {PROTEOME}, pep AS (SELECT item_id AS pep_id, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 3, 18) AS seq FROM benchmark)
+@query(f"""WITH {PROTEOME}, pep AS (SELECT item_id AS pep_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark)
 SELECT pep_id, arg_min(name, ord) AS name FROM pep JOIN prot ON contains(prot.seq, pep.seq) GROUP BY pep_id""")
 def contains_join(spark, sf_dir):
-    pep = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pep_id"), F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 3, 18).alias("seq"))
+    pep = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pep_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
     return sequence.contains_match(pep, proteome(spark, sf_dir), 12)
 
 
