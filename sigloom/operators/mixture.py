@@ -174,14 +174,26 @@ def fit(rows: DataFrame, k: int, method: str = "binomial", weight: float = 0.0,
     return rows, model
 
 
-def fit_best(rows: DataFrame, k: int, starts: int = 2, key: str = "pep_id", **options) -> tuple[DataFrame, Model]:
-    """The best of several starts; after the first, which is the rows' own r, labels come from a hash of the key."""
+def one_hot(label: Column, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.when(c == label, 1.0).otherwise(0.0))
+
+
+def kmeans_start(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """rows with r of one for the K-means label of their cells, the missing ones at the sample's mean."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    means = F.array(*[F.lit(float(v)) for v in sample_means(rows)])
+    ready = rows.withColumn("features", array_to_vector(F.zip_with("x", means, lambda v, m: F.coalesce(v, m))))
+    model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="own").fit(ready)
+    return model.transform(ready).withColumn("r", one_hot(F.col("own"), k)).drop("features", "own")
+
+
+def fit_best(rows: DataFrame, k: int, starts: int = 2, **options) -> tuple[DataFrame, Model]:
+    """The best of several starts, each from K-means labels; the first is the rows' own r where they have one."""
     best = None
     for s in range(starts):
-        own = rows
-        if s:
-            label = F.pmod(F.xxhash64(F.col(key), F.lit(s)), F.lit(k)).cast("int")
-            own = rows.withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.when(c == label, 1.0).otherwise(0.0)))
+        own = rows if not s and "r" in rows.columns else kmeans_start(rows, k, s + 1)
         got = fit(own, k, **options)
         if best is None or got[1].bounds[-1] > best[1].bounds[-1]:
             best = got

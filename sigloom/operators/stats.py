@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -125,6 +127,34 @@ def mean_roc(points: DataFrame, fold: str, grid: int = 100) -> DataFrame:
     return mean.select("x", F.when(F.col("x") == 1, 1.0).otherwise(F.col("tpr")).alias("tpr"))
 
 
+def local_fit(rows: DataFrame, by: str, x: str, y: str, low: float, high: float, bins: int = 50, share: float = 2 / 3) -> DataFrame:
+    """by, x, fit: y smoothed by a tricube-weighted line through the nearest ``share`` of the rows.
+
+    Rows fall into ``bins`` equal cells between ``low`` and ``high``, so a group's summary is
+    an array of at most ``bins`` entries whatever its number of rows.
+    """
+    width = (high - low) / bins
+    cell = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(x) - low) / width)))
+    summed = rows.groupBy(by, (F.lit(low) + (cell + 0.5) * width).alias("x")).agg(F.count(y).alias("n"), F.sum(y).alias("y"))
+    cells = summed.groupBy(by).agg(F.collect_list(F.struct("x", "n", "y")).alias("cells"), F.sum("n").alias("total"))
+    at = cells.select(by, "cells", F.ceil(F.lit(share) * F.col("total")).alias("least"), F.explode("cells.x").alias("x"))
+    near = F.array_sort(F.transform("cells", lambda c: F.struct(F.abs(c["x"] - F.col("x")).alias("d"), c["n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("h"))
+    reach = F.aggregate(near, start, lambda s, e: F.struct((s["seen"] + e["n"]).alias("seen"), F.when(s["h"].isNull() & (s["seen"] + e["n"] >= F.col("least")), e["d"]).otherwise(s["h"]).alias("h")), lambda s: s["h"])
+
+    def weight(c: Column) -> Column:
+        d = F.abs(c["x"] - F.col("x"))
+        return F.when(d == 0, 1.0).when(d < F.col("h"), F.pow(1 - F.pow(d / F.col("h"), 3), 3)).otherwise(0.0)
+
+    def total(part) -> Column:
+        return F.aggregate("cells", F.lit(0.0), lambda s, c: s + weight(c) * part(c, c["x"] - F.col("x")))
+
+    sums = {"s0": total(lambda c, d: c["n"]), "s1": total(lambda c, d: c["n"] * d), "s2": total(lambda c, d: c["n"] * d * d), "t0": total(lambda c, d: c["y"]), "t1": total(lambda c, d: c["y"] * d)}
+    base = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+    fit = F.when(base > 1e-9, (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / base).otherwise(F.col("t0") / F.col("s0"))
+    return at.withColumn("h", reach).withColumns(sums).select(by, "x", fit.alias("fit"))
+
+
 def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
     """mi in nats, and both entropies, from the contingency counts."""
     cells = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
@@ -136,21 +166,43 @@ def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def adjusted_mutual_information(rows: DataFrame, a: str, b: str) -> float:
     """Mutual information less its expectation under fixed margins, over the mean entropy less the same."""
-    mi, ha, hb = mutual_information(rows, a, b).first()
-    na = [r[1] for r in rows.groupBy(a).count().collect()]  # a row per cluster
-    nb = [r[1] for r in rows.groupBy(b).count().collect()]
-    n = sum(na)
-    lg = math.lgamma
-    expected = 0.0
-    for x in na:
-        for y in nb:
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                w = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
-                expected += k / n * math.log(n * k / (x * y)) * math.exp(w)
+    return association({(r[0], r[1]): r[2] for r in rows.groupBy(a, b).count().collect()})  # a row per pair of labels
+
+
+def association(cells: dict[tuple, int]) -> float:
+    """Adjusted mutual information from the contingency counts of two labelings."""
+    left: dict = {}
+    right: dict = {}
+    for (x, y), c in cells.items():
+        left[x] = left.get(x, 0) + c
+        right[y] = right.get(y, 0) + c
+    n = sum(left.values())
+    if len(left) == len(right) == 1 or not n:
+        return 1.0
+    mi = sum(c / n * math.log(n * c / (left[x] * right[y])) for (x, y), c in cells.items() if c)
+    ha, hb = (-sum(v / n * math.log(v / n) for v in side.values()) for side in (left, right))
+    expected = sum(expected_information(x, y, n) for x in left.values() for y in right.values())
     top, bottom = mi - expected, (ha + hb) / 2 - expected
     return top / bottom if abs(bottom) > 1e-15 else 1.0
 
 
+def expected_information(x: int, y: int, n: int) -> float:
+    """Expected contribution of a cell with margins ``x`` and ``y``: a sum over the hypergeometric law of its count.
+
+    The sum covers forty standard deviations, beyond which the law's mass is nil, so its
+    length grows with the root of ``n``.
+    """
+    low, high = max(0, x + y - n), min(x, y)
+    mean = x * y / n
+    spread = 40 * math.sqrt(max(1.0, mean * (n - x) / n * (n - y) / max(1, n - 1))) + 40
+    k = np.arange(max(low, int(mean - spread)), min(high, int(mean + spread)) + 1, dtype=np.float64)
+    ratio = (x - k[:-1]) * (y - k[:-1]) / ((k[:-1] + 1) * (n - x - y + k[:-1] + 1))
+    log_mass = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+    mass = np.exp(log_mass - log_mass.max())
+    some = k > 0
+    return float((mass[some] * k[some] / n * np.log(n * k[some] / (x * y))).sum() / mass.sum())
+
+
 def logistic(rows: DataFrame, features: str = "features", label: str = "y", c: float = 1.0, l1: float = 1.0):
     """A balanced, penalised logistic model (``ml``), with the penalty as 1 / (c * n)."""
     from pyspark.ml.classification import LogisticRegression
@@ -162,17 +214,38 @@ def logistic(rows: DataFrame, features: str = "features", label: str = "y", c: f
     return LogisticRegression(featuresCol=features, weightCol="weight", elasticNetParam=l1, regParam=1 / (c * n), standardization=False, maxIter=100).fit(ready)
 
 
+def gram(rows: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cross products, sums and number of the vectors in ``x``, which have no null.
+
+    Each partition folds its vectors into one row, and these are summed cell by cell: a row
+    is never expanded into the squares of its length.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                v = np.hstack([v, np.ones((len(v), 1))])  # the column of ones gives sums and number
+                total = v.T @ v if total is None else total + v.T @ v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    folded = rows.select(x).mapInArrow(parts, "g array<double>").select(F.posexplode("g").alias("at", "v"))
+    got = folded.groupBy("at").agg(F.sum("v").alias("v")).collect()  # the square of the number of samples
+    d = math.isqrt(len(got))
+    whole = np.zeros(d * d)
+    for r in got:
+        whole[r["at"]] = r["v"]
+    whole = whole.reshape(d, d)
+    return (whole[:-1, :-1], whole[-1, :-1], round(whole[-1, -1])) if d else (np.zeros((0, 0)), np.zeros(0), 0)
+
+
 def principal(rows: DataFrame, x: str, parts: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, loadings and variance shares from one aggregation of the cross products (samples are few)."""
-    d = len(rows.select(x).first()[0])
-    cells = rows.select(F.posexplode(x).alias("i", "u"), x).select("i", "u", F.posexplode(x).alias("j", "v"))
-    got = cells.groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("p"), F.sum("u").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # samples squared
-    gram, sums, n = np.zeros((d, d)), np.zeros(d), max((r["n"] for r in got), default=0)
-    for r in got:
-        gram[r["i"], r["j"]] = r["p"]
-        sums[r["i"]] = r["s"]
+    products, sums, n = gram(rows, x)
     mean = sums / n
-    values, vectors = np.linalg.eigh((gram - n * np.outer(mean, mean)) / (n - 1))
+    values, vectors = np.linalg.eigh((products - n * np.outer(mean, mean)) / (n - 1))
     order = np.argsort(values)[::-1][:parts]
     return mean, vectors[:, order], values[order] / values.sum()
 
@@ -182,14 +255,10 @@ def low_rank_fill(rows: DataFrame, rank: int, rounds: int = 20, shrink: float =
     from sigloom.operators.mixture import filled, sample_means, settle
 
     rows = settle(filled(rows, sample_means(rows)))
-    d = len(rows.select("x").first()[0])
     last = None
     for _ in range(rounds):
-        cells = rows.select(F.posexplode("x").alias("i", "u"), "x").select("i", "u", F.posexplode("x").alias("j", "v"))
-        gram = np.zeros((d, d))
-        for r in cells.groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("p")).collect():  # samples squared
-            gram[r["i"], r["j"]] = r["p"]
-        values, vectors = np.linalg.eigh(gram)
+        products, _, _ = gram(rows, "x")
+        values, vectors = np.linalg.eigh(products)
         order = np.argsort(values)[::-1][:rank]
         size = np.sqrt(np.maximum(values[order], 0))
         keep = np.maximum(size - shrink, 0) / np.maximum(size, 1e-12)

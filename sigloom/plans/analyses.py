@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sigloom.functions.special import rounded
-from sigloom.operators import stats
-from sigloom.plans.base import K, MODEL, SIGNAL, rows, signal, table
+from sigloom.operators import clusterers, mixture, stats
+from sigloom.plans.base import K, MODEL, SAMPLES, SIGNAL, rows, signal, table
 from sigloom.plans.matrices import hard_labels
 from sigloom.plans.registry import query
 
@@ -89,16 +90,93 @@ def mutual_info(spark, sf_dir):
 
 @query()
 def baseline_clusterers(spark, sf_dir):
-    """Adjusted mutual information between the given labels and two baseline clusterings."""
+    """Adjusted mutual information between all pairs of the given labels and the baseline clusterings."""
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
-    d = rows(spark, sf_dir).select("pep_id", "label", array_to_vector("x").alias("features"))
-    out = []
+    d = rows(spark, sf_dir).select("pep_id", "label", "x", array_to_vector("x").alias("features"))
+    points, found = clusterers.representatives(d.drop("features"), "x")
     for name, kind in (("kmeans", KMeans), ("bisecting", BisectingKMeans)):
-        got = kind(k=K, seed=1, maxIter=10).fit(d).transform(d).select("label", "prediction")
-        out.append((name, round(stats.adjusted_mutual_information(got, "label", "prediction"), 4)))
-    return spark.createDataFrame(out, "method string, ami double")
+        found = kind(k=K, seed=1, maxIter=10, predictionCol=name).fit(d).transform(found.withColumn("features", array_to_vector("x"))).drop("features")
+    cells = found.groupBy("label", "kmeans", "bisecting", "point").count().collect()  # bounded by labels and representatives
+    sizes = np.zeros(len(points))
+    for r in cells:
+        sizes[r["point"]] += r["count"]
+    held = clusterers.baselines(points, sizes, K)
+    names = ["label", "kmeans", "bisecting", *held]
+    label = lambda r, name: int(held[name][r["point"]]) if name in held else r[name]
+    out = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            pairs: dict[tuple, int] = {}
+            for r in cells:
+                key = label(r, a), label(r, b)
+                pairs[key] = pairs.get(key, 0) + r["count"]
+            out.append((a, b, round(stats.association(pairs), 4)))
+    return spark.createDataFrame(out, "a string, b string, ami double")
+
+
+@query()
+def hierarchical_linkage(spark, sf_dir):
+    """Centroid linkage of the clusters' centres: merges in order, nearest first."""
+    got = signal(spark, sf_dir).groupBy("label", "s").agg(F.avg("x").alias("mu")).collect()  # clusters by samples
+    labels = sorted({r["label"] for r in got})
+    points = np.zeros((len(labels), SAMPLES))
+    for r in got:
+        points[labels.index(r["label"]), r["s"]] = r["mu"]
+    merges = clusterers.linkage(points, np.ones(len(labels)), "centroid")
+    return spark.createDataFrame([(k, a, b, round(h, 4), int(n)) for k, (a, b, h, n) in enumerate(merges)], "step int, a int, b int, height double, size int")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS grp, 0.5 + (least(49, greatest(0, floor(l_quantity - 0.5))) + 0.5) AS x, count(l_extendedprice) AS n, sum(l_extendedprice) AS y FROM lineitem GROUP BY ALL),
+t AS (SELECT grp, ceil(sum(n) * 2.0::DOUBLE / 3) AS least_n FROM c GROUP BY grp),
+p AS (SELECT a.grp, a.x AS x0, b.x - a.x AS d, b.n, b.y, least_n FROM c a JOIN c b USING (grp) JOIN t USING (grp)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY grp, x0 ORDER BY abs(d)) AS seen FROM p),
+h AS (SELECT *, min(abs(d)) FILTER (seen >= least_n) OVER (PARTITION BY grp, x0) AS h FROM s),
+w AS (SELECT *, CASE WHEN d = 0 THEN 1 WHEN abs(d) < h THEN pow(1 - pow(abs(d) / h, 3), 3) ELSE 0 END AS w FROM h),
+m AS (SELECT grp, x0, sum(w * n) AS s0, sum(w * n * d) AS s1, sum(w * n * d * d) AS s2, sum(w * y) AS t0, sum(w * y * d) AS t1 FROM w GROUP BY grp, x0)
+SELECT grp, x0 AS x, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-9 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 2) AS fit FROM m""")
+def lowess_fit(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_quantity", "l_extendedprice")
+    return stats.local_fit(items, "grp", "l_quantity", "l_extendedprice", 0.5, 50.5).withColumn("fit", rounded(F.col("fit"), 2))
+
+
+@query()
+def imputation_grid(spark, sf_dir):
+    """Squared error at hidden cells of the fitted mixture, over numbers of clusters and sequence weights."""
+    given = rows(spark, sf_dir, hide=True).drop("r")
+    truth = rows(spark, sf_dir).select("pep_id", F.col("x").alias("truth"))
+    out = None
+    for k in (5, K):
+        start = mixture.settle(mixture.kmeans_start(given, k, 1))
+        for weight in (0.0, 1.0):
+            got, model = mixture.fit(start, k, "pam250", weight, most=3)
+            cells = mixture.imputed(got, model).join(truth, "pep_id").select(F.explode(F.arrays_zip("x", "miss", "truth")).alias("c"))
+            error = cells.filter("c.miss").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col("c.x") - F.col("c.truth"), 2)).alias("sse"))
+            row = error.select(F.lit(k).alias("clusters"), F.lit(weight).alias("weight"), "n", rounded(F.col("sse"), 2).alias("sse"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def phenotype_sweep(spark, sf_dir):
+    """Area under the curve of models that tell two labels of the samples from the clusters' centres, over sequence weights."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    start = mixture.settle(rows(spark, sf_dir))
+    out = []
+    for weight in (0.0, 1.0):
+        _, model = mixture.fit(start, K, "pam250", weight, most=3)
+        centres = np.array(model.means).T
+        centres = centres - centres.mean(axis=1, keepdims=True)
+        wide = spark.createDataFrame([(s, v.tolist()) for s, v in enumerate(centres)], "s int, v array<double>")  # a row per sample
+        for name, y in (("odd", F.col("s") % 2 == 1), ("third", F.col("s") % 3 == 0)):
+            d = stats.folds(wide.select("s", y.alias("y"), array_to_vector("v").alias("features")), 2, "y", "s").cache()
+            for f in range(2):
+                fitted = stats.logistic(d.filter(F.col("fold") != f), c=1.0, l1=0.5)
+                got = fitted.transform(d.filter(F.col("fold") == f)).select("fold", "y", F.round(vector_to_array("probability")[1], 6).alias("score"))
+                out.append((weight, name, f, round(stats.auc(stats.roc_points(got, "score", "y", "fold"), "fold").first()["auc"], 3)))
+    return spark.createDataFrame(out, "weight double, label string, fold int, auc double")
 
 
 @query()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import residues, special
-from sigloom.operators import filters, mixture, profiles, sequence, stats
+from sigloom.operators import clusterers, filters, mixture, profiles, sequence, stats
 from sigloom.plans import base
 from sigloom.sources import files
 
@@ -131,3 +131,82 @@ def test_sources(spark, tmp_path):
     assert len(cells) == 180 and cells[0, "A"] == 1.0 and cells[8, "V"] == 3.0
     (tmp_path / "g.gmt").write_text("S1\thttp://x\t1\t2\t3\nS2\thttp://y\t4\n")
     assert [len(r["members"]) for r in files.gene_sets(spark, str(tmp_path / "g.gmt")).orderBy("name").collect()] == [3, 1]
+
+
+def blobs(n=12):
+    rng = np.random.default_rng(5)
+    centres = np.array([[0.0, 0.0], [4.0, 0.0], [0.0, 5.0]])
+    return np.vstack([c + rng.normal(scale=0.2, size=(n, 2)) for c in centres]), np.repeat(np.arange(3), n)
+
+
+def same_parts(a, b):
+    return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+
+
+@pytest.mark.parametrize("method", ["ward", "average", "complete", "centroid"])
+def test_linkage_equals_recomputed_distances(method):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(9, 3))
+    sizes = rng.integers(1, 4, 9).astype(float)
+    own = {i: [i] for i in range(9)}
+
+    def apart(p, q):
+        a, b = own[p], own[q]
+        if method in ("average", "complete"):
+            d = np.linalg.norm(points[a][:, None] - points[b][None], axis=2)
+            return d.max() if method == "complete" else (d * sizes[a][:, None] * sizes[b]).sum() / (sizes[a].sum() * sizes[b].sum())
+        gap = np.linalg.norm(np.average(points[a], axis=0, weights=sizes[a]) - np.average(points[b], axis=0, weights=sizes[b]))
+        return gap if method == "centroid" else gap * math.sqrt(2 * sizes[a].sum() * sizes[b].sum() / (sizes[a].sum() + sizes[b].sum()))
+
+    for k, (a, b, height, size) in enumerate(clusterers.linkage(points, sizes, method)):
+        assert height == pytest.approx(min(apart(p, q) for p in own for q in own if p < q)) and height == pytest.approx(apart(a, b))
+        own[9 + k] = own.pop(a) + own.pop(b)
+        assert size == sizes[own[9 + k]].sum()
+
+
+def test_baselines_find_separate_groups():
+    points, want = blobs()
+    for name, labels in clusterers.baselines(points, np.ones(len(points)), 3).items():
+        assert same_parts(labels, want), name
+
+
+def test_representatives_cover_every_row(spark):
+    points, want = blobs(40)
+    rows = spark.createDataFrame([(i, [float(v) for v in p], int(w)) for i, (p, w) in enumerate(zip(points, want, strict=True))], "k int, x array<double>, w int")
+    centres, found = clusterers.representatives(rows, "x", most=9)
+    got = found.select("w", "point").collect()
+    assert len(got) == 120 and len(centres) <= 9
+    assert all(len({r["w"] for r in got if r["point"] == p}) == 1 for p in {r["point"] for r in got})
+
+
+def test_expected_information_is_the_hypergeometric_mean():
+    for x, y, n in ((3, 4, 10), (7, 8, 10), (200, 90, 400)):
+        want = sum(math.comb(y, k) * math.comb(n - y, x - k) / math.comb(n, x) * k / n * math.log(n * k / (x * y)) for k in range(max(1, x + y - n), min(x, y) + 1))
+        assert stats.expected_information(x, y, n) == pytest.approx(want, abs=1e-12)
+
+
+def test_gram_and_principal(spark):
+    table = np.random.default_rng(3).normal(size=(50, 4))
+    rows = spark.createDataFrame([([float(v) for v in r],) for r in table], "x array<double>").repartition(5)
+    products, sums, n = stats.gram(rows, "x")
+    assert n == 50 and np.allclose(products, table.T @ table) and np.allclose(sums, table.sum(axis=0))
+    _, _, share = stats.principal(rows, "x", 4)
+    assert np.allclose(share, np.sort(np.linalg.eigvalsh(np.cov(table.T)))[::-1] / np.trace(np.cov(table.T)))
+    assert stats.gram(rows.filter("false"), "x")[2] == 0
+
+
+def test_local_fit_keeps_a_line(spark):
+    rows = spark.createDataFrame([(k % 2, float(k), 3.0 * k + 1) for k in range(20)], "g int, x double, y double")
+    got = stats.local_fit(rows, "g", "x", "y", -0.5, 19.5, bins=20).collect()
+    assert len(got) == 20 and all(r["fit"] == pytest.approx(3 * r["x"] + 1) for r in got)
+    alone = stats.local_fit(rows.filter("x = 4"), "g", "x", "y", -0.5, 19.5, bins=20).collect()
+    assert [r["fit"] for r in alone] == [13.0]
+
+
+def test_best_start(spark):
+    rows = base.rows(spark, SF, hide=True)
+    _, one = mixture.fit(rows, base.K, most=3)
+    _, best = mixture.fit_best(rows, base.K, most=3)
+    assert best.bounds[-1] >= one.bounds[-1]
+    got, _ = mixture.fit_best(rows.drop("r"), 3, starts=1, most=2)
+    assert all(abs(sum(r["r"]) - 1) < 1e-9 for r in got.select("r").collect())
