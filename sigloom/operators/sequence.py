@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sigloom.functions.residues import ALPHABET, CENTRE, FREQUENCIES, WINDOW
+from sigloom.operators.ordered import running
 
 
 def alphabet(spark: SparkSession) -> DataFrame:
@@ -65,9 +66,9 @@ def quota(spark: SparkSession, background: DataFrame, foreground: DataFrame, ord
     size = total if back["n_y"] >= total * share["y"] else int(back["n_y"] / share["y"])
     want = {c: int(size * share[c]) for c in "yst"}
     site = F.upper(F.substring(seq, CENTRE + 1, 1))
-    turn = F.row_number().over(W.partitionBy("site").orderBy(order, seq))
     limit = F.when(F.col("site") == "Y", want["y"]).when(F.col("site") == "S", want["s"]).otherwise(want["t"])
-    return usable.withColumn("site", site).withColumn("turn", turn).filter(F.col("turn") <= limit).drop("turn")
+    placed = running(usable.withColumn("site", site), ["site"], [F.col(order), F.col(seq)], {"turn": F.lit(1)})
+    return placed.filter(F.col("turn") <= limit).drop("turn")
 
 
 def motif(sequence: Column, at: Column, size: int = CENTRE) -> Column:
@@ -109,8 +110,10 @@ def contains_match(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> Data
     parts = []
     for n in lengths:
         own = peptides.filter(F.least(F.length("seq"), F.lit(k)) == n).withColumn("key", F.substring("seq", 1, n))
-        grams = proteome.filter(F.length("seq") >= n).select("ord", "name", F.col("seq").alias("protein"), F.explode(F.array_distinct(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))).alias("key"))
-        parts.append(own.join(grams, "key").filter(F.col("protein").contains(F.col("seq"))))
+        # only the protein's number travels with its prefixes; candidates meet the protein itself afterwards
+        grams = proteome.filter(F.length("seq") >= n).select("ord", F.explode(F.array_distinct(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))).alias("key"))
+        near = own.join(grams, "key").select("pep_id", F.col("seq").alias("part"), "ord")
+        parts.append(near.join(proteome, "ord").filter(F.col("seq").contains(F.col("part"))))
     if not parts:
         return peptides.select("pep_id", F.lit(None).cast("string").alias("name")).limit(0)
     joined = parts[0]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sigloom.functions.special import normal_tail
+from sigloom.operators.ordered import running
 
 
 def centred(rows: DataFrame, value: str, by: str, name: str) -> DataFrame:
@@ -25,9 +26,9 @@ def rank_sums(rows: DataFrame, group: str, value: str, label: str) -> DataFrame:
     Ranks come from counts per distinct value (combined map-side) and their running sums.
     """
     per = rows.groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("t"), F.count_if(label).alias("p"))
-    below = F.coalesce(F.sum("t").over(W.partitionBy(group).orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rank = below + (F.col("t") + 1) / 2
-    ranked = per.select(group, "t", "p", rank.alias("rank"))
+    upto = running(per, [group], [F.col("v")], {"upto": F.col("t")})
+    rank = F.col("upto") - F.col("t") + (F.col("t") + 1) / 2
+    ranked = upto.select(group, "t", "p", rank.alias("rank"))
     s = ranked.groupBy(group).agg(F.sum(F.col("p") * F.col("rank")).alias("r1"), F.sum("p").alias("n1"), F.sum(F.col("t") - F.col("p")).alias("n2"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -89,42 +90,35 @@ def folds(rows: DataFrame, k: int, label: str, order: str) -> DataFrame:
             sizes[j % k] += 1
         dealt[c] = sizes
         at += per[c]
-    place = F.row_number().over(W.partitionBy(label).orderBy(order))
     fold = F.lit(k - 1)
     for c, sizes in dealt.items():
         ends = np.cumsum(sizes).tolist()
         for f in range(k - 2, -1, -1):
             fold = F.when((F.col(label) == F.lit(c)) & (F.col("place") <= ends[f]), F.lit(f)).otherwise(fold)
-    return rows.withColumn("place", place).withColumn("fold", fold).drop("place")
+    return running(rows, [label], [F.col(order)], {"place": F.lit(1)}).withColumn("fold", fold).drop("place")
 
 
 def roc_points(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """by, score, fpr, tpr after each distinct score, descending. Sums run over distinct scores."""
+    """by, score, fpr, tpr after each distinct score, descending, and fpr0, tpr0 before it."""
     per = rows.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    order = W.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
-    return per.select(*by, "score", (F.sum("n").over(order) / F.sum("n").over(whole)).alias("fpr"), (F.sum("p").over(order) / F.sum("p").over(whole)).alias("tpr"))
+    per = running(per, list(by), [F.col("score").desc()], {"p1": F.col("p"), "n1": F.col("n")})
+    whole = per.groupBy(*by).agg(F.nullif(F.sum("p"), F.lit(0)).alias("all_p"), F.nullif(F.sum("n"), F.lit(0)).alias("all_n"))
+    met = per.join(whole, list(by))
+    return met.select(*by, "score", (F.col("n1") / F.col("all_n")).alias("fpr"), (F.col("p1") / F.col("all_p")).alias("tpr"), ((F.col("n1") - F.col("n")) / F.col("all_n")).alias("fpr0"), ((F.col("p1") - F.col("p")) / F.col("all_p")).alias("tpr0"))
 
 
 def auc(points: DataFrame, *by: str) -> DataFrame:
     """Trapezoid area per ``by``, from (0, 0)."""
-    order = W.partitionBy(*by).orderBy(F.col("score").desc())
-    x0, y0 = F.coalesce(F.lag("fpr").over(order), F.lit(0.0)), F.coalesce(F.lag("tpr").over(order), F.lit(0.0))
-    return points.withColumn("part", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).groupBy(*by).agg(F.sum("part").alias("auc"))
+    return points.groupBy(*by).agg(F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2).alias("auc"))
 
 
 def mean_roc(points: DataFrame, fold: str, grid: int = 100) -> DataFrame:
     """x, tpr: fold curves interpolated on an even grid from 0 to 1 and averaged; the ends are forced to 0 and 1."""
-    order = W.partitionBy(fold).orderBy(F.col("score").desc())
-    step = points.select(fold, "fpr", "tpr", F.row_number().over(order).alias("k"), F.lead("fpr").over(order).alias("fpr2"), F.lead("tpr").over(order).alias("tpr2"))
-    first = step.filter("k = 1").select(fold, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(0).alias("k"), F.col("fpr").alias("fpr2"), F.col("tpr").alias("tpr2"))
-    segments = step.unionByName(first).filter("fpr2 is not null or fpr = 1")
     at = points.sparkSession.range(grid).select((F.col("id") / F.lit(grid - 1)).alias("x"))  # ``grid`` rows
-    met = segments.join(F.broadcast(at), (F.col("x") >= F.col("fpr")) & ((F.col("x") < F.col("fpr2")) | (F.col("fpr") == 1)))
-    value = F.when((F.col("fpr2") > F.col("fpr")) & (F.col("fpr") < 1), F.col("tpr") + (F.col("x") - F.col("fpr")) / (F.col("fpr2") - F.col("fpr")) * (F.col("tpr2") - F.col("tpr"))).otherwise(F.col("tpr"))
-    per = met.groupBy(fold, "x").agg(F.max_by(value, "k").alias("y"))
-    mean = per.groupBy("x").agg(F.avg(F.when(F.col("x") == 0, 0.0).otherwise(F.col("y"))).alias("tpr"))
-    return mean.select("x", F.when(F.col("x") == 1, 1.0).otherwise(F.col("tpr")).alias("tpr"))
+    met = points.filter("fpr > fpr0").join(F.broadcast(at), (F.col("x") >= F.col("fpr0")) & ((F.col("x") < F.col("fpr")) | ((F.col("x") == 1) & (F.col("fpr") == 1))))
+    value = F.col("tpr0") + (F.col("x") - F.col("fpr0")) / (F.col("fpr") - F.col("fpr0")) * (F.col("tpr") - F.col("tpr0"))
+    mean = met.groupBy("x").agg(F.avg(value).alias("tpr"))
+    return mean.select("x", F.when(F.col("x") == 0, 0.0).when(F.col("x") == 1, 1.0).otherwise(F.col("tpr")).alias("tpr"))
 
 
 def local_fit(rows: DataFrame, by: str, x: str, y: str, low: float, high: float, bins: int = 50, share: float = 2 / 3) -> DataFrame:

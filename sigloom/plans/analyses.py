@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from sigloom.functions.special import rounded
 from sigloom.operators import clusterers, mixture, stats
@@ -173,7 +172,7 @@ def phenotype_sweep(spark, sf_dir):
         for name, y in (("odd", F.col("s") % 2 == 1), ("third", F.col("s") % 3 == 0)):
             d = stats.folds(wide.select("s", y.alias("y"), array_to_vector("v").alias("features")), 2, "y", "s").cache()
             for f in range(2):
-                fitted = stats.logistic(d.filter(F.col("fold") != f), c=1.0, l1=0.5)
+                fitted = stats.logistic(d.filter(F.col("fold") != f), c=1e4, l1=0.5)
                 got = fitted.transform(d.filter(F.col("fold") == f)).select("fold", "y", F.round(vector_to_array("probability")[1], 6).alias("score"))
                 out.append((weight, name, f, round(stats.auc(stats.roc_points(got, "score", "y", "fold"), "fold").first()["auc"], 3)))
     return spark.createDataFrame(out, "weight double, label string, fold int, auc double")
@@ -190,8 +189,8 @@ def logreg_cv(spark, sf_dir):
     """Fold scores of a penalised logistic model on the centred signal, as mean area under the curve."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    mean = F.avg("x").over(W.partitionBy("s"))
-    centred = signal(spark, sf_dir).withColumn("x", F.col("x") - mean)
+    cells = signal(spark, sf_dir)
+    centred = cells.join(cells.groupBy("s").agg(F.avg("x").alias("mean")), "s").withColumn("x", F.col("x") - F.col("mean"))
     wide = centred.groupBy("pep_id", "label").agg(F.array_sort(F.collect_list(F.struct("s", "x"))).alias("c"))  # as many cells as samples
     d = wide.select("pep_id", (F.col("label") % 2 == 1).alias("y"), array_to_vector(F.col("c.x")).alias("features"))
     d = stats.folds(d, 3, "y", "pep_id").cache()

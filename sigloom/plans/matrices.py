@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from sigloom.functions.residues import ALPHABET
 from sigloom.functions.special import rounded
@@ -92,8 +91,9 @@ def impute_error(spark, sf_dir):
 
 @query(f"WITH {MASKED} SELECT pep_id, s, round(coalesce(x, avg(x) OVER (PARTITION BY label, s)), 4) + 0.0 AS x FROM mis")
 def impute_cluster(spark, sf_dir):
-    own = F.avg("x").over(W.partitionBy("label", "s"))
-    return masked(spark, sf_dir).select("pep_id", "s", rounded(F.coalesce("x", own)).alias("x"))
+    cells = masked(spark, sf_dir)
+    own = cells.groupBy("label", "s").agg(F.avg("x").alias("own"))
+    return cells.join(own, ["label", "s"]).select("pep_id", "s", rounded(F.coalesce("x", "own")).alias("x"))
 
 
 @query()

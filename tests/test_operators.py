@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import residues, special
-from sigloom.operators import clusterers, filters, mixture, profiles, sequence, stats
+from sigloom.operators import clusterers, filters, mixture, ordered, profiles, sequence, stats
 from sigloom.plans import base
 from sigloom.sources import files
 
@@ -210,3 +210,22 @@ def test_best_start(spark):
     assert best.bounds[-1] >= one.bounds[-1]
     got, _ = mixture.fit_best(rows.drop("r"), 3, starts=1, most=2)
     assert all(abs(sum(r["r"]) - 1) < 1e-9 for r in got.select("r").collect())
+
+
+def test_running_sums_of_a_large_group(spark):
+    rows = spark.createDataFrame([("a" if k % 10 else None, (k * 37) % 500, k) for k in range(500)], "g string, o int, v int").repartition(7)
+    got = ordered.running(rows, ["g"], [F.col("o").desc()], {"place": F.lit(1), "upto": F.col("v")}).collect()
+    assert len(got) == 500
+    for g in ("a", None):
+        total = 0
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: -r["o"])
+        for k, r in enumerate(own):
+            total += r["v"]
+            assert (r["place"], r["upto"]) == (k + 1, total)
+    assert not ordered.running(rows.filter("false"), ["g"], [F.col("o")], {"place": F.lit(1)}).collect()
+
+
+def test_contains_match_takes_the_first_protein(spark):
+    proteins = spark.createDataFrame([(2, "B", "MKAAASAATYA"), (1, "A", "XXAAASAATXX"), (3, "C", "KR")], "ord int, name string, seq string")
+    peptides = spark.createDataFrame([(1, "AAASAAT"), (2, "AAASAATY"), (3, "KR"), (4, "AAASAATZ")], "pep_id int, seq string")
+    assert {r["pep_id"]: r["name"] for r in sequence.contains_match(peptides, proteins).collect()} == {1: "A", 2: "B", 3: "C"}
