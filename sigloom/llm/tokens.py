@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import array
 import json
+import re
 
 import tiktoken
 from tokenizers import Tokenizer
@@ -17,6 +18,9 @@ from tokenizers import Tokenizer
 #: Fixed value: the pattern by which the byte-level pre-tokenizer splits text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Fixed value: the white space of ``SPLIT``, in runs longer than the pattern's look-ahead should walk.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
+
 
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -47,6 +51,7 @@ class TextEncoder:
     def __init__(self, path: str):
         ranks = as_ranks(path)
         self.bpe = ranks and tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.space = ranks and tiktoken.Encoding("white-space", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
         if not self.bpe:
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -61,5 +66,15 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         """Its ids as little-endian unsigned 32-bit numbers, without special tokens."""
         if self.bpe:
-            return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            parts, at = [], 0
+            for run in LONG_SPACE.finditer(text):
+                # the pattern takes a run as one piece, but for its last character if text follows
+                past = run.end() - (run.end() < len(text))
+                parts += [self._ids(self.bpe, text[at : run.start()]), self._ids(self.space, text[run.start() : past])]
+                at = past
+            return b"".join([*parts, self._ids(self.bpe, text[at:])])
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    @staticmethod
+    def _ids(bpe: tiktoken.Encoding, text: str) -> bytes:
+        return bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
