@@ -16,8 +16,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +34,8 @@ Weights = dict[tuple[str, str], float]
 #: Base kinds in the order in which they are listed; they are also the field's types.
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "-"
-#: Tokens of a segment, at most.
-MOST_TOKENS = 18
+#: Tokens and characters of a segment, at most; the longest address has 64, a sign and 255.
+MOST_TOKENS, MOST_LENGTH = 18, 320
 #: The training sample: texts read, islands used of them, passes over these.
 SAMPLE_DOCS, SAMPLE_ISLANDS, PASSES = 6_000, 600, 3
 
@@ -142,38 +144,41 @@ def segment_features(text: str, before: str, after: str) -> list[str]:
     out = ["bias", "digits=" + size, "shape=" + shape, "at=%d" % text.count("@"), "dots=%d" % min(text.count("."), 4), "first=" + _side(text[0]), "last=" + _side(text[-1]), "left=" + _side(before), "right=" + _side(after), "letters=%d" % any(c.isalpha() for c in text), "space=%d" % (" " in text), "dash=%d" % ("-" in text), "paren=%d" % ("(" in text)]
     if 12 <= n <= 19:
         out.append("luhn=%d" % luhn(d))
-    if text.count(".") == 3 and all(x.isdigit() for x in text.split(".")):
+    if text.count(".") == 3 and all(x.isdecimal() for x in text.split(".")):
         out.append("octets=%d" % all(int(x[:6]) <= 255 for x in text.split(".")))
     return out
 
 
-def lattice(text: str, before: str, after: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
-    """Tokens, and the candidate segments (first token, past token, type, features).
+def lattice(text: str, before: str, after: str) -> tuple[list[tuple[int, int]], Iterator[tuple[int, int, str, list[str]]]]:
+    """Tokens, and the candidate segments (first token, past token, type, features) by first token.
 
-    One token alone may be of no type; a span of a type holds a digit, begins with a
+    One token alone may be of no type; a span of a type holds two digits, begins with a
     digit, letter, plus or parenthesis and ends with a digit or letter.
     """
     tokens = [m.span() for m in _TOKEN.finditer(text)]
-    found: list[tuple[int, int, str, list[str]]] = []
-    side = [*(text[s:e] for s, e in tokens)]
-    for i, (s, e) in enumerate(tokens):
-        left = text[s - 1] if s else before
-        right = text[e] if e < len(text) else after
-        found.append((i, i + 1, OTHER, ["token=" + (side[i] if not side[i].isalnum() else "9" * min(len(side[i]), 5) if side[i][0].isdigit() else "a"), "oleft=" + _side(left), "oright=" + _side(right)]))
-        if not (side[i][0].isascii() and side[i][0].isalnum() or side[i] in "+("):
-            continue
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
-            if side[j - 1].isspace() and "\n" in side[j - 1]:
-                break
-            end = tokens[j - 1][1]
-            if not (text[end - 1].isascii() and text[end - 1].isalnum()):
-                continue
-            span = text[s:end]
-            if len(digits_of(span)) < 2:
+
+    def segments() -> Iterator[tuple[int, int, str, list[str]]]:
+        for i, (s, e) in enumerate(tokens):
+            own = text[s:e]
+            left = text[s - 1] if s else before
+            right = text[e] if e < len(text) else after
+            yield i, i + 1, OTHER, ["token=" + (own if not own.isalnum() else "9" * min(len(own), 5) if own[0].isdigit() else "a"), "oleft=" + _side(left), "oright=" + _side(right)]
+            if not (own[0].isascii() and own[0].isalnum() or own in "+("):
                 continue
-            features = segment_features(span, left, text[end] if end < len(text) else after)
-            found += [(i, j, kind, features) for kind in KINDS]
-    return tokens, found
+            for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+                at, end = tokens[j - 1]
+                if end - s > MOST_LENGTH or text[at].isspace() and "\n" in text[at:end]:
+                    break
+                if not (text[end - 1].isascii() and text[end - 1].isalnum()):
+                    continue
+                span = text[s:end]
+                if len(digits_of(span)) < 2:
+                    continue
+                features = segment_features(span, left, text[end] if end < len(text) else after)
+                for kind in KINDS:
+                    yield i, j, kind, features
+
+    return tokens, segments()
 
 
 def _score(weights: Weights, kind: str, features: list[str]) -> float:
@@ -207,17 +212,17 @@ def gradient(weights: Weights, n: int, segments: list, gold: set[tuple[int, int,
     return out
 
 
-def best(weights: Weights, n: int, segments: list) -> list[tuple[int, int, str]]:
-    """The highest-scoring segmentation, by dynamic programming over segment ends."""
+def best(weights: Weights, n: int, segments: Iterable) -> list[tuple[int, int, str]]:
+    """The highest-scoring segmentation, by dynamic programming; ``segments`` come by first token.
+
+    A segment is scored as it comes and only the best one to each end is held, so memory
+    grows with the tokens, not with the candidates.
+    """
     top: list[tuple[float, tuple[int, int, str] | None]] = [(0.0, None)] + [(-math.inf, None)] * n
-    by_end: dict[int, list] = defaultdict(list)
-    for seg in segments:
-        by_end[seg[1]].append(seg)
-    for j in range(1, n + 1):
-        for i, _, kind, features in by_end[j]:
-            value = top[i][0] + _score(weights, kind, features)
-            if value > top[j][0]:
-                top[j] = (value, (i, j, kind))
+    for i, j, kind, features in segments:
+        value = top[i][0] + _score(weights, kind, features)
+        if value > top[j][0]:
+            top[j] = (value, (i, j, kind))
     out = []
     j = n
     while j:
@@ -252,7 +257,8 @@ def train(samples: list[tuple[str, list[Span]]], passes: int = PASSES, rate: flo
     ready = []
     for text, spans in samples:
         for t, sp in ((text, spans), rewritten(text, spans, rng)):
-            tokens, segments = lattice(t, "", "")
+            tokens, found = lattice(t, "", "")
+            segments = list(found)
             first, past = {s: k for k, (s, _) in enumerate(tokens)}, {e: k + 1 for k, (_, e) in enumerate(tokens)}
             gold = {(first[s], past[e], kind) for kind, s, e in sp if s in first and e in past}
             if len(gold) < len(sp) or any(j - i > MOST_TOKENS for i, j, _ in gold):
@@ -275,17 +281,37 @@ def clashing(spans: list[Span]) -> bool:
     return any(b[1] < a[2] for a, b in zip(ordered, ordered[1:], strict=False))
 
 
+class Touching:
+    """Spans that overlap a stretch, found without walking those before it."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans  # by start
+        self.starts = [s for _, s, _ in spans]
+        self.reach = list(accumulate((e for _, _, e in spans), max))
+
+    def __call__(self, start: int, end: int) -> list[Span]:
+        out = []
+        k = bisect_left(self.starts, end)
+        while k and self.reach[k - 1] > start:
+            k -= 1
+            if self.spans[k][2] > start:
+                out.append(self.spans[k])
+        return out[::-1]
+
+
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Islands of up to 200 characters with the base spans in them, for training."""
     for whole in batches:
         for batch in slices(whole):
             texts, spans = [], []
             for text in batch.column("text").to_pylist():
-                base = base_spans(text)
+                near = Touching(base_spans(text))
                 for s, e in islands(text):
-                    own = [(k, a - s, b - s) for k, a, b in base if s <= a and b <= e]
-                    cut = any(a < e and b > s and not (s <= a and b <= e) for _, a, b in base)
-                    if e - s <= 200 and not cut and not clashing(own):
+                    if e - s > 200:
+                        continue
+                    touching = near(s, e)
+                    own = [(k, a - s, b - s) for k, a, b in touching if s <= a and b <= e]
+                    if len(own) == len(touching) and not clashing(own):
                         texts.append(text[s:e])
                         spans.append(listed(own))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.string())], names=["island", "spans"])
@@ -307,12 +333,13 @@ def listed(spans: list[Span]) -> str:
 def added_spans(text: str, base: list[Span], weights: Weights) -> list[Span]:
     """The field's spans that overlap no base span."""
     out = []
+    near = Touching(base)
     for s, e in islands(text):
         tokens, segments = lattice(text[s:e], text[s - 1 : s], text[e : e + 1])
         for i, j, kind in best(weights, len(tokens), segments):
             if kind != OTHER:
                 a, b = s + tokens[i][0], s + tokens[j - 1][1]
-                if not any(x < b and a < y for _, x, y in base):
+                if not near(a, b):
                     out.append((kind, a, b))
     return out
 

@@ -85,6 +85,17 @@ def test_token_ids_are_those_of_the_library():
         assert mine.encode(t) == array.array("I", theirs.encode(t, add_special_tokens=False).ids).tobytes()
 
 
+def test_long_white_space_is_encoded_like_any_other():
+    from sigloom.llm.tokens import TextEncoder
+
+    mine, theirs = TextEncoder.shared(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for n in (255, 256, 257, 5000):
+        for run in (" " * n, "\n" * n, "\t\xa0\u3000" * n, " " * n + "\x1c" + "\n" * n):
+            for t in (run, run + "x", "x" + run, "it" + run + "'s" + run + "!"):
+                assert mine.encode(t) == array.array("I", theirs.encode(t, add_special_tokens=False).ids).tobytes()
+    assert len(mine.encode(" " * 1_000_000 + "a")) > 4
+
+
 def test_cut_leaves_the_first_piece_short():
     assert packing.cut(1, 4) == [(0, 1)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]
@@ -258,7 +269,8 @@ def test_base_personal_data(spark):
 def test_field_inference_is_exact():
     rng = np.random.default_rng(2)
     text = "go 12-34 x 56"
-    tokens, segments = pii.lattice(text, "", "")
+    tokens, found = pii.lattice(text, "", "")
+    segments = list(found)
     weights = {(k, f): float(rng.normal()) for _, _, k, fs in segments for f in fs}
 
     def ways(at):
@@ -280,6 +292,19 @@ def test_field_inference_is_exact():
     assert change[key] == pytest.approx(want, abs=1e-3)
 
 
+def test_field_walks_odd_digits_and_long_runs():
+    weights = pii.train([("call +1 (200) 555-1000 now", [("phone", 5, 22)])])
+    assert pii.added_spans("from 1.\u00b2.3.4 to \u0663.\u0664", [], weights) is not None
+    spans = [("card", 3, 9), ("phone", 4, 5), ("email", 8, 20), ("ip", 30, 31)]
+    near = pii.Touching(spans)
+    for a in range(35):
+        for b in range(a + 1, 36):
+            assert near(a, b) == [x for x in spans if x[1] < b and a < x[2]]
+    many = "joe@ex.org " * 20_000
+    assert pii.added_spans(many, pii.base_spans(many), weights) == []
+    assert all(b - a <= pii.MOST_LENGTH for _, a, b in pii.added_spans("1 " + "a" * 500_000 + "1.x2", [], weights))
+
+
 def test_field_learns_spans_that_the_patterns_miss():
     samples = []
     for k in range(120):
