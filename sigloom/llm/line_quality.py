@@ -24,6 +24,8 @@ from sigloom.llm.common import slices, with_text
 
 #: Labelled documents that are fitted, at most; gradient steps; penalty on squared weights.
 FIT_DOCS, STEPS, PENALTY = 3_000, 150, 1e-3
+#: Lines whose features are held at once when scoring.
+BLOCK_LINES = 1 << 14
 #: Score from which a document is predicted good.
 GOOD_FROM = 0.7
 
@@ -34,23 +36,16 @@ OWN = len(CLASSES) + 6
 WIDTH = 3 * OWN + 1
 
 
-def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines by WIDTH) and lengths of a text's lines; an empty text has one empty line."""
-    lines = text.split(b"\n")
-    n = len(lines)
+def own_features(lines: list[bytes], seen: set[bytes]) -> np.ndarray:
+    """Own features (lines by OWN) of lines that follow those ``seen``, to which they are added."""
+    n, k = len(lines), len(CLASSES)
     lengths = np.fromiter(map(len, lines), np.int64, n)
-    data = np.frombuffer(text, np.uint8)
     own = np.zeros((n, OWN))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    full = lengths > 0
-    if full.any():
-        kinds = _CLASS_OF[data]
-        # a line's bytes by class: one count over (line, class) pairs
-        line_of = np.repeat(np.arange(n), lengths + 1)[: len(data)]
-        counts = np.bincount(line_of * (len(CLASSES) + 1) + kinds, minlength=n * (len(CLASSES) + 1)).reshape(n, -1)[:, 1:]
-        own[:, : len(CLASSES)] = counts / np.maximum(lengths, 1)[:, None]
-    seen: set[bytes] = set()
-    k = len(CLASSES)
+    # bytes by class: one count over (line, class) pairs
+    line_of = np.repeat(np.arange(n), lengths)
+    kinds = _CLASS_OF[np.frombuffer(b"".join(lines), np.uint8)]
+    counts = np.bincount(line_of * (k + 1) + kinds, minlength=n * (k + 1)).reshape(n, -1)[:, 1:]
+    own[:, :k] = counts / np.maximum(lengths, 1)[:, None]
     for i, line in enumerate(lines):
         words = line.split()
         m = len(words)
@@ -61,13 +56,35 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             own[i, k + 3] = line in seen
             seen.add(line)
     own[:, k + 4] = np.minimum(np.log1p(lengths) / 10, 1.5)
-    own[:, k + 5] = ~full
-    out = np.zeros((n, WIDTH))
+    own[:, k + 5] = lengths == 0
+    return own
+
+
+def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features (lines by WIDTH) and lengths of a text's lines; an empty text has one empty line."""
+    lines = text.split(b"\n")
+    own = own_features(lines, set())
+    out = np.zeros((len(lines), WIDTH))
     out[:, :OWN] = own
     out[1:, OWN : 2 * OWN] = own[:-1]
     out[:-1, 2 * OWN : 3 * OWN] = own[1:]
     out[:, -1] = 1
-    return out, lengths
+    return out, np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+def line_scores(text: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features' weighted sum for each line, and the lines' lengths; features are held for a block of lines only."""
+    lines = text.split(b"\n")
+    n = len(lines)
+    parts = np.empty((n, 3))  # what a line gives itself, the next and the one before
+    seen: set[bytes] = set()
+    sides = weights[:-1].reshape(3, OWN).T
+    for start in range(0, n, BLOCK_LINES):
+        parts[start : start + BLOCK_LINES] = own_features(lines[start : start + BLOCK_LINES], seen) @ sides
+    total = parts[:, 0] + weights[-1]
+    total[1:] += parts[:-1, 1]
+    total[:-1] += parts[1:, 2]
+    return total, np.fromiter(map(len, lines), np.int64, n)
 
 
 def _class_table() -> np.ndarray:
@@ -106,8 +123,8 @@ def chains(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return lines, starts
 
 
-def marginals(unary: np.ndarray, layout: tuple[np.ndarray, np.ndarray], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line and the summed pair marginals [from, to], by forward-backward over all documents at once.
+def messages(unary: np.ndarray, layout: tuple[np.ndarray, np.ndarray], moves: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Places as (begin, end) and, in the layout's order, the unary scores and what lines hear from both sides.
 
     Log-odds carry the messages: with two labels one number a line is enough each way.
     """
@@ -122,15 +139,32 @@ def marginals(unary: np.ndarray, layout: tuple[np.ndarray, np.ndarray], moves: n
     for (s0, _), (s, e) in zip(spans[-2::-1], spans[:0:-1], strict=False):
         x = u[s:e] + behind[s:e]
         behind[s0 : s0 + e - s] = np.logaddexp(m10, x + m11) - np.logaddexp(m00, x + m01)
-    good = np.empty_like(u)
+    return spans, u, ahead, behind
+
+
+def _good(lines: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    good = np.empty_like(ahead)
     good[lines] = 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
+    return good
+
+
+def line_marginals(unary: np.ndarray, layout: tuple[np.ndarray, np.ndarray], moves: np.ndarray) -> np.ndarray:
+    """P(good) of each line, by forward-backward over all documents at once."""
+    _, _, ahead, behind = messages(unary, layout, moves)
+    return _good(layout[0], ahead, behind)
+
+
+def marginals(unary: np.ndarray, layout: tuple[np.ndarray, np.ndarray], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line and the summed pair marginals [from, to]."""
+    spans, u, ahead, behind = messages(unary, layout, moves)
+    (m00, m01), (m10, m11) = moves
     pairs = np.zeros((2, 2))
     for (s0, _), (s, e) in zip(spans, spans[1:], strict=False):
         x, y = ahead[s0 : s0 + e - s], u[s:e] + behind[s:e]
         joint = np.stack([np.full_like(x, m00), m01 + y, m10 + x, m11 + x + y])
         joint = np.exp(joint - joint.max(axis=0))
         pairs += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
-    return good, pairs
+    return _good(layout[0], ahead, behind), pairs
 
 
 def document_means(good: np.ndarray, line_bytes: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -168,7 +202,7 @@ def train(features: np.ndarray, line_bytes: np.ndarray, lengths: list[int], labe
         weights = weights + 0.5 * step / np.sqrt(squares)
         moves = np.clip(moves + 0.1 * move / np.sqrt(move_squares), -2, 2)
     field = Field(weights, moves)
-    x = _logit(document_means(marginals(features @ weights, layout, moves)[0], line_bytes, lengths))
+    x = _logit(document_means(line_marginals(features @ weights, layout, moves), line_bytes, lengths))
     slope, shift = 1.0, 0.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-(slope * x + shift)))
@@ -180,9 +214,9 @@ def train(features: np.ndarray, line_bytes: np.ndarray, lengths: list[int], labe
 
 def scores(field: Field, texts: list[str]) -> np.ndarray:
     """Document scores between 0 and 1."""
-    parts = [line_features(t.encode()) for t in texts]
+    parts = [line_scores(t.encode(), field.weights) for t in texts]
     lengths = [len(p[1]) for p in parts]
-    good, _ = marginals(np.concatenate([p[0] for p in parts]) @ field.weights, chains(lengths), field.moves)
+    good = line_marginals(np.concatenate([p[0] for p in parts]), chains(lengths), field.moves)
     x = _logit(document_means(good, np.concatenate([p[1] for p in parts]), lengths))
     return 1 / (1 + np.exp(-(field.slope * x + field.shift)))
 

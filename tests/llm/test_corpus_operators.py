@@ -426,6 +426,15 @@ def test_components_of_a_long_chain(spark):
 # ---- quality
 
 
+def test_lines_score_alike_whatever_the_block(monkeypatch):
+    weights = np.random.default_rng(6).normal(size=line_quality.WIDTH)
+    monkeypatch.setattr(line_quality, "BLOCK_LINES", 2)
+    for t in (b"", b"\n", b"a b\nc\na b\n\nc", "é É\n12 ! a a".encode(), prose(5, 400).encode()):
+        features, lengths = line_quality.line_features(t)
+        found, sizes = line_quality.line_scores(t, weights)
+        assert np.allclose(found, features @ weights) and sizes.tolist() == lengths.tolist()
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     lengths, u, moves = [3, 1, 4], rng.normal(size=8), rng.normal(size=(2, 2))
