@@ -35,9 +35,10 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(docs)
     verdicts = found.groupBy(F.xxhash64("doc_id", "text_sha256").alias("row_key")).agg(F.max("kept").alias("kept"))
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col("doc_id"), sha).alias("row_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), sha.alias("sha"), F.xxhash64(F.col("doc_id"), sha).alias("row_key"))
     left = keyed.join(verdicts.filter(~F.col("kept")), "row_key", "left_anti")
-    turn = F.row_number().over(W.partitionBy("row_key").orderBy("row_key"))
+    # by the document itself too, so that different ones whose keys collide both stay
+    turn = F.row_number().over(W.partitionBy("row_key", "doc.doc_id", "sha").orderBy("row_key"))
     return left.withColumn("turn", turn).filter("turn = 1").select("doc.*")
 
 
