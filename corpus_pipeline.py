@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing.
+"""The corpus pipeline: language ID, exact dedup, near dedup by fingerprints and by shingles, mixing, packing.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and works on all
 that the stage before kept.  All but the last return the columns of ``documents``.
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sigloom.llm import exact_dedup, langid, mixing, packing, simhash
+from sigloom.llm import exact_dedup, langid, mixing, packing, similar, simhash
 from sigloom.llm.common import shared_folder, table
 from sigloom.llm.queries import TOKENIZER
 
@@ -47,6 +47,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _staying(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
 
 
+def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word similarity of 0.8 or more the one with the smallest doc_id stays."""
+    return _staying(docs, similar.similar_texts(docs).filter("doc_id <> component_id"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the mix's order, as often as it takes them."""
     return mixing.mixed_documents(docs)
@@ -57,7 +62,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, TOKENIZER)
 
 
-STAGES = [("language_id", identify), ("exact_dedup", dedup_exact), ("near_dedup", dedup_near), ("source_mix", mix), ("best_fit_packing", pack)]
+STAGES = [("language_id", identify), ("exact_dedup", dedup_exact), ("near_dedup", dedup_near), ("similar_dedup", dedup_similar), ("source_mix", mix), ("best_fit_packing", pack)]
 
 #: Fingerprints, tokenizer ids and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -1,0 +1,137 @@
+"""Near copies of texts: Jaccard similarity of their word shingles, verified on the shingles themselves.
+
+Candidates come from MinHash: a text has ``BANDS`` keys, each made of ``BAND_ROWS`` minima, and
+two texts of similarity 0.8 miss each other in all bands once in about ten thousand pairs, of
+0.85 once in eight million.  What is found is compared by the shingles, so no link is wrong.
+
+A band's list is not paired off.  Its first member is compared with all others, and then only
+members that this left outside the first one's component are compared with the rest, so a
+dense group costs about its size.  Both comparisons are joins by text, so no list and no group
+has to fit a task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sigloom.llm.common import settle, slices, with_text
+from sigloom.llm.simhash import components, shingle_hashes
+
+WORDS, SHARE = 5, 0.8
+BANDS, BAND_ROWS = 50, 8
+_RNG = np.random.default_rng(5)
+_TIMES = _RNG.integers(0, 1 << 31, (BANDS * BAND_ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _RNG.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1)).astype(np.uint32)
+
+
+def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    return np.unique(np.frombuffer(shingle_hashes(text, words), np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key per band; a text without words has the same keys as any other such text."""
+    low = (shingles ^ shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for start in range(0, len(low), 512):
+        least = np.minimum(least, (low[start : start + 512] * _TIMES + _PLUS).min(axis=1))
+    raw = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(raw[b].tobytes(), b) for b in range(BANDS)], np.uint64).astype(np.int64)
+
+
+def set_key(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+
+
+def alike(a: np.ndarray, b: np.ndarray, share: float) -> bool:
+    """Whether the shared part of all shingles of both is at least ``share``; two empty sets are alike."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) < share * len(large):
+        return False
+    if not len(large):
+        return True
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return both >= share * (len(a) + len(b) - both)
+
+
+def _key_rows(words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([band_keys(s) for s in sets])))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), bands], names=["doc_id", "key", "bands"])
+
+    return rows
+
+
+def _set_rows(words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
+
+    return rows
+
+
+def _verify_rows(share: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (batch.column(n).to_pylist() for n in ("one", "other"))
+            mask = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share) for x, y in zip(one, other, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(mask)
+
+    return rows
+
+
+def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    met = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("other")), "b")
+    met = met.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("one")), "a")
+    size = F.least(F.length("one"), F.length("other")) >= F.lit(share) * F.greatest(F.length("one"), F.length("other"))
+    return met.filter(size).select("a", "b", "one", "other").mapInArrow(_verify_rows(share), "a long, b long")
+
+
+def similar_texts(docs: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
+    """One row per row of ``docs``: doc_id and component_id, the smallest doc_id reachable by links.
+
+    A link joins texts whose ``words``-word shingles (case and white space aside; a shorter text
+    is one shingle) have Jaccard similarity ``share`` or more.  component_id is null only where
+    every reachable id is null.  Repeated rows are returned as often as they come; an empty
+    table gives an empty result; other columns are not read.
+    """
+    shape = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    keyed = settle(with_text(docs, "doc_id").mapInArrow(_key_rows(words), shape))
+    nodes = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    posts = nodes.select("key", F.explode("bands").alias("post"))
+    heads = posts.groupBy("post").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("head < last").select("post", "head")
+    listed = settle(posts.join(heads, "post"))  # lists of two texts or more
+
+    members = listed.select("key").distinct()
+    ids = nodes.join(members, "key", "left_semi").select(F.col("least").alias("id")).distinct()
+    texts = with_text(docs, "doc_id").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    found = texts.mapInArrow(_set_rows(words), "key long, shingles binary")
+    sets = settle(found.join(members, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
+
+    links = settle(verified(listed.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), sets, share))
+    roots = components(links)
+    own = nodes.select("key").join(members, "key", "left_semi").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    placed = listed.join(own, "key").join(own.select(F.col("key").alias("head"), F.col("root").alias("head_root")), "head")
+    placed = settle(placed.select("post", "key", "head", "root", "head_root"))
+    rest = placed.filter("root <> head_root").select("post", F.col("key").alias("x"), F.col("root").alias("x_root"))
+    met = rest.join(placed.filter("key <> head"), "post").filter("x_root <> root")
+    more = verified(met.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct(), sets, share)
+    roots = components(links.union(more))
+
+    rooted = settle(nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return keyed.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

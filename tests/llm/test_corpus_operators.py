@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fixtures import awkward, frame, got, prose
 
-from sigloom.llm import credentials, exact_dedup, langid, line_quality, mixing, packing, pii, sharding, simhash, telephony
+from sigloom.llm import credentials, exact_dedup, langid, line_quality, mixing, packing, pii, sharding, similar, simhash, telephony
 from sigloom.llm.queries import TOKENIZER, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -423,6 +423,36 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_texts_beyond_three_bits(spark):
+    rows = []
+    for k in range(30):
+        base = prose(k, 150).split()
+        for j in range(6):
+            own = base[:]
+            for e in range(j):  # up to five edits, each in five of 146 shingles
+                own[20 * e + 3 * j] = f"edit{j}x{e}"
+            rows.append((len(rows), " ".join(own), "en", "s", 1))
+    rows += [(1000, "", "en", "s", 1), (1001, None, "en", "s", 1), (1002, "A b", "en", "s", 1), (1003, " a  B", "en", "s", 1), (1004, "a c", "en", "s", 1)]
+    sets = {d: five_words(t) for d, t, *_ in rows}
+    reach = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            union = sets[a] | sets[b]
+            if a < b and reach[a] != reach[b] and len(sets[a] & sets[b]) >= 0.8 * len(union):
+                low, high = sorted((reach[a], reach[b]))
+                reach = {d: low if r == high else r for d, r in reach.items()}
+    got = similar.similar_texts(frame(spark, rows))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == reach and got.count() == len(rows)
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert len(set(reach.values())) < len(set(near.values()))
+    assert similar.similar_texts(empty(spark)).count() == 0
+
+
 # ---- quality
 
 

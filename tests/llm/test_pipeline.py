@@ -58,3 +58,16 @@ def test_stages_on_awkward_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_exact(spark, docs, SF).collect()]
     assert len(kept) == len(set(kept)) == len({t or "" for _, t, *_ in awkward()})
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_dedup"](spark, docs, SF)
+    left = stages["similar_dedup"](spark, near, SF)
+    shingles = []
+    for r in left.collect():
+        w = (r["text"] or "").lower().split()
+        shingles.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    assert left.count() < near.count()
+    assert not any(len(a & b) >= 0.8 * len(a | b) for k, a in enumerate(shingles) for b in shingles[:k])
