@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from sigloom.llm.common import raw_bytes, settle, slices
 
 #: Trigram cells. Distinct trigrams may share one.
 CELLS = 1 << 16
-#: Labelled rows from which the trigram models are fitted, at most.
+#: Labelled rows from which each language's trigram model is fitted, at most.
 FIT_ROWS = 3_000
 #: Overlapping trigrams are not independent: their log-likelihood counts by this factor.
 TEMPER = 0.25
@@ -79,20 +80,24 @@ def _count_rows(langs: list[str]):
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and a table of log-probabilities (cell by language, last column: unknown).
 
-    ``labelled`` has row_id, text, lang.  The ``fit_rows`` rows whose id hashes lowest are
-    used; their number is the bound on what is read here and is a parameter.
+    ``labelled`` has row_id, text, lang.  The languages are those of all rows that have a text
+    with letters; of each the ``fit_rows`` rows whose id and text hash lowest are used.  That
+    number bounds what is read here per language and is a parameter.
     """
-    drawn = labelled.filter("lang is not null").select("row_id", "lang").orderBy(F.xxhash64("row_id"), "row_id").limit(fit_rows)
-    picked = drawn.collect()
-    langs = sorted({r["lang"] for r in picked})
-    ids = drawn.select("row_id").distinct()
-    rows = labelled.filter("lang is not null and text is not null").join(F.broadcast(ids), "row_id", "left_semi").filter(F.col("lang").isin(langs))
+    some = labelled.filter("lang is not null").filter(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]") & (F.octet_length("text") > 2)).withColumn("draw", F.xxhash64("row_id", "text"))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    drawn = some.select("lang", "draw").withColumn("turn", turn).filter(F.col("turn") <= fit_rows).select("lang", "draw").distinct()
+    drawn = settle(drawn)
+    langs = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())  # a row per language
+    rows = some.join(F.broadcast(drawn), ["lang", "draw"], "left_semi")
     counts = np.zeros((CELLS, len(langs)), np.int64)
     if langs:
         for r in rows.select("text", "lang").repartition(4).mapInArrow(_count_rows(langs), "lang string, counts binary").toLocalIterator():
             counts[:, langs.index(r["lang"])] += np.frombuffer(r["counts"], "<i8")
     table = np.empty((CELLS, len(langs) + 1), np.float32)
-    table[:, :-1] = np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * CELLS))
+    # unseen cells share 0.05 a cell, but no more than the distinct ones seen: a model of few texts must not be as even as the unknown's
+    loose = np.minimum(0.05, (counts > 0).sum(axis=0) / CELLS)
+    table[:, :-1] = np.log((counts + loose) / (counts.sum(axis=0) + loose * CELLS))
     table[:, -1] = -np.log(CELLS)
     return langs, table
 

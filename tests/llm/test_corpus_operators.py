@@ -564,6 +564,17 @@ def test_language_from_text_alone(spark):
     assert [r["accepted"] for r in langid.identify_documents(noise, model).orderBy("doc_id").collect()] == [False, False, False]
 
 
+def test_rare_languages_have_models(spark):
+    polish = "Zażółć gęślą jaźń, bo wszystkie dzieci chętnie czytają książki o dawnych czasach i ludziach."
+    rows = [(k, prose(k, 60), "en", "s", 1) for k in range(300)] + [(1000, polish, "pl", "s", 1), (1001, polish + " Dzieci czytają.", None, "s", 1)]
+    rows += [(1002, "中文字 日本語 русский " * 20, None, "x", 1), (1003, "12 34", "xx", "s", 1)]
+    docs = frame(spark, rows)
+    model = langid.fit(docs.select(F.col("doc_id").alias("row_id"), "text", "lang"), fit_rows=20)
+    assert model[0] == ["en", "pl"]
+    out = {r["doc_id"]: r["found_lang"] for r in langid.identify_documents(docs, model).collect()}
+    assert [out[k] for k in (1, 1000, 1001, 1002, 1003)] == ["en", "pl", "pl", "und", "und"]
+
+
 def test_markup_suffix_and_host_decide_where_text_cannot(spark):
     langs = ["de", "en"]
     even = [0.0, 0.0, -5.0]
