@@ -152,8 +152,9 @@ def segment_features(text: str, before: str, after: str) -> list[str]:
 def lattice(text: str, before: str, after: str) -> tuple[list[tuple[int, int]], Iterator[tuple[int, int, str, list[str]]]]:
     """Tokens, and the candidate segments (first token, past token, type, features) by first token.
 
-    One token alone may be of no type; a span of a type holds two digits, begins with a
-    digit, letter, plus or parenthesis and ends with a digit or letter.
+    One token alone may be of no type.  A span of a type begins with a digit, letter, plus or
+    parenthesis and ends with a digit or letter; an ip, card or phone holds two digits, an
+    email one at sign or two digits, and with one at sign its letters may be of any script.
     """
     tokens = [m.span() for m in _TOKEN.finditer(text)]
 
@@ -163,19 +164,22 @@ def lattice(text: str, before: str, after: str) -> tuple[list[tuple[int, int]],
             left = text[s - 1] if s else before
             right = text[e] if e < len(text) else after
             yield i, i + 1, OTHER, ["token=" + (own if not own.isalnum() else "9" * min(len(own), 5) if own[0].isdigit() else "a"), "oleft=" + _side(left), "oright=" + _side(right)]
-            if not (own[0].isascii() and own[0].isalnum() or own in "+("):
+            plain = own[0].isascii() and own[0].isalnum() or own in "+("
+            if not (plain or own[0].isalpha()):
                 continue
             for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
                 at, end = tokens[j - 1]
                 if end - s > MOST_LENGTH or text[at].isspace() and "\n" in text[at:end]:
                     break
-                if not (text[end - 1].isascii() and text[end - 1].isalnum()):
+                ascii_end = text[end - 1].isascii() and text[end - 1].isalnum()
+                if not (ascii_end or text[end - 1].isalpha()):
                     continue
                 span = text[s:end]
-                if len(digits_of(span)) < 2:
+                numeric = plain and ascii_end and len(digits_of(span)) >= 2
+                if not (numeric or span.count("@") == 1):
                     continue
                 features = segment_features(span, left, text[end] if end < len(text) else after)
-                for kind in KINDS:
+                for kind in KINDS if numeric else ("email",):
                     yield i, j, kind, features
 
     return tokens, segments()
@@ -243,6 +247,11 @@ def rewritten(text: str, spans: list[Span], rng: random.Random) -> tuple[str, li
         elif kind == "card" and body.isdigit() and rng.random() < 0.4:
             gap = rng.choice(" -")
             body = gap.join(body[k : k + 4] for k in range(0, len(body), 4))
+        elif kind == "email" and rng.random() < 0.5:
+            name, host = _DIGIT.sub("", body).split("@")
+            if name.strip("._%+-") and host.strip(".-"):
+                name, host = name.strip("._%+-"), host.strip(".-")
+                body = rng.choice((f"{name}@{host}", f"{name} @ {host}", f"{name}@{host.split('.')[0]}", f"{name}é@{host}"))
         new.append((kind, len(out), len(out) + len(body)))
         out += body
         at = e

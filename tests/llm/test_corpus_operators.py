@@ -317,6 +317,20 @@ def test_field_learns_spans_that_the_patterns_miss():
     assert pii.added_spans("on page 14 of 20.", [], weights) == []
 
 
+def test_field_learns_addresses_without_digits():
+    samples = []
+    for k in range(120):
+        body = f"user{20 + k}@mail{k}.example.com"
+        samples.append((f"ask {body} now", [("email", 4, 4 + len(body))]))
+        samples.append((f"page {k} of 9.", []))
+    weights = pii.train(samples)
+    for body in ("jane @ example.com", "josé@example.fr", "jane@localhost"):
+        text = f"ask {body} today"
+        base = pii.base_spans(text)
+        assert base == [] and pii.added_spans(text, base, weights) == [("email", 4, 4 + len(body))], body
+    assert pii.added_spans("meet @ noon on page 7.", [], weights) == []
+
+
 # ---- sharding
 
 
