@@ -244,12 +244,14 @@ def principal(rows: DataFrame, x: str, parts: int = 2) -> tuple[np.ndarray, np.n
     return mean, vectors[:, order], values[order] / values.sum()
 
 
-def low_rank_fill(rows: DataFrame, rank: int, rounds: int = 20, shrink: float = 0.0, tol: float = 1e-4) -> DataFrame:
-    """Missing cells of ``x`` (with ``miss``) from the leading ``rank`` directions, iterated; ``shrink`` soft-thresholds singular values."""
+def low_rank_fill(rows: DataFrame, rank: int, rounds: int = 200, shrink: float = 0.0, tol: float = 1e-4) -> DataFrame:
+    """Missing cells of ``x`` (with ``miss``) from the leading ``rank`` directions, iterated; ``shrink`` soft-thresholds singular values.
+
+    Ends when the missing cells move by less than ``tol``, relative to their size.
+    """
     from sigloom.operators.mixture import filled, sample_means, settle
 
     rows = settle(filled(rows, sample_means(rows)))
-    last = None
     for _ in range(rounds):
         products, _, _ = gram(rows, "x")
         values, vectors = np.linalg.eigh(products)
@@ -261,9 +263,10 @@ def low_rank_fill(rows: DataFrame, rank: int, rounds: int = 20, shrink: float =
         dot = lambda p: F.aggregate(F.zip_with("x", p, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         guess = F.transform(lit, dot)
         new = F.zip_with(F.zip_with("x", "miss", lambda v, m: F.struct(v.alias("v"), m.alias("m"))), guess, lambda c, g: F.when(c["m"], g).otherwise(c["v"]))
-        rows = settle(rows.withColumn("x", new))
-        norm = float(np.linalg.norm(project))
-        if last is not None and abs(norm - last) < tol * max(1.0, last):
+        rows = settle(rows.withColumn("old", F.col("x")).withColumn("x", new))
+        cells = rows.select(F.explode(F.arrays_zip("x", "old", "miss")).alias("c")).filter("c.miss")
+        moved, size = cells.agg(F.sum(F.pow(F.col("c.x") - F.col("c.old"), 2)), F.sum(F.pow("c.x", F.lit(2)))).first()
+        rows = rows.drop("old")
+        if moved is None or moved <= tol * tol * size:
             break
-        last = norm
     return rows

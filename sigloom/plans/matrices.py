@@ -110,13 +110,16 @@ def em_binomial(spark, sf_dir):
     for r in sequence.weights(sequence.counts(sequence.residues(peptides(spark, sf_dir)))).collect():  # 220 rows
         bg[r["pos"] * 20 + ALPHABET.index(r["aa"])] = r["p"]
     got, model = mixture.fit(rows(spark, sf_dir, hide=True), K, "binomial", 1.0, bg, most=6)
-    return mixture.imputed(got, model).select("pep_id", mixture.hard(F.col("r")).alias("cluster"), F.posexplode("x").alias("s", "v")).filter(F.col("v").isNotNull()).groupBy("pep_id", "cluster").agg(F.count(F.lit(1)).alias("cells"))
+    cells = mixture.imputed(got, model).select("pep_id", mixture.hard(F.col("r")).alias("cluster"), F.posexplode(F.arrays_zip("x", "miss")).alias("s", "c")).filter("c.miss")
+    return cells.select("pep_id", "cluster", "s", rounded(F.col("c.x")).alias("x"))
 
 
 @query()
 def low_rank_impute(spark, sf_dir):
-    got = stats.low_rank_fill(rows(spark, sf_dir, hide=True).select("pep_id", "x", "miss"), 5, rounds=6)
-    return got.select("pep_id", F.posexplode("x").alias("s", "v")).groupBy("pep_id").agg(F.count("v").alias("cells"))
+    """The imputed cells, filled until they move by less than 1e-5."""
+    got = stats.low_rank_fill(rows(spark, sf_dir, hide=True).select("pep_id", "x", "miss"), 5, tol=1e-5)
+    cells = got.select("pep_id", F.posexplode(F.arrays_zip("x", "miss")).alias("s", "c")).filter("c.miss")
+    return cells.select("pep_id", "s", rounded(F.col("c.x")).alias("x"))
 
 
 @query(f"""WITH {RESIDUES}, {PAM_SQL}, w AS (SELECT label AS cluster, pos, aa, count(*) AS n FROM res GROUP BY ALL),

@@ -112,6 +112,16 @@ def test_low_rank_fill_recovers_a_rank_one_table(spark):
     assert error.mean() < 0.5 * np.abs(full[gone]).mean()
 
 
+def test_low_rank_fill_iterates_until_the_cells_rest(spark):
+    rng = np.random.default_rng(1)
+    full = np.outer(rng.normal(size=40), rng.normal(size=6))
+    gone = rng.random(full.shape) < 0.1
+    rows = spark.createDataFrame([(i, [None if g else float(v) for v, g in zip(r, m, strict=True)], [bool(g) for g in m]) for i, (r, m) in enumerate(zip(full, gone, strict=True))], "pep_id int, x array<double>, miss array<boolean>")
+    back = {r["pep_id"]: r["x"] for r in stats.low_rank_fill(rows, 1, tol=1e-3).collect()}
+    error = np.abs(np.array([back[i] for i in range(40)]) - full)[gone]
+    assert error.mean() < 0.05 * np.abs(full[gone]).mean()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_bytes("﻿Sample ID,Group\r\nP.N,x\r\n".encode())
     assert files.csv(spark, str(tmp_path / "t.csv")).first().asDict() == {"Sample ID": "P.N", "Group": "x"}
