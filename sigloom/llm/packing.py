@@ -135,10 +135,11 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     most = max(counts.values(), default=0)
     buckets = max(16, -(-most // BUCKET_ROWS))
     spark = pieces.sparkSession
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # settled pieces keep their places, so a row's number is the same whenever a task is run again; ids may be null or shared
+    bucketed = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     ahead = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     before = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(ahead, F.lit(0)).alias("before"))
-    rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
+    rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = bucketed.withColumn("at", rank).join(before, ["length", "bucket"]).withColumn("rank", F.col("at") + F.col("before"))
     # one row per pattern and length: the patterns are at most ``capacity``, so this stays within a few thousand rows
     table = spark.createDataFrame(slots, "slot_length long, lo long, hi long, k long, base long, first long")
@@ -155,8 +156,9 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts count as empty: one piece with the end id alone.  Rows that repeat a doc_id
-    are documents of their own.  An empty table gives an empty result.  Other columns of
-    ``docs`` are not read.
+    Null texts count as empty: one piece with the end id alone.  Texts of any length are
+    encoded whole; only those of more ids than ``capacity`` are cut.  Rows that repeat a doc_id
+    or have none are documents of their own; which of equal lengths goes where follows the
+    rows' places.  An empty table gives an empty result.  Other columns of ``docs`` are not read.
     """
     return pack(token_pieces(docs, tokenizer_path, capacity, end_id), capacity)

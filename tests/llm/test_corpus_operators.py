@@ -2,6 +2,7 @@
 
 import array
 import hashlib
+import json
 import math
 import os
 import re
@@ -79,8 +80,9 @@ def test_token_ids_are_those_of_the_library():
 
     mine, theirs = TextEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
     assert mine.bpe
-    theirs.encode_special_tokens = True
-    odd = ["", "  a", "a  b", "a \n b", "\n\n a b\n ", " ", "<|endoftext|> a", "it's he 'll", "12 34  56", "café \U0001f600", "a b", "x\x00y"]
+    odd = ["", "  a", "a  b", "a \n b", "\n\n a b\n ", " ", "it's he 'll", "12 34  56", "café \U0001f600", "a b", "x\x00y"]
+    mark = "<|endoftext|>"
+    odd += [mark, mark + " a", "a" + mark + "b", f"x {mark} y", mark * 2, f"a \n{mark}\n  {mark}", f"<|endoftext|{mark}|>", "<|endoftext|", " " * 300 + mark + " " * 300 + "z", f"it{mark}'s", f"é{mark}\U0001f600"]
     for t in [*odd, *(x or "" for _, x, *_ in awkward())]:
         assert mine.encode(t) == array.array("I", theirs.encode(t, add_special_tokens=False).ids).tobytes()
 
@@ -96,6 +98,18 @@ def test_long_white_space_is_encoded_like_any_other():
     assert len(mine.encode(" " * 1_000_000 + "a")) > 4
 
 
+def test_files_whose_added_tokens_take_more_than_their_string_go_to_the_library(tmp_path):
+    from sigloom.llm.tokens import TextEncoder
+
+    spec = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    mine, theirs = TextEncoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not mine.bpe
+    for t in ("a  <|endoftext|>b", "<|endoftext|>", "plain text"):
+        assert mine.encode(t) == array.array("I", theirs.encode(t, add_special_tokens=False).ids).tobytes()
+
+
 def test_cut_leaves_the_first_piece_short():
     assert packing.cut(1, 4) == [(0, 1)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]
