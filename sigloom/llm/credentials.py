@@ -2,10 +2,11 @@
 
 Three base patterns (assignments, access identifiers, hexadecimal runs) are reported
 wherever they match.  Weak parts (an opaque token, a named user or client identifier, an
-endpoint) mean nothing alone.  They are joined by intervals: within a scope, a run of lines
-without a blank one, a weak part is reported only when a complementary part lies within
-``REACH`` code points of it.  Spans of one kind don't overlap, so in sorted order the
-nearest partner is next to the place where the part would stand: no pairs are enumerated.
+endpoint) mean nothing alone.  They are joined by intervals: a scope is a run of lines
+without a blank one, and a weak part is reported only when a complementary part lies in its
+scope, however far away; it is linked to the nearest.  Spans of one kind don't overlap, so
+in sorted order the nearest partner is next to the place where the part would stand: no
+pairs are enumerated.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ Span = tuple[str, int, int]
 #: Base kinds in the order in which they are listed.
 BASE = ("assign", "access", "hex")
 WEAK = ("weak_secret", "weak_user", "endpoint")
-#: Code points between complementary parts, at most.
-REACH = 400
 #: What completes a weak part: an opaque token needs who or where, the others need a secret.
 COMPLETES = {
     "weak_secret": ("access", "weak_user", "endpoint"),
@@ -44,7 +43,7 @@ _ASSIGN_HINT = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+")
-_USER = re.compile(r"""(?i:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9._@-]{3,})""", re.ASCII)
+_USER = re.compile(r"""(?i:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9._@-]{3,})""", re.ASCII)
 _ENDPOINT = re.compile(r"(?:https?|ftp|ssh|postgres(?:ql)?|mysql|redis|amqp|s3)://[A-Za-z0-9._~:@/-]{3,}")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -94,7 +93,7 @@ def _running_most(values: list[int]) -> list[int]:
     return out
 
 
-def link(text: str, base: list[Span], weak: list[Span], reach: int = REACH) -> list[tuple[Span, Span]]:
+def link(text: str, base: list[Span], weak: list[Span]) -> list[tuple[Span, Span]]:
     """Each weak part that has one, with its nearest complementary part in the same scope."""
     if not weak:
         return []
@@ -111,7 +110,7 @@ def link(text: str, base: list[Span], weak: list[Span], reach: int = REACH) -> l
                 k = bisect_left(starts[kind], span[1])
                 for other in by_kind[kind][max(0, k - 1) : k + 1]:
                     gap = max(0, other[1] - span[2], span[1] - other[2])
-                    if gap <= reach and bisect_left(blanks, other[1]) == bisect_left(blanks, span[1]):
+                    if bisect_left(blanks, other[1]) == bisect_left(blanks, span[1]):
                         near.append((gap, other[1], other))
         if near:
             out.append((span, min(near)[2]))
@@ -147,8 +146,10 @@ def find_credentials(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, links.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind,
-    comma-joined; ``links`` pairs each weak part with the part that completes it.  Null texts
-    count as empty and give no spans; repeated rows are scanned alike.  Other columns are not read.
+    comma-joined; ``links`` pairs each weak part with the part that completes it, and of two as
+    near with the one that begins first.  Texts of any length are scanned whole, in time that
+    grows with their length.  Null texts count as empty and give no spans; repeated rows are
+    scanned alike; an empty table gives an empty result.  Other columns are not read.
     """
     shape = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), *(T.StructField(n, T.StringType()) for n in ("base_sha256", "spans", "links"))])
     return with_text(docs, "doc_id").mapInArrow(_scan_rows, shape)
