@@ -1,19 +1,26 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in a shuffled order, repeated where its target
-exceeds its size.  An entry's virtual finish time is the cumulative words of its source up
-to and with it, divided by the source's target; entries are served in the order of these
-times over all sources, and service ends when the total budget is spent.  As the targets
-are shares of that budget, this is virtual time 1: entries that finish by then are taken
-whole, and the one that each source then has in service as far as it has got.
-
-Cumulative sums never walk a whole source in one task: documents fall into buckets of the
-shuffled order, bucket totals (one small row each) give the start of each bucket, and only
-inside a bucket are rows summed in order.
+exceeds its size, and a document is served in packets of at most ``PACKET_WORDS`` words, so
+that a long one doesn't hold up its source's share.  A packet's virtual finish time is the
+cumulative words of its source up to and with it, divided by the source's target.  All
+packets are range-sorted by these times, and service ends where their running sum reaches
+the total budget: the last packet counts as far as the budget goes.  The words that a
+source is served stay within about a packet of its target.
+
+Cumulative sums never walk a whole source, or the whole schedule, in one task.  Inside a
+source documents fall into buckets of the shuffled order; bucket totals (one small row each)
+give the start of each bucket, and only inside a bucket are rows summed in order.  The
+schedule is laid out by ranges of finish time; a total for each range gives its start.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +35,8 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 10_000
 #: Documents of the largest source in a bucket, about, and the fewest buckets; they grow with the table.
 BUCKET_ROWS, LEAST_BUCKETS = 4_000, 256
+#: Words of a packet, at most.
+PACKET_WORDS = 128
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,9 +69,10 @@ def fair_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] =
     return targets
 
 
-def shuffle_key(doc_id: str = "doc_id", seed: str = SEED) -> Column:
-    """The place of a document in the shuffled order: a hash of its id, so that reruns agree."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def shuffle_key(seed: str = SEED) -> Column:
+    """The place of a document in the shuffled order: a hash of its id and text, so that reruns agree and rows without an id spread."""
+    own = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
 def row_key() -> Column:
@@ -70,27 +80,72 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "source", "text")
 
 
-def queue_places(sized: DataFrame, targets: DataFrame, rows_in_largest: int, seed: str = SEED) -> DataFrame:
-    """``sized`` (doc_id, source, size, more) with source_size, target and ``before``: the words of its source ahead of it."""
+def queue_places(sized: DataFrame, targets: DataFrame, rows_in_largest: int) -> DataFrame:
+    """``sized`` (row, doc_id, source, size, key, more) with source_size, target and ``before``: the words of its source ahead of it."""
     buckets = max(LEAST_BUCKETS, -(-rows_in_largest // BUCKET_ROWS))
     keyed = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    keyed = keyed.withColumn("key", shuffle_key(seed=seed))
     keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
     ahead = F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(ahead, F.lit(0)).alias("bucket_before"))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row_key").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     return joined.withColumn("before", F.col("ahead") + F.col("bucket_before")).drop("s", "b", "bucket", "ahead", "bucket_before", "key")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
-    """The schedule: one row per document and round that the mix takes, wholly or in part.
+def packets(placed: DataFrame, repeats: int, most: int) -> DataFrame:
+    """A row for each packet of each round: words, upto (words of its source up to its end) and finish (virtual finish time).
 
-    doc_id, row_key, source, size, source_size, target, round (0 first), taken (words), finish
-    (virtual finish time), before.  Also entries with no words taken are returned for round 0.
+    A document without words is one empty packet.
+    """
+    count = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(most)).cast("int"))
+    cut = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("packet", F.explode(F.sequence(F.lit(0), count - 1)))
+    end = F.least(F.col("size"), (F.col("packet") + 1).cast("long") * most)
+    cut = cut.withColumn("words", end - F.col("packet").cast("long") * most).withColumn("upto", F.col("round") * F.col("source_size") + F.col("before") + end)
+    return cut.withColumn("finish", F.when(F.col("target") > 0, F.col("upto") / F.col("target")).otherwise(F.lit(0.0))).drop("before", "packet")
+
+
+def _cut_rows(starts: dict[int, int], budget: int):
+    """Replaces ``words`` of packets in the order of their finish by what the budget leaves for them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent: dict[int, int] = {}
+        for batch in batches:
+            part, words = (np.asarray(batch.column(n)).astype(np.int64) for n in ("part", "words"))
+            ahead = np.zeros(len(words), np.int64)
+            for p in np.unique(part).tolist():
+                own = part == p
+                upto = spent.get(p, starts[p]) + np.cumsum(words[own])
+                ahead[own] = upto - words[own]
+                spent[p] = int(upto[-1])
+            served = np.clip(budget - ahead, 0, words)
+            kept = [n for n in batch.schema.names if n not in ("part", "words")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(served)], names=[*kept, "served"])
+
+    return rows
+
+
+def serve(schedule: DataFrame, budget: int) -> DataFrame:
+    """Range-sorts the packets by finish time and cuts them where their running sum reaches the budget.
+
+    ``words`` gives way to ``served``.  The layout is settled with its ranges' numbers; what
+    travels to the driver and back is one number a range.
     """
-    sized = settle(docs.select("doc_id", "source", row_key().alias("row_key"), words(F.col("text")).alias("size")))
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("upto"), F.col("row")]
+    laid = settle(schedule.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).drop("source", "upto"))
+    totals = {r["part"]: r["n"] for r in laid.groupBy("part").agg(F.sum("words").alias("n")).collect()}  # a row per range
+    starts, ahead = {}, 0
+    for part in sorted(totals):
+        starts[part] = ahead
+        ahead += totals[part]
+    kept = [f for f in laid.schema.fields if f.name not in ("part", "words")]
+    return laid.mapInArrow(_cut_rows(starts, budget), T.StructType([*kept, T.StructField("served", T.LongType())]))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS, seed: str = SEED, packet_words: int = PACKET_WORDS) -> DataFrame:
+    """The packets after the cut: row, doc_id, row_key, size, source_size, target, round (0 first), finish, served (words)."""
+    text_of = docs.select("doc_id", "source", row_key().alias("row_key"), words(F.col("text")).alias("size"), shuffle_key(seed).alias("key"))
+    sized = settle(text_of).withColumn("row", F.monotonically_increasing_id())
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).collect()  # a row per source
     spark = docs.sparkSession
     targets = fair_targets([(r["source"], r["source_size"]) for r in totals], weights, share, repeats)
@@ -99,39 +154,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     table = spark.createDataFrame([(r["source"], r["source_size"], targets[r["source"]]) for r in totals], shape)
     if len(totals) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    placed = queue_places(sized, table, max((r["rows"] for r in totals), default=0), seed)
-    rounds = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    ahead = F.col("round") * F.col("source_size") + F.col("before")
-    served = F.floor(F.col("target")) - ahead  # what virtual time 1 leaves for the entry
-    taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), served))
-    finish = F.when(F.col("target") > 0, (ahead + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
-    return rounds.select("doc_id", "row_key", "source", "size", "source_size", "target", "round", taken.alias("taken"), finish.alias("finish"), "before").filter("round = 0 or taken > 0")
+    placed = queue_places(sized, table, max((r["rows"] for r in totals), default=0))
+    # the targets add up to half words at most, but for rounding
+    budget = math.floor(sum(targets.values()) + 1e-3)
+    return serve(packets(placed, repeats, packet_words), budget)
 
 
 def mix_table(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (repeats counted).
 
-    Size is the number of words; null texts have none.  A null source is a source.  Rows that
-    repeat a doc_id are documents of their own.  An empty table gives an empty result.
+    Size is the number of words of the whole text; null and empty texts have none and are
+    taken for none.  A null source is a source.  Rows that repeat a doc_id are documents of
+    their own; of packets that finish together the source that comes first in code point order
+    is served first.  An empty table gives an empty result.  Other columns are not read.
     """
-    schedule = mix(docs, **options)
-    most = options.get("repeats", MOST_REPEATS)
-    whole = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor(F.col("target")) - F.col("before")))
-    later = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor(F.col("target")) - k * F.col("source_size") - F.col("before"))) for k in range(1, most)]
-    return schedule.filter("round = 0").select("doc_id", "size", "source_size", "target", sum(later, whole).alias("taken"))
+    whole = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    return mix(docs, **options).groupBy("row").agg(*whole, F.sum("served").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, in the columns of ``docs``: each entry served, range-sorted by virtual finish time.
+    """The mix itself, in the columns of ``docs``: each document served, range-sorted by virtual finish time.
 
-    A document whose target round takes it twice comes twice.  The one entry per source that is
-    in service when the budget ends is taken if at least half of it was served: documents stay whole.
+    A document that two rounds serve comes twice.  One that is in service when the budget ends
+    is taken if at least half of it was served: documents stay whole.  Documents without words
+    (null, empty, blank) have nothing to serve and go.  An empty table gives an empty result.
     """
-    entries = mix(docs, **options).filter("taken > 0 and 2 * taken >= size").select("row_key", "round", "finish")
+    served = mix(docs, **options).groupBy("row", "round").agg(F.first("row_key").alias("row_key"), F.first("size").alias("size"), F.sum("served").alias("taken"), F.max("finish").alias("finish"))
+    entries = served.filter("taken > 0 and 2 * taken >= size").select("row_key", "round", "finish")
     turn = W.partitionBy("row_key", "round").orderBy("finish")
     entries = entries.repartition("row_key").select("row_key", "finish", F.row_number().over(turn).alias("entry_turn"))
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), row_key().alias("row_key"))
     rows = keyed.withColumn("row_turn", F.row_number().over(W.partitionBy("row_key").orderBy("row_key")))
     # written as a difference so that the join's only key is the one by which both sides lie
-    served = rows.join(entries, "row_key").filter(F.col("row_turn") - F.col("entry_turn") == 0)
-    return served.repartitionByRange("finish").sortWithinPartitions("finish").select("doc.*")
+    met = rows.join(entries, "row_key").filter(F.col("row_turn") - F.col("entry_turn") == 0)
+    return met.repartitionByRange("finish").sortWithinPartitions("finish").select("doc.*")

@@ -80,7 +80,7 @@ FROM d JOIN g USING (t)
 SOURCE_MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS k
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
@@ -98,15 +98,20 @@ w AS (
 t AS (
   SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * rate) AS target FROM w CROSS JOIN r
 ), p AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, row_number() OVER () AS id,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - before))
-        + greatest(0, least(size, floor(target)::BIGINT - source_size - before)))::BIGINT AS taken
-FROM p
+), c AS (
+  SELECT p.*, r * source_size + before + least(size, (i + 1) * 128) AS upto, least(size, (i + 1) * 128) - i * 128 AS words
+  FROM p, range(2) x(r), LATERAL (SELECT unnest(range(greatest(1, (size + 127) // 128))) AS i)
+), s2 AS (
+  SELECT *, sum(words) OVER (ORDER BY CASE WHEN target > 0 THEN upto::DOUBLE / target ELSE 0 END, source NULLS LAST, upto, id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM c
+), b AS (SELECT floor(sum(target) + 0.001)::BIGINT AS budget FROM t)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       sum(greatest(0, least(words, budget - (spent - words))))::BIGINT AS taken
+FROM s2, b GROUP BY id
 """
 
 

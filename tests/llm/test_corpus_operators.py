@@ -278,11 +278,51 @@ def test_mix_table(spark):
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[s] = taken.get(s, 0) + r["taken"]
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 1
+        assert abs(taken[s] - target[s]) <= mixing.PACKET_WORDS
+    assert sum(taken.values()) == int(sum(target.values()) + 1e-3)
     assert got(mixing.mix_table(frame(spark).repartition(5))) == got(mixing.mix_table(frame(spark)))
     assert mixing.mix_table(empty(spark)).count() == 0
 
 
+def plain_schedule(rows, packet):
+    """Words taken of each row: all packets sorted by finish time, cut at the budget."""
+    docs, sizes, target = plain_mix(rows)
+    key = [hashlib.md5(f"mix-1:{'' if d is None else d}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest() for d, t, *_ in rows]
+    queue = []
+    for s in sizes:
+        own = sorted((k for k in range(len(rows)) if docs[k][1] == s), key=lambda k: (key[k], docs[k][0] or -1, docs[k][2]))
+        upto = 0
+        for _ in range(2):
+            for k in own:
+                for at in range(0, docs[k][2], packet):
+                    n = min(packet, docs[k][2] - at)
+                    upto += n
+                    queue.append((upto / target[s], (s is None, s or ""), upto, k, n))
+    left, taken = int(sum(target.values()) + 1e-3), [0] * len(rows)
+    for _, _, _, k, n in sorted(queue):
+        taken[k] += min(n, left)
+        left -= min(n, left)
+    return sorted((docs[k][0] is None, docs[k][0] or 0, docs[k][2], taken[k]) for k in range(len(rows)))
+
+
+@pytest.mark.parametrize("packet", [1, 7, 128, 100_000])
+def test_mix_is_the_sorted_schedule_cut_at_the_budget(spark, packet):
+    rows = [*awkward(), *[(100 + k, prose(k, 5 + 37 * k % 400), "en", "abc"[k % 3], 1) for k in range(40)]]
+    table = mixing.mix_table(frame(spark, rows), packet_words=packet).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"]) for r in table) == plain_schedule(rows, packet)
+
+
+def test_mix_is_laid_out_by_ranges_of_finish_time(spark):
+    seen = []
+    held = mixing.settle
+    try:
+        mixing.settle = lambda df: (seen.append(df._jdf.queryExecution().toString()), held(df))[1]
+        mixing.mix_table(frame(spark))
+    finally:
+        mixing.settle = held
+    assert any("rangepartitioning(finish" in x for x in seen)
+
+
 def test_mixed_documents_are_whole_and_ordered(spark):
     docs = frame(spark, clash=True)
     out = mixing.mixed_documents(docs)
