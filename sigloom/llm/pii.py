@@ -36,8 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = "-"
 #: Tokens and characters of a segment, at most; the longest address has 64, a sign and 255.
 MOST_TOKENS, MOST_LENGTH = 18, 320
-#: The training sample: texts read, islands used of them, passes over these.
-SAMPLE_DOCS, SAMPLE_ISLANDS, PASSES = 6_000, 600, 3
+#: The training sample: texts read, islands used of them and their length at most, passes over these.
+SAMPLE_DOCS, SAMPLE_ISLANDS, SAMPLE_LENGTH, PASSES = 6_000, 600, 200, 3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -135,18 +135,33 @@ def _side(c: str) -> str:
     return "edge" if not c else "space" if c.isspace() else "digit" if c.isdigit() else "letter" if c.isalpha() else c
 
 
-def segment_features(text: str, before: str, after: str) -> list[str]:
-    """What a candidate span holds as a whole, and its neighbours' kinds."""
-    d = digits_of(text)
-    n = len(d)
-    size = str(n) if n < 17 else "17+"
-    shape = re.sub("[0-9]+", lambda m: "9" * min(len(m[0]), 4) + "+" * (len(m[0]) > 4), re.sub("[A-Za-z]+", "a", text))[:24]
-    out = ["bias", "digits=" + size, "shape=" + shape, "at=%d" % text.count("@"), "dots=%d" % min(text.count("."), 4), "first=" + _side(text[0]), "last=" + _side(text[-1]), "left=" + _side(before), "right=" + _side(after), "letters=%d" % any(c.isalpha() for c in text), "space=%d" % (" " in text), "dash=%d" % ("-" in text), "paren=%d" % ("(" in text)]
-    if 12 <= n <= 19:
-        out.append("luhn=%d" % luhn(d))
-    if text.count(".") == 3 and all(x.isdecimal() for x in text.split(".")):
-        out.append("octets=%d" % all(int(x[:6]) <= 255 for x in text.split(".")))
-    return out
+class Measures:
+    """Running sums over a stretch's tokens, from which any segment's features follow without walking it."""
+
+    COUNTED = ("0123456789", "@", ".", " ", "-", "(")
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]]):
+        self.text, self.tokens = text, tokens
+        words = [text[s:e] for s, e in tokens]
+        self.shapes = [("9" * min(len(w), 4) + "+" * (len(w) > 4)) if "0" <= w[0] <= "9" else "a" if w[0].isascii() and w[0].isalpha() else w for w in words]
+        runs = [[len(w) * ("0" <= w[0] <= "9") for w in words], *([w.count(c) for w in words] for c in self.COUNTED[1:]), [any(map(str.isalpha, w)) for w in words]]
+        self.sums = [[0, *accumulate(run)] for run in runs]
+
+    def counts(self, i: int, j: int) -> list[int]:
+        """Digits, at signs, dots, spaces, dashes, parentheses and words with letters in tokens i to j."""
+        return [run[j] - run[i] for run in self.sums]
+
+    def features(self, i: int, j: int, before: str, after: str) -> list[str]:
+        """What a candidate span holds as a whole, and its neighbours' kinds."""
+        text = self.text[self.tokens[i][0] : self.tokens[j - 1][1]]
+        n, at, dots, spaces, dashes, parens, letters = self.counts(i, j)
+        size = str(n) if n < 17 else "17+"
+        out = ["bias", "digits=" + size, "shape=" + "".join(self.shapes[i:j]), "at=%d" % at, "dots=%d" % min(dots, 4), "first=" + _side(text[0]), "last=" + _side(text[-1]), "left=" + _side(before), "right=" + _side(after), "letters=%d" % (letters > 0), "space=%d" % (spaces > 0), "dash=%d" % (dashes > 0), "paren=%d" % (parens > 0)]
+        if 12 <= n <= 19:
+            out.append("luhn=%d" % luhn(digits_of(text)))
+        if dots == 3 and all(x.isdecimal() for x in text.split(".")):
+            out.append("octets=%d" % all(map(octet, text.split("."))))
+        return out
 
 
 def lattice(text: str, before: str, after: str) -> tuple[list[tuple[int, int]], Iterator[tuple[int, int, str, list[str]]]]:
@@ -157,6 +172,8 @@ def lattice(text: str, before: str, after: str) -> tuple[list[tuple[int, int]],
     email one at sign or two digits, and with one at sign its letters may be of any script.
     """
     tokens = [m.span() for m in _TOKEN.finditer(text)]
+    held = Measures(text, tokens)
+    digits, signs = held.sums[0], held.sums[1]
 
     def segments() -> Iterator[tuple[int, int, str, list[str]]]:
         for i, (s, e) in enumerate(tokens):
@@ -174,11 +191,10 @@ def lattice(text: str, before: str, after: str) -> tuple[list[tuple[int, int]],
                 ascii_end = text[end - 1].isascii() and text[end - 1].isalnum()
                 if not (ascii_end or text[end - 1].isalpha()):
                     continue
-                span = text[s:end]
-                numeric = plain and ascii_end and len(digits_of(span)) >= 2
-                if not (numeric or span.count("@") == 1):
+                numeric = plain and ascii_end and digits[j] - digits[i] >= 2
+                if not (numeric or signs[j] - signs[i] == 1):
                     continue
-                features = segment_features(span, left, text[end] if end < len(text) else after)
+                features = held.features(i, j, left, text[end] if end < len(text) else after)
                 for kind in KINDS if numeric else ("email",):
                     yield i, j, kind, features
 
@@ -309,14 +325,14 @@ class Touching:
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Islands of up to 200 characters with the base spans in them, for training."""
+    """Islands of up to ``SAMPLE_LENGTH`` characters with the base spans in them, for training."""
     for whole in batches:
         for batch in slices(whole):
             texts, spans = [], []
             for text in batch.column("text").to_pylist():
                 near = Touching(base_spans(text))
                 for s, e in islands(text):
-                    if e - s > 200:
+                    if e - s > SAMPLE_LENGTH:
                         continue
                     touching = near(s, e)
                     own = [(k, a - s, b - s) for k, a, b in touching if s <= a and b <= e]
@@ -327,7 +343,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_islands: int = SAMPLE_ISLANDS) -> Weights:
-    """Trains on the islands of the ``sample_docs`` rows whose id hashes lowest; both bounds are parameters."""
+    """Trains on the islands of the ``sample_docs`` rows whose id hashes lowest; these bounds are parameters, and training alone is bounded."""
     drawn = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
     rows = with_text(docs, "doc_id").join(F.broadcast(drawn), "doc_id", "left_semi")
     found = rows.mapInArrow(_sample_rows, "island string, spans string").orderBy(F.xxhash64("island"), "spans").limit(sample_islands).collect()
@@ -374,7 +390,8 @@ def find_personal_data(docs: DataFrame, weights: Weights | None = None) -> DataF
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and hash are of the base spans; ``spans`` has the field's too.  Spans are
-    ``kind:start:end`` in code points, end exclusive, by start and then kind.  Null texts count
+    ``kind:start:end`` in code points, end exclusive, by start and then kind.  Texts of any
+    length are scanned whole; time grows with their length.  Null texts count
     as empty and give no spans; repeated rows are scanned alike.  An empty table gives an empty
     result (and an untrained field).  Other columns are not read.
     """
