@@ -1,9 +1,10 @@
 """Telephony audio in a table: companded and ADPCM samples stored, decoded and resampled.
 
 Payload bytes are stored as they are in a RIFF/WAVE container: mu-law or A-law codes, one
-byte a sample, or IMA ADPCM nibbles in blocks of 64 data bytes behind a four-byte header.
-Decoding expands companded codes by lookup tables and runs ADPCM with numpy across all
-blocks at once, step by step inside a block; the PCM is resampled from 8 to 16 kHz.
+byte a sample, or IMA ADPCM blocks: a four-byte header, whose predictor is the block's first
+sample, and 64 data bytes of two codes each, so 129 samples a block.  Decoding expands
+companded codes by lookup tables and runs ADPCM with numpy across all blocks at once, step
+by step inside a block; the PCM is resampled from 8 to 16 kHz by polynomial interpolation.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from sigloom.llm.common import slices, with_text
 RATE, RESAMPLED = 8_000, 16_000
 #: Payloads are whole multiples of this many bytes; an ADPCM block holds as many.
 UNIT = 64
+#: Samples of an ADPCM block: the header's predictor and two for each data byte.
+BLOCK_SAMPLES = 2 * UNIT + 1
+#: Samples to either side from which one between two neighbours is interpolated.
+REACH = 4
 #: Format tags of the container.
 ALAW, MULAW, ADPCM = 6, 7, 17
 CODECS = (MULAW, ALAW, ADPCM)
@@ -57,12 +62,13 @@ def container(payload: bytes, codec: int) -> bytes:
     """A WAVE file that holds the payload losslessly in the codec's samples."""
     if codec == ADPCM:
         data = b"".join(b"\0\0\0\0" + payload[k : k + UNIT] for k in range(0, len(payload), UNIT))
-        extra = struct.pack("<HH", 2, 2 * UNIT)
-        fmt = struct.pack("<HHIIHH", codec, 1, RATE, RATE * (UNIT + 4) // (2 * UNIT), UNIT + 4, 4) + extra
+        fmt = struct.pack("<HHIIHHHH", codec, 1, RATE, RATE * (UNIT + 4) // BLOCK_SAMPLES, UNIT + 4, 4, 2, BLOCK_SAMPLES)
+        held = len(payload) // UNIT * BLOCK_SAMPLES
     else:
-        data, fmt = payload, struct.pack("<HHIIHHH", codec, 1, RATE, RATE, 1, 8, 0)
-    body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+        data, held = payload, len(payload)
+        fmt = struct.pack("<HHIIHHH", codec, 1, RATE, RATE, 1, 8, 0)
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body
+    return chunk(b"RIFF", b"WAVE" + chunk(b"fmt ", fmt) + chunk(b"fact", struct.pack("<I", held)) + chunk(b"data", data))
 
 
 def samples(media: bytes) -> tuple[int, bytes]:
@@ -92,20 +98,21 @@ def payload_of(codec: int, data: bytes) -> bytes:
 
 
 def adpcm(blocks: np.ndarray) -> np.ndarray:
-    """PCM of IMA ADPCM blocks (rows of header and data bytes), decoded side by side."""
+    """PCM of IMA ADPCM blocks (rows of header and data bytes), decoded side by side; the header's predictor comes first."""
     head = np.ascontiguousarray(blocks[:, :4])
     value = head[:, :2].copy().view("<i2").ravel().astype(np.int32)
     index = np.clip(head[:, 2].astype(np.int32), 0, len(STEPS) - 1)
     data = np.ascontiguousarray(blocks[:, 4:].T)
-    out = np.empty((2 * data.shape[0], len(blocks)), np.int16)
-    for k in range(out.shape[0]):
+    out = np.empty((1 + 2 * data.shape[0], len(blocks)), np.int16)
+    out[0] = value
+    for k in range(2 * data.shape[0]):
         code = data[k >> 1] >> 4 if k & 1 else data[k >> 1] & 15
         step = STEPS[index]
         size = step >> 3
         size = size + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
         value = np.clip(np.where(code & 8, value - size, value + size), -32768, 32767)
         index = np.clip(index + INDEX_STEPS[code & 7], 0, len(STEPS) - 1)
-        out[k] = value
+        out[k + 1] = value
     return out.T
 
 
@@ -123,12 +130,22 @@ def decode(parts: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return pcm
 
 
+def halfway_taps(reach: int = REACH) -> np.ndarray:
+    """Weights, in 2048ths, of the samples around a midpoint: the polynomial through all of them, taken there."""
+    at = np.arange(-reach + 0.5, reach)
+    return np.rint([2048 * np.prod([-b / (a - b) for b in at if b != a]) for a in at]).astype(np.int64)
+
+
+TAPS = halfway_taps()
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: every sample, and between neighbours their mean rounded down; the last is held."""
+    """Twice the rate: every sample, and between neighbours the polynomial through the nearest; the ends are held."""
     out = np.empty(2 * len(pcm), np.int16)
     out[::2] = pcm
-    following = np.append(pcm[1:], pcm[-1:])
-    out[1::2] = pcm.astype(np.int32) + following >> 1
+    wide = np.pad(pcm.astype(np.int32), (REACH - 1, REACH), mode="edge") if len(pcm) else np.zeros(0, np.int32)
+    middle = sum(int(t) * wide[k : k + len(pcm)] for k, t in enumerate(TAPS))
+    out[1::2] = np.clip(middle + 1024 >> 11, -32768, 32767) if len(pcm) else 0
     return out
 
 
@@ -173,8 +190,8 @@ def as_media(docs: DataFrame, columns: tuple[str, ...] = tuple(KINDS)) -> DataFr
     """One row per row of ``docs``: doc_id and the ``columns`` asked for.
 
     ``media`` is the WAVE file, ``pcm`` the resampled 16-bit samples; the rest are their
-    digests.  The codec follows from the payload, so equal texts have equal values.  Null
-    texts count as empty: one unit of zero bytes.  An empty table gives an empty result;
+    digests.  The codec follows from the payload, so equal texts have equal values.  Texts of
+    any length are stored whole.  Null texts count as empty: one unit of zero bytes.  An empty table gives an empty result;
     repeated rows are stored alike; other columns are not read.
     """
     shape = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, KINDS[c]) for c in columns)])

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import struct
 import sys
 import zlib
 from itertools import combinations
@@ -682,6 +683,31 @@ def test_companding_tables():
     mu, a = telephony.TABLES[telephony.MULAW], telephony.TABLES[telephony.ALAW]
     assert (mu[0x00], mu[0x7F], mu[0x80], mu[0xFF]) == (-32124, 0, 32124, 0)
     assert (a[0x55], a[0xD5], a[0x2A], a[0xAA]) == (-8, 8, -32256, 32256)
+    for code in range(256):  # sign, segment and step as the recommendation words them
+        x = ~code & 255
+        size = ((x & 15) * 2 + 33) * 2 ** (x >> 4 & 7) - 33
+        assert mu[code] == (-4 if x & 128 else 4) * size
+        y = code ^ 0x55
+        step = (y & 15) * 2 + 1
+        size = step if not y >> 4 & 7 else (step + 32) * 2 ** ((y >> 4 & 7) - 1)
+        assert a[code] == (8 if y & 128 else -8) * size
+
+
+def test_resampling_is_the_polynomial_through_eight_samples():
+    x = np.arange(40)
+    for power in range(4):  # a polynomial of low degree is met, but for rounding
+        pcm = np.rint(9000 * (x / 40) ** power).astype(np.int16)
+        out = telephony.resample(pcm)
+        assert (out[::2] == pcm).all()
+        inner = slice(4, 35)
+        assert np.abs(out[1::2][inner] - 9000 * ((x[inner] + 0.5) / 40) ** power).max() <= 2
+    rng = np.random.default_rng(8)
+    pcm = rng.integers(-32768, 32768, 50).astype(np.int16)
+    for k in range(50):
+        near = [int(pcm[min(max(k + d, 0), 49)]) for d in range(-3, 5)]
+        want = sum(n * int(t) for n, t in zip(near, telephony.TAPS, strict=True)) + 1024 >> 11
+        assert telephony.resample(pcm)[2 * k + 1] == max(-32768, min(32767, want))
+    assert sum(telephony.TAPS) == 2048 and len(telephony.resample(pcm[:1])) == 2 and not len(telephony.resample(pcm[:0]))
 
 
 def test_blocks_decode_as_one_by_one():
@@ -689,7 +715,7 @@ def test_blocks_decode_as_one_by_one():
     blocks = rng.integers(0, 256, (5, 68)).astype(np.uint8)
     blocks[:, 2] %= 89
     for row, out in zip(blocks, telephony.adpcm(blocks), strict=True):
-        value, index, want = int(row[:2].view("<i2")[0]), int(row[2]), []
+        value, index, want = int(row[:2].view("<i2")[0]), int(row[2]), [int(row[:2].view("<i2")[0])]
         for byte in row[4:].tolist():
             for code in (byte & 15, byte >> 4):
                 step = int(telephony.STEPS[index])
@@ -705,6 +731,13 @@ def test_container_is_lossless(codec):
     payload = bytes(range(256)) * 2
     media = telephony.container(payload, codec)
     assert telephony.payload_of(*telephony.samples(media)) == payload
+    pcm = telephony.decode([telephony.samples(media)])[0]
+    at = media.index(b"fact")
+    assert struct.unpack_from("<I", media, at + 8)[0] == len(pcm) == (8 * 129 if codec == telephony.ADPCM else 512)
+    fmt = media.index(b"fmt ") + 8
+    if codec == telephony.ADPCM:
+        assert struct.unpack_from("<HHIIHHHH", media, fmt) == (17, 1, 8000, 8000 * 68 // 129, 68, 4, 2, 129)
+    assert struct.unpack_from("<I", media, 4)[0] == len(media) - 8
     for broken in (b"", media[:20], media.replace(b"WAVE", b"WAVX")):
         with pytest.raises(ValueError):
             telephony.samples(broken)
@@ -721,7 +754,10 @@ def test_media_of_awkward_rows(spark):
         assert not payload[r["n_bytes"] :].strip(b"\0") and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == len(r["media"])
         assert by_text.setdefault(text, r["feature"]) == r["feature"]
-        assert f"samples={len(r['pcm']) // 2};" in r["feature"]
+        pcm = np.frombuffer(bytes(r["pcm"]), "<i2").tolist()
+        flips = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:], strict=False))
+        assert pcm == telephony.resample(telephony.decode([(codec, data)])[0]).tolist()
+        assert r["feature"] == f"codec={codec};rate=16000;samples={len(pcm)};peak={max(map(abs, pcm))};power={sum(x * x for x in pcm) // len(pcm)};flips={flips}"
     assert sorted(by_text) == sorted({(t or "").encode() for _, t, *_ in awkward()})
     assert telephony.as_media(empty(spark)).count() == 0
 
