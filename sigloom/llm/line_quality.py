@@ -5,7 +5,8 @@ repeat, whether it came before) and those of the lines beside it; neighbouring l
 tied by transition weights.  A document's quality is the mean of its lines' marginal
 probabilities of being good, by forward-backward, weighted by line length, and calibrated
 by a logistic curve.  Labels exist for documents only, so in training each line takes its
-document's; the field is fitted by its likelihood gradient on a bounded sample.
+document's; the field is fitted by its likelihood gradient on a sample that is bounded in
+documents and in lines.  Texts stay on the executors: the driver gets the sample's features.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.common import slices, with_text
+from sigloom.llm.common import settle, slices, with_text
 
-#: Labelled documents that are fitted, at most; gradient steps; penalty on squared weights.
-FIT_DOCS, STEPS, PENALTY = 3_000, 150, 1e-3
+#: Labelled documents that are fitted, at most, and their lines, at most; gradient steps; penalty on squared weights.
+FIT_DOCS, FIT_LINES, STEPS, PENALTY = 3_000, 100_000, 150, 1e-3
+#: Documents that still have a line at a place, up to which they are walked one by one.
+FEW = 4
 #: Lines whose features are held at once when scoring.
 BLOCK_LINES = 1 << 14
 #: Score from which a document is predicted good.
@@ -133,15 +137,33 @@ def messages(unary: np.ndarray, layout: tuple[np.ndarray, np.ndarray], moves: np
     ahead, behind = u.copy(), np.zeros_like(u)
     (m00, m01), (m10, m11) = moves
     spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
-    for (s0, _), (s, e) in zip(spans, spans[1:], strict=False):
+    wide = next((k for k, (s, e) in enumerate(spans) if e - s <= FEW), len(spans))  # places only get narrower
+    for (s0, _), (s, e) in zip(spans[:wide], spans[1:wide], strict=False):
         x = ahead[s0 : s0 + e - s]
         ahead[s:e] += np.logaddexp(m01, x + m11) - np.logaddexp(m00, x + m10)
-    for (s0, _), (s, e) in zip(spans[-2::-1], spans[:0:-1], strict=False):
+    if wide < len(spans):
+        first = spans[max(wide - 1, 0)][0]
+        own, there, back = u[first:].tolist(), ahead[first:].tolist(), [0.0] * (len(u) - first)
+        narrow = [(s0 - first, s - first, e - s) for (s0, _), (s, e) in zip(spans[max(wide - 1, 0) :], spans[max(wide, 1) :], strict=False)]
+        for s0, s, n in narrow:
+            for k in range(n):
+                x = there[s0 + k]
+                there[s + k] += _log_add(m01, x + m11) - _log_add(m00, x + m10)
+        for s0, s, n in reversed(narrow):
+            for k in range(n):
+                x = own[s + k] + back[s + k]
+                back[s0 + k] = _log_add(m10, x + m11) - _log_add(m00, x + m01)
+        ahead[first:], behind[first:] = there, back
+    for (s0, _), (s, e) in zip(spans[:wide][-2::-1], spans[:wide][:0:-1], strict=False):
         x = u[s:e] + behind[s:e]
         behind[s0 : s0 + e - s] = np.logaddexp(m10, x + m11) - np.logaddexp(m00, x + m01)
     return spans, u, ahead, behind
 
 
+def _log_add(a: float, b: float) -> float:
+    return (a if a > b else b) + log1p(exp(-abs(a - b)))
+
+
 def _good(lines: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
     good = np.empty_like(ahead)
     good[lines] = 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
@@ -237,14 +259,38 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
-    """Trains on the ``fit_docs`` labelled rows, not held out, whose id hashes lowest; the bound is a parameter."""
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces ``text`` by its lines' features and lengths, as bytes."""
+    for whole in batches:
+        for batch in slices(whole):
+            found = [line_features(t.encode()) for t in batch.column("text").to_pylist()]
+            names = [n for n in batch.schema.names if n != "text"]
+            made = [pa.array([f.astype("<f4").tobytes() for f, _ in found], pa.binary()), pa.array([n.astype("<i8").tobytes() for _, n in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, "features", "line_bytes"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> Field:
+    """Trains on the labelled rows, not held out, whose id hashes lowest; both bounds are parameters.
+
+    At most ``fit_docs`` documents are drawn, and of these as many, in the order of the draw,
+    as have ``fit_lines`` lines together (a longer one is passed over): whole documents always.
+    Of rows that share an id one counts.
+    """
     usable = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = with_text(docs, "doc_id").join(F.broadcast(drawn), "doc_id")
+    drawn = usable.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(fit_docs)
+    texts = with_text(docs, "doc_id").join(F.broadcast(drawn), "doc_id").groupBy("draw", "doc_id", "quality").agg(F.min("text").alias("text"))
+    texts = settle(texts.withColumn("lines", F.regexp_count("text", F.lit("\n")) + 1))
+    left, taken = fit_lines, []
+    for r in texts.select("draw", "lines").orderBy("draw", "doc_id").collect():  # at most ``fit_docs`` rows
+        if r["lines"] <= left:
+            taken.append(r["draw"])
+            left -= r["lines"]
+    shape = "draw long, doc_id long, quality int, features binary, line_bytes binary"
+    kept = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in taken], "draw long")), "draw", "left_semi")
+    rows = kept.select("draw", F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(_feature_rows, shape)
     parts, marks = [], []
-    for r in rows.select("doc_id", "quality", "text").orderBy("doc_id").toLocalIterator():
-        parts.append(line_features(r["text"].encode()))
+    for r in rows.orderBy("draw", "doc_id").toLocalIterator():  # at most ``fit_lines`` lines
+        parts.append((np.frombuffer(r["features"], "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r["line_bytes"], "<i8")))
         marks.append(r["quality"])
     if not parts:
         return train(np.zeros((0, WIDTH)), np.zeros(0), [], np.zeros(0))
@@ -254,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
 def score_quality(docs: DataFrame, labels: DataFrame | None = None, field: Field | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Only the text enters a score.  Null texts count as empty: one empty line.  Repeated rows
+    Only the text enters a score, and all of it.  Null texts count as empty: one empty line.  Repeated rows
     score alike; without labelled rows every score is one half; an empty table gives an empty
     result; other columns are not read.
     """

@@ -10,7 +10,7 @@ import re
 import struct
 import sys
 import zlib
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -659,6 +659,49 @@ def test_marginals_are_exact():
     assert np.allclose(good, want) and np.allclose(pairs, both)
 
 
+@pytest.mark.parametrize("few", [0, 1, 4])
+def test_document_scores_are_those_of_all_labelings(monkeypatch, few):
+    monkeypatch.setattr(line_quality, "FEW", few)
+    rng = np.random.default_rng(6)
+    texts = ["", "one line", "A line\n\nB 12 !!\nA line", "\n\n", "x" * 50 + "\nthe end", "a\nb\nc\nd\ne\nf", "1 | 2\n3 | 4\n5 | 6\n7 | 8"]
+    field = line_quality.Field(rng.normal(size=line_quality.WIDTH), rng.normal(size=(2, 2)), 1.7, -0.3)
+    want = []
+    for t in texts:
+        features, lengths = line_quality.line_features(t.encode())
+        unary, total, good = features @ field.weights, 0.0, np.zeros(len(lengths))
+        for y in product((0, 1), repeat=len(lengths)):
+            mass = math.exp(sum(u * a for u, a in zip(unary, y, strict=True)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += mass
+            good += mass * np.array(y)
+        mean = float((good / total * (lengths + 1)).sum() / (lengths + 1).sum())
+        want.append(1 / (1 + math.exp(-(1.7 * math.log(mean / (1 - mean)) - 0.3))))
+    assert line_quality.scores(field, texts) == pytest.approx(want)
+
+
+def test_calibration_meets_the_labels(spark):
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(1, 9, 200).tolist()
+    labels = (rng.random(200) < 0.7).astype(float)
+    features = rng.normal(size=(sum(lengths), line_quality.WIDTH)) + np.repeat(labels, lengths)[:, None] * 0.1
+    sizes = rng.integers(1, 80, sum(lengths))
+    field = line_quality.train(features, sizes, lengths, labels, steps=30)
+    good = line_quality.line_marginals(features @ field.weights, line_quality.chains(lengths), field.moves)
+    x = line_quality._logit(line_quality.document_means(good, sizes, lengths))
+    p = 1 / (1 + np.exp(-(field.slope * x + field.shift)))
+    assert abs(float((labels - p).mean())) < 0.02
+
+
+def test_fit_takes_whole_documents_within_its_bounds(spark, monkeypatch):
+    docs = frame(spark, [(k, "\n".join(f"line {k} {j}" for j in range(1 + k % 5)), "en", "a", 1) for k in range(40)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    seen = []
+    monkeypatch.setattr(line_quality, "train", lambda features, sizes, lengths, marks: seen.append((len(features), lengths, len(marks))))
+    line_quality.fit(docs.union(docs), labels, 20, 30)
+    line_quality.fit(docs, labels, 20, 10_000)
+    (n, lengths, marks), (_, whole, _) = seen
+    assert n == sum(lengths) <= 30 and marks == len(lengths) < len(whole) == 20 and max(whole) == 5
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
