@@ -23,7 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fixtures import awkward, frame, got, prose
 
-from sigloom.llm import credentials, exact_dedup, langid, line_quality, mixing, packing, pii, sharding, similar, simhash, telephony
+from sigloom.llm import credentials, exact_dedup, langid, line_quality, mixing, packing, pii, sharding, simhash, telephony
 from sigloom.llm.queries import TOKENIZER, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -605,6 +605,81 @@ def five_words(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def like_classes(rows):
+    """The smallest doc_id reachable over five-word similarity of 0.8, by comparing all pairs that share a shingle."""
+    sets = {d: five_words(t) for d, t, *_ in rows}
+    where, blank = {}, [d for d in sets if not sets[d]]
+    for d, own in sets.items():
+        for x in own:
+            where.setdefault(x, []).append(d)
+    pairs = {(a, b) for ds in where.values() for a in ds for b in ds if a < b} | {(a, b) for a in blank for b in blank if a < b}
+    reach = {d: {d} for d in sets}
+    for a, b in pairs:
+        if reach[a] is not reach[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            reach[a] |= reach[b]
+            for d in reach[b]:
+                reach[d] = reach[a]
+    return {d: min(r) for d, r in reach.items()}
+
+
+def test_least_shared_bytes_and_sets():
+    sets = simhash.wide_sets()
+    assert sets.shape == (32, 6) and all(len(set(s)) == 6 for s in sets.tolist()) and len({frozenset(s) for s in sets.tolist()}) == 32
+    assert 75 <= simhash.least_shared(0.8) <= 85
+    rng = np.random.default_rng(3)
+    missed = few = 0
+    for _ in range(2000):  # sets of 450 shingles, 400 of which are common: similarity 0.8
+        pool = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+        a, b = simhash.signature(np.sort(pool[:450])), simhash.signature(np.sort(pool[50:]))
+        missed += not (a[sets] == b[sets]).all(axis=1).any()
+        few += (a == b).sum() < simhash.least_shared(0.8)
+    assert missed <= 6 and few == 0
+
+
+@pytest.mark.parametrize("method", ["tally", "like"])
+def test_forests_span_the_components(method):
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(0, 12))).astype(np.uint64) for _ in range(12)]
+        signs = rng.integers(0, 3, (12, 8)).astype(np.uint8)
+        if method == "like":
+            edges = simhash.like_forest(np.arange(12), sets, 0.6)
+            near = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.6 * len(set(sets[i]) | set(sets[j]))
+        else:
+            edges = simhash.tally_forest(np.arange(12), signs, 5)
+            near = lambda i, j: (signs[i] == signs[j]).sum() >= 5
+        assert all(near(a, b) for a, b in edges)
+
+        def roots(links):
+            own = list(range(12))
+            for a, b in [*links, *links] * 12:
+                own[a] = own[b] = min(own[a], own[b])
+            return own
+
+        assert roots(edges) == roots([(i, j) for i in range(12) for j in range(i) if near(i, j)])
+
+
+@pytest.mark.parametrize(("cluster", "rows", "shingles", "broadcast"), [(256, 4096, 1 << 22, 500_000), (3, 4096, 1 << 22, 0), (3, 4, 1 << 22, 0), (256, 4096, 900, 0)])
+def test_similar_documents_whatever_the_split(spark, monkeypatch, cluster, rows, shingles, broadcast):
+    for name, value in (("CLUSTER_ROWS", cluster), ("LIST_ROWS", rows), ("LIST_SHINGLES", shingles), ("BROADCAST_MEMBERS", broadcast)):
+        monkeypatch.setattr(simhash, name, value)
+    docs = []
+    for k in range(4):
+        base = prose(k, 150).split()
+        for j in range(14):
+            own = base[:]
+            for e in range(j % 4):
+                own[(20 * e + 31 * j + 7 * k) % 150] = f"edit{j}x{e}"
+            docs.append((len(docs), " ".join(own), "en", "s", 1))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, docs)).collect()} == like_classes(docs)
+
+
+def test_similar_documents_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = like_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == want
+
+
 def test_similar_texts_beyond_three_bits(spark):
     rows = []
     for k in range(30):
@@ -615,19 +690,12 @@ def test_similar_texts_beyond_three_bits(spark):
                 own[20 * e + 3 * j] = f"edit{j}x{e}"
             rows.append((len(rows), " ".join(own), "en", "s", 1))
     rows += [(1000, "", "en", "s", 1), (1001, None, "en", "s", 1), (1002, "A b", "en", "s", 1), (1003, " a  B", "en", "s", 1), (1004, "a c", "en", "s", 1)]
-    sets = {d: five_words(t) for d, t, *_ in rows}
-    reach = {d: d for d in sets}
-    for a in sets:
-        for b in sets:
-            union = sets[a] | sets[b]
-            if a < b and reach[a] != reach[b] and len(sets[a] & sets[b]) >= 0.8 * len(union):
-                low, high = sorted((reach[a], reach[b]))
-                reach = {d: low if r == high else r for d, r in reach.items()}
-    got = similar.similar_texts(frame(spark, rows))
+    reach = like_classes(rows)
+    got = simhash.similar_documents(frame(spark, rows, clash=True))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == reach and got.count() == len(rows)
     near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
     assert len(set(reach.values())) < len(set(near.values()))
-    assert similar.similar_texts(empty(spark)).count() == 0
+    assert simhash.similar_documents(empty(spark)).count() == 0
 
 
 # ---- quality
