@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from sigloom.llm.common import raw_bytes, settle, slices, with_text
 
@@ -31,6 +30,8 @@ RINGS = ((2147483647, 1103515245), (2147483629, 1566083941))
 CHUNK_BYTES = 1 << 14
 #: Texts longer than this are hashed by chunks in parallel.
 HUGE_BYTES = 1 << 15
+#: Rows with equal fingerprints up to which their keys are broadcast to the texts, in some 40 MB; the texts of more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
 def powers(prime: int, base: int, n: int) -> np.ndarray:
@@ -124,7 +125,9 @@ def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFram
     key = ["bytes", "l", "r"]
     members = prints.join(groups.filter("group_size > 1").select(*key), key, "left_semi")
     # gathered by row, not by group, so that a large group's rows leave the join's partitions
-    members = members.groupBy("row_key").agg(F.collect_set(F.struct(*key)).alias("g")).select("row_key", F.explode("g").alias("g")).select("row_key", "g.*")
+    members = settle(members.groupBy("row_key").agg(F.collect_set(F.struct(*key)).alias("g")).select("row_key", F.explode("g").alias("g")).select("row_key", "g.*"))
+    # other texts stay where they are read
+    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     texts = _rows(docs).select("row_key", "text").join(members, "row_key")
     chunks = texts.select(*key, F.explode(_pieces(F.col("text"))).alias("c")).select(*key, "c.no", "c.piece")
     ends = chunks.groupBy(*key, "no").agg(F.min("piece").alias("least"), F.max("piece").alias("most"))
@@ -136,12 +139,13 @@ def exact_duplicates(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame
 
     Texts are equal when their UTF-8 bytes are; null counts as empty; of equal texts the
     largest doc_id stays (a null id only where all are null).  Where rows repeat a doc_id
-    with the same text, each is returned and exactly one is kept.  An empty table gives an
-    empty result.  Other columns of ``docs`` are not read.
+    with the same text, each is returned and exactly one is kept.  Texts of any length are
+    compared whole.  An empty table gives an empty result.  Other columns of ``docs`` are not read.
     """
     key = ["bytes", "l", "r"]
-    prints = settle(fingerprint(docs, huge_bytes))
-    sums = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    # settled rows keep their places, so a row's number tells it from its equals
+    prints = settle(fingerprint(docs, huge_bytes)).withColumn("row", F.monotonically_increasing_id())
+    sums = [F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")]
     # settled, so that joins with them have their shuffles next to them and a group's rows can be split over tasks
     groups = settle(prints.groupBy(*key).agg(*sums))
     split = settle(differing(docs, prints, groups))
@@ -152,7 +156,4 @@ def exact_duplicates(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame
         parted = prints.join(split, key, "left_anti").withColumn("part", F.lit("")).unionByName(apart)
         groups = settle(groups.unionByName(apart.groupBy(*key, "part").agg(*sums)))
         key = [*key, "part"]
-    turn = F.row_number().over(W.partitionBy("doc_id", "sha").orderBy("bytes"))
-    return parted.join(groups, key).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    return parted.join(groups, key).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"))

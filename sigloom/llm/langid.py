@@ -85,9 +85,12 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.nd
     number bounds what is read here per language and is a parameter.
     """
     some = labelled.filter("lang is not null").filter(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]") & (F.octet_length("text") > 2)).withColumn("draw", F.xxhash64("row_id", "text"))
+    rows_of = some.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"))  # a row per language
+    # a language's draws below a limit that about 1.2 * fit_rows + 50 of them meet: few are left to be ranked, however many rows it has
+    share = (F.lit(1.2 * fit_rows + 50) / F.col("n")).alias("share")
+    near = some.select("lang", "draw").join(F.broadcast(rows_of.select("lang", share)), "lang").filter(F.col("draw") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("lang", "draw").distinct()
     turn = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
-    drawn = some.select("lang", "draw").withColumn("turn", turn).filter(F.col("turn") <= fit_rows).select("lang", "draw").distinct()
-    drawn = settle(drawn)
+    drawn = settle(near.withColumn("turn", turn).filter(F.col("turn") <= fit_rows).select("lang", "draw"))
     langs = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())  # a row per language
     rows = some.join(F.broadcast(drawn), ["lang", "draw"], "left_semi")
     counts = np.zeros((CELLS, len(langs)), np.int64)
@@ -203,8 +206,9 @@ def identify_documents(docs: DataFrame, model: tuple[list[str], np.ndarray] | No
 
     ``lang`` is what the document declares and ``source`` is its host; documents have no
     address.  Models are fitted on a bounded sample of the declared languages unless given.
-    A null or empty text, or one without letters, is rejected as ``und``.  Repeated rows are
-    judged alike; an empty table gives an empty result; other columns are not read.
+    A null or empty text, or one without letters, is rejected as ``und``.  Texts of any length
+    are read whole; of languages that are equally likely the first by name is found.  Repeated
+    rows are judged alike; an empty table gives an empty result; other columns are not read.
     """
     langs, table = model or fit(docs.select(F.col("doc_id").alias("row_id"), "text", "lang"))
     rows = docs.select("doc_id", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"), "text")

@@ -887,6 +887,67 @@ def test_language_from_text_alone(spark):
     assert [r["accepted"] for r in langid.identify_documents(noise, model).orderBy("doc_id").collect()] == [False, False, False]
 
 
+def plain_trigrams(text):
+    """Cells of a text's byte trigrams, one by one."""
+    data = [b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in text.encode()]
+    codes = [(data[i] << 16) + (data[i + 1] << 8) + data[i + 2] for i in range(len(data) - 2)]
+    return [(c * 2654435761 >> 13) % langid.CELLS for c in codes if c != 0x202020]
+
+
+def plain_posteriors(rows, langs, table):
+    """rows (text, declared, suffix, host, domain): posterior of each, document by document."""
+    names, width = [*langs, langid.UNKNOWN], len(langs) + 1
+    log_prior = np.log([(1 - langid.UNKNOWN_PRIOR) / len(langs)] * len(langs) + [langid.UNKNOWN_PRIOR])
+    norm = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    scores, soft = [], []
+    for text, declared, suffix, _, _ in rows:
+        score = langid.TEMPER * sum((table[c].astype(float) for c in plain_trigrams(text or "")), np.zeros(width))
+        for found, right in ((re.match("[a-z]*", (declared or "").lower())[0], langid.DECLARED_RIGHT), (langid.SUFFIXES.get((suffix or "").lower()), langid.SUFFIX_RIGHT)):
+            if found in langs:
+                score = score + np.log([right if n == found else (1 - right) / (width - 1) for n in names])
+        scores.append(score)
+        soft.append(norm(score + log_prior))
+    host, domain, whole = {}, {}, np.ones(width)
+    for (_, _, _, h, d), x in zip(rows, soft, strict=True):
+        host[d, h] = host.get((d, h), 0) + x
+        domain[d] = domain.get(d, 0) + x
+        whole = whole + x
+    out = []
+    for (_, _, _, h, d), score, x in zip(rows, scores, soft, strict=True):
+        lean = (domain[d] + langid.BORROWED * whole / whole.sum()) / (domain[d].sum() + langid.BORROWED)
+        prior = (np.maximum(host[d, h] - x, 0) + langid.BORROWED * lean) / (max(host[d, h].sum() - 1, 0) + langid.BORROWED)
+        out.append(norm(score + np.log(prior)))
+    return out
+
+
+def test_posteriors_are_those_of_plain_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labelled = docs.select(F.col("doc_id").alias("row_id"), "text", "lang")
+    langs, table = langid.fit(labelled)
+    counts = np.zeros((langid.CELLS, len(langs)))
+    for r in labelled.collect():
+        for c in plain_trigrams(r["text"]):
+            counts[c, langs.index(r["lang"])] += 1
+    loose = np.minimum(0.05, (counts > 0).sum(axis=0) / langid.CELLS)
+    assert np.allclose(table[:, :-1], np.log((counts + loose) / (counts.sum(axis=0) + loose * langid.CELLS)), atol=1e-5)
+
+    every = [(k, r["text"], r["lang"], r["source"], 0) for k, r in enumerate([*docs.collect(), *frame(spark).collect()])]
+    want = plain_posteriors([(t, lang, None, source, None) for _, t, lang, source, _ in every], langs, table)
+    for r in langid.identify_documents(frame(spark, every), (langs, table)).collect():
+        known = bool(plain_trigrams(every[r["doc_id"]][1] or ""))
+        name = [*langs, langid.UNKNOWN][int(np.argmax(want[r["doc_id"]]))] if known else "und"
+        assert r["probability"] == pytest.approx(max(want[r["doc_id"]]), abs=1e-6)
+        assert r["found_lang"] == name and r["accepted"] == (name != "und")
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    shown = langid.page_rows(pages).collect()
+    rows = [(r["text"], r["declared"], r["suffix"], r["host"], r["domain"]) for r in shown]
+    want = {r["page_id"]: x for r, x in zip(shown, plain_posteriors(rows, langs, table), strict=True)}
+    for r in langid.identify_pages(pages, (langs, table)).collect():
+        assert r["probability"] == pytest.approx(max(want[r["page_id"]]), abs=1e-6)
+        assert not r["accepted"] or r["found_lang"] == [*langs, "und"][int(np.argmax(want[r["page_id"]]))]
+
+
 def test_rare_languages_have_models(spark):
     polish = "Zażółć gęślą jaźń, bo wszystkie dzieci chętnie czytają książki o dawnych czasach i ludziach."
     rows = [(k, prose(k, 60), "en", "s", 1) for k in range(300)] + [(1000, polish, "pl", "s", 1), (1001, polish + " Dzieci czytają.", None, "s", 1)]
