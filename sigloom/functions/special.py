@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +31,40 @@ def betainc(a: float, b: float, x: float) -> float:
     return front * total
 
 
+def betainc_many(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``betainc`` of arrays: the continued fraction runs over all entries that have not settled."""
+    a, b, x = (np.array(v, float) for v in np.broadcast_arrays(a, b, x))
+    shape = a.shape
+    a, b, x = a.ravel(), b.ravel(), x.ravel()
+    far = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(far, b, a), np.where(far, a, b), np.where(far, 1 - x, x)
+    inner = (x > 0) & (x < 1)
+    out = np.where(x >= 1, 1.0, 0.0)
+    at = np.flatnonzero(inner)
+    a, b, x = a[at], b[at], x[at]
+    gamma = np.frompyfunc(math.lgamma, 1, 1)
+    front = np.exp((gamma(a + b) - gamma(a) - gamma(b)).astype(float) + a * np.log(x) + b * np.log1p(-x)) / a
+    nonzero = lambda v: np.where(v == 0, 1e-300, v)
+    c, d = np.ones(len(a)), 1 / nonzero(1 - (a + b) * x / (a + 1))
+    total, live = d.copy(), np.arange(len(a))
+    for m in range(1, 10_000):
+        if not len(live):
+            break
+        p, q, y = a[live], b[live], x[live]
+        for n in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d[live] = 1 / nonzero(1 + n * d[live])
+            c[live] = nonzero(1 + n / c[live])
+            total[live] *= c[live] * d[live]
+        live = live[np.abs(c[live] * d[live] - 1) >= 1e-15]
+    out[at] = front * total
+    return np.where(far, 1 - out, out).reshape(shape)
+
+
+def binomial_below(counts: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(Binomial(n, p) <= counts), where counts and n need not be whole."""
+    return betainc_many(np.maximum(n - counts, 1e-3), counts + 1, 1 - p)
+
+
 def normal_tail(z: float) -> float:
     """P(Z > z) of the standard normal."""
     return 0.5 * math.erfc(z / math.sqrt(2))

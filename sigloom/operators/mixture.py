@@ -1,10 +1,13 @@
 """The dual-signal mixture: diagonal Gaussians over samples plus a sequence score, with missing cells.
 
 Rows are narrow: pep_id, x array<double> (null where missing and not yet filled), miss
-array<boolean>, codes array<int> (position * 20 + residue) and r array<double>.  An
-iteration is two aggregations with map-side combination (per sample and per code, one
-column per cluster) whose results are bounded by the model's size; the model goes back as
-one broadcast row and responsibilities are a projection.
+array<boolean>, codes array<int> (position * 20 + residue) and r array<double>.
+
+A fit walks rounds (``operators/rounds``): each folds the rows of a partition into sums whose
+size is the model's, and the model for the next round follows from their total.  What a row
+needs to know of earlier rounds (the cells that were filled for it) follows from the models
+since the last copy of the rows, so no round writes the table.  Column forms of single steps
+(``moments``, ``m_step``, ``scored``) stay inside whole-stage code.
 """
 
 from __future__ import annotations
@@ -12,11 +15,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigloom.functions.residues import ALPHABET, WINDOW, pam250
-from sigloom.functions.special import betainc, log_sum_exp
+from sigloom.functions.special import betainc, binomial_below, log_sum_exp
+from sigloom.operators import rounds
+from sigloom.operators.rounds import settle
 
 EPS = 10 * 2.220446049250313e-16
 FLOOR = 1e-6
@@ -145,33 +153,153 @@ def lower_bound(rows: DataFrame) -> float:
     return rows.agg(F.avg("lse")).first()[0]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+@dataclass
+class Block:
+    """The rows of a batch or a whole table as matrices; ``x`` is filled where ``miss``."""
+
+    x: np.ndarray
+    miss: np.ndarray
+    codes: np.ndarray
+    r: np.ndarray
+
+
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    """A column of equally long lists as a matrix; null cells as NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def block_of(batch: pa.RecordBatch) -> Block:
+    n = batch.num_rows
+    return Block(matrix(batch.column("x"), n).astype(float), matrix(batch.column("miss"), n).astype(bool), matrix(batch.column("codes"), n).astype(int), matrix(batch.column("r"), n).astype(float))
+
+
+def joint(block: Block, model: Model) -> np.ndarray:
+    """Log joint density (rows by clusters)."""
+    means, variances = np.array(model.means), np.array(model.variances)
+    out = np.array(model.log_pi) - 0.5 * (means.shape[1] * math.log(2 * math.pi) + np.log(variances).sum(axis=1))
+    out = np.repeat(out[None, :], len(block.x), axis=0)
+    for c in range(len(means)):
+        out[:, c] -= 0.5 * ((block.x - means[c]) ** 2) @ (1 / variances[c])
+    if model.table is not None and model.weight:
+        total = np.array(model.table)[:, block.codes].sum(axis=2).T
+        with np.errstate(divide="ignore"):
+            out += model.weight * (np.log(total) if model.method == "binomial" else total)
+    return out
+
+
+def expect(block: Block, model: Model) -> np.ndarray:
+    """Sets the responsibilities; returns each row's log density."""
+    l = joint(block, model)
+    most = l.max(axis=1, keepdims=True)
+    lse = most[:, 0] + np.log(np.exp(l - most).sum(axis=1))
+    block.r = np.exp(l - lse[:, None])
+    return lse
+
+
+def refill(block: Block, model: Model) -> None:
+    """Missing cells at the centre of the row's hard label."""
+    block.x = np.where(block.miss, np.array(model.means)[block.r.argmax(axis=1)], block.x)
+
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sigloom-"))
-    return df.checkpoint(eager=True)
+def summed(block: Block, lse: np.ndarray, sequences: bool) -> np.ndarray:
+    """Rows, sum of log densities, weights, moments and, where asked, weighted counts of the codes, end to end."""
+    parts = [np.array([len(block.x), lse.sum()]), block.r.sum(axis=0), (block.r.T @ block.x).ravel(), (block.r.T @ block.x**2).ravel()]
+    if sequences:
+        counts = np.zeros((block.r.shape[1], 20 * WINDOW))
+        for p in range(block.codes.shape[1]):
+            for c in range(counts.shape[0]):
+                counts[c] += np.bincount(block.codes[:, p], block.r[:, c], minlength=20 * WINDOW)
+        parts.append(counts.ravel())
+    return np.concatenate(parts)
 
 
-def fit(rows: DataFrame, k: int, method: str = "binomial", weight: float = 0.0, background: list[float] | None = None, most: int = 200, tol: float = 1e-4) -> tuple[DataFrame, Model]:
-    """Iterates from the rows' own r until the bound moves by less than ``tol``; returns scored rows and model."""
+def maximise(sums: np.ndarray, k: int, samples: int, method: str, weight: float, background: list[float] | None, sequences: bool) -> Model:
+    """The model that the sums give; without a sequence score before the first round has counted codes."""
+    n = sums[2 : 2 + k]
+    a, b = (sums[2 + k + m * k * samples : 2 + k + (m + 1) * k * samples].reshape(k, samples) for m in (0, 1))
+    held = n + EPS
+    means = a / held[:, None]
+    variances = b / held[:, None] - means**2 + FLOOR
+    table = None
+    if sequences:
+        counts = sums[2 + k + 2 * k * samples :].reshape(k, -1)
+        if method == "binomial":
+            table = binomial_below(counts, n[:, None], np.array(background)[None, :])
+        else:
+            scores = np.array(pam250(), float)
+            table = (counts.reshape(k, -1, 20) @ scores).reshape(k, -1) / np.maximum(n, 1e-5)[:, None]
+    return Model(means.tolist(), variances.tolist(), np.log(held / held.sum()).tolist(), None if table is None else table.tolist(), method, weight)
+
+
+class Rounds(rounds.Task):
+    """EM as rounds: a round's parameters are a model (None before the first), and its sums give the next."""
+
+    def __init__(self, k: int, samples: int, method: str, weight: float, background: list[float] | None, most: int, tol: float):
+        self.k, self.samples, self.method, self.weight, self.background, self.most, self.tol = k, samples, method, weight, background, most, tol
+
+    def load(self, batch: pa.RecordBatch) -> Block:
+        return block_of(batch)
+
+    def join(self, blocks: list[Block]) -> Block:
+        return Block(*(np.concatenate([getattr(b, n) for b in blocks]) for n in ("x", "miss", "codes", "r")))
+
+    def advance(self, block: Block, model: Model | None) -> np.ndarray:
+        lse = np.zeros(len(block.x))
+        if model is not None:
+            lse = expect(block, model)
+            refill(block, model)
+        return summed(block, lse, bool(self.weight) and model is not None)
+
+    def decide(self, sums: np.ndarray, model: Model | None, step: int) -> tuple[Model, bool]:
+        bounds = [] if model is None else [*model.bounds, float(sums[1] / max(sums[0], 1))]
+        done = model is not None and (len(bounds) >= self.most or len(bounds) > 1 and abs(bounds[-1] - bounds[-2]) < self.tol)
+        new = maximise(sums, self.k, self.samples, self.method, self.weight, self.background, bool(self.weight) and model is not None)
+        new.bounds = bounds
+        return new, done
+
+    def state(self, block: Block) -> dict[str, np.ndarray]:
+        return {"x": block.x, "r": block.r}
+
+
+def fit(rows: DataFrame, k: int, method: str = "binomial", weight: float = 0.0, background: list[float] | None = None, most: int = 200, tol: float = 1e-4, start: str = "means") -> tuple[DataFrame, Model]:
+    """Iterates from the rows' own r until the bound moves by less than ``tol``; returns scored rows and model.
+
+    The first model is of the Gaussians alone; a round takes responsibilities, fills missing
+    cells at the centre of the hard label and then forms the next model.  Missing cells begin
+    at the ``means`` of the samples or by ``soft`` thresholding of the singular values.
+    """
     if method not in ("binomial", "pam250") or (method == "binomial" and weight and not background):
         raise ValueError("method is binomial (with a background) or pam250")
-    rows = settle(filled(rows, sample_means(rows)))
-    model, bounds = None, []
-    for step in range(most):
-        if model is not None:
-            rows = refilled(rows, model)
-        after = m_step(rows, k, method, weight, background)
-        rows = settle(scored(rows, after))
-        bounds.append(lower_bound(rows))
-        model = after
-        model.bounds = bounds
-        if step and abs(bounds[-1] - bounds[-2]) < tol:
-            break
-    return rows, model
+    if start not in ("means", "soft"):
+        raise ValueError("start is means or soft")
+    if start == "soft":
+        from sigloom.operators.stats import soft_fill
+
+        rows = soft_fill(rows)
+    else:
+        rows = filled(rows, sample_means(rows))
+    rows = settle(rows)
+    first = rows.select(F.size("x").alias("n")).first()
+    if first is None:
+        return scored_by(rows, Model([[]] * k, [[]] * k, [0.0] * k)), Model([[]] * k, [[]] * k, [0.0] * k)
+    task = Rounds(k, first["n"], method, weight, background, most, tol)
+    rows, model = rounds.walk(rows, task, first["n"] + k)
+    return settle(scored_by(rows, model)), model
+
+
+def scored_by(rows: DataFrame, model: Model) -> DataFrame:
+    """rows with l, lse and r by the model, a batch at a time."""
+    keep = [f for f in rows.schema.fields if f.name not in ("l", "lse", "r")]
+    shape = T.StructType([*keep, T.StructField("l", T.ArrayType(T.DoubleType())), T.StructField("lse", T.DoubleType()), T.StructField("r", T.ArrayType(T.DoubleType()))])
+
+    def score(batches):
+        for batch in batches:
+            if batch.num_rows:
+                block = block_of(batch)
+                l, lse = joint(block, model), expect(block, model)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), rounds.lists(l), pa.array(lse), rounds.lists(block.r)], names=[f.name for f in shape.fields])
+
+    return rows.mapInArrow(score, shape)
 
 
 def one_hot(label: Column, k: int) -> Column:

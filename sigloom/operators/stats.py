@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sigloom.functions.special import normal_tail
+from sigloom.operators import rounds
 from sigloom.operators.ordered import running
 
 
@@ -65,12 +66,12 @@ def asymptotic_p(z: float) -> float:
 
 
 def step_down(tests: DataFrame, key: str, p: str = "p") -> DataFrame:
-    """Holm-Sidak adjusted p: a running maximum over ascending p. One row per test."""
-    order = W.orderBy(p, key)
-    m = F.count(F.lit(1)).over(W.partitionBy())
-    raw = 1 - F.pow(1 - F.col(p), m - F.row_number().over(order) + 1)
-    ranked = tests.withColumn("raw", raw)
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.max("raw").over(order.rowsBetween(W.unboundedPreceding, 0)))).drop("raw")
+    """Holm-Sidak adjusted p: a running maximum over ascending p. One row per test, laid out by ranges of p."""
+    m = tests.agg(F.count(F.lit(1)).alias("m")).first()["m"]
+    placed = running(tests, [], [F.col(p), F.col(key)], {"place": F.lit(1)})
+    raw = placed.withColumn("raw", 1 - F.pow(1 - F.col(p), F.lit(m) - F.col("place") + 1)).drop("place")
+    most = running(raw, [], [F.col(p), F.col(key)], {"most": F.col("raw")}, F.max)
+    return most.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("most"))).drop("raw", "most")
 
 
 def stars(p: Column) -> Column:
@@ -244,29 +245,63 @@ def principal(rows: DataFrame, x: str, parts: int = 2) -> tuple[np.ndarray, np.n
     return mean, vectors[:, order], values[order] / values.sum()
 
 
-def low_rank_fill(rows: DataFrame, rank: int, rounds: int = 200, shrink: float = 0.0, tol: float = 1e-4) -> DataFrame:
-    """Missing cells of ``x`` (with ``miss``) from the leading ``rank`` directions, iterated; ``shrink`` soft-thresholds singular values.
+class Filling(rounds.Task):
+    """Missing cells from the leading directions of the cross products, round by round.
 
-    Ends when the missing cells move by less than ``tol``, relative to their size.
+    ``shrink`` takes that share of the first round's largest singular value off every one.
     """
-    from sigloom.operators.mixture import filled, sample_means, settle
 
-    rows = settle(filled(rows, sample_means(rows)))
-    for _ in range(rounds):
-        products, _, _ = gram(rows, "x")
-        values, vectors = np.linalg.eigh(products)
-        order = np.argsort(values)[::-1][:rank]
+    def __init__(self, rank: int | None, shrink: float, most: int, tol: float):
+        self.rank, self.shrink, self.most, self.tol = rank, shrink, most, tol
+
+    def load(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        n = batch.num_rows
+        return [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(kind) for c, kind in (("x", float), ("miss", bool))]
+
+    def join(self, blocks: list) -> list[np.ndarray]:
+        return [np.concatenate([b[k] for b in blocks]) for k in (0, 1)]
+
+    def advance(self, block: list[np.ndarray], params: dict | None) -> np.ndarray:
+        x, miss = block
+        moved = size = 0.0
+        if params is not None:
+            new = np.where(miss, x @ params["project"], x)
+            moved, size = float(((new - x)[miss] ** 2).sum()), float((new[miss] ** 2).sum())
+            block[0] = x = new
+        return np.concatenate([[moved, size], (x.T @ x).ravel()])
+
+    def decide(self, sums: np.ndarray, params: dict | None, step: int) -> tuple[dict, bool]:
+        if params is not None and (sums[0] <= self.tol**2 * sums[1] or step >= self.most):
+            return params, True
+        d = math.isqrt(len(sums) - 2)
+        values, vectors = np.linalg.eigh(sums[2:].reshape(d, d))
+        order = np.argsort(values)[::-1][: self.rank]
         size = np.sqrt(np.maximum(values[order], 0))
-        keep = np.maximum(size - shrink, 0) / np.maximum(size, 1e-12)
-        project = (vectors[:, order] * keep) @ vectors[:, order].T
-        lit = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in project])
-        dot = lambda p: F.aggregate(F.zip_with("x", p, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        guess = F.transform(lit, dot)
-        new = F.zip_with(F.zip_with("x", "miss", lambda v, m: F.struct(v.alias("v"), m.alias("m"))), guess, lambda c, g: F.when(c["m"], g).otherwise(c["v"]))
-        rows = settle(rows.withColumn("old", F.col("x")).withColumn("x", new))
-        cells = rows.select(F.explode(F.arrays_zip("x", "old", "miss")).alias("c")).filter("c.miss")
-        moved, size = cells.agg(F.sum(F.pow(F.col("c.x") - F.col("c.old"), 2)), F.sum(F.pow("c.x", F.lit(2)))).first()
-        rows = rows.drop("old")
-        if moved is None or moved <= tol * tol * size:
-            break
-    return rows
+        less = self.shrink * size.max(initial=0) if params is None else params["less"]
+        keep = np.maximum(size - less, 0) / np.maximum(size, 1e-12)
+        return {"project": (vectors[:, order] * keep) @ vectors[:, order].T, "less": less}, False
+
+    def state(self, block: list[np.ndarray]) -> dict[str, np.ndarray]:
+        return {"x": block[0]}
+
+
+def _walked(rows: DataFrame, task: Filling) -> DataFrame:
+    rows = rounds.settle(rows)
+    first = rows.select(F.size("x").alias("n")).first()
+    return rounds.walk(rows, task, first["n"])[0] if first else rows
+
+
+def low_rank_fill(rows: DataFrame, rank: int, most: int = 200, tol: float = 1e-4) -> DataFrame:
+    """Missing cells of ``x`` (with ``miss``) from the leading ``rank`` directions, iterated from the samples' means.
+
+    Ends when the missing cells move by less than ``tol``, relative to their size.
+    """
+    from sigloom.operators.mixture import filled, sample_means
+
+    return _walked(filled(rows, sample_means(rows)), Filling(rank, 0.0, most, tol))
+
+
+def soft_fill(rows: DataFrame, shrink: float = 1 / 50, most: int = 100, tol: float = 1e-3) -> DataFrame:
+    """Missing cells of ``x`` (with ``miss``) by soft thresholding of all singular values, iterated from zero."""
+    zero = F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
+    return _walked(rows.withColumn("x", zero), Filling(None, shrink, most, tol))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import residues, special
-from sigloom.operators import clusterers, filters, mixture, ordered, profiles, sequence, stats
+from sigloom.operators import clusterers, filters, mixture, ordered, profiles, rounds, sequence, stats
 from sigloom.plans import base
 from sigloom.sources import files
 
@@ -107,7 +107,7 @@ def test_low_rank_fill_recovers_a_rank_one_table(spark):
     full = np.outer(rng.normal(size=40), rng.normal(size=6))
     gone = rng.random(full.shape) < 0.1
     rows = spark.createDataFrame([(i, [None if g else float(v) for v, g in zip(r, m, strict=True)], [bool(g) for g in m]) for i, (r, m) in enumerate(zip(full, gone, strict=True))], "pep_id int, x array<double>, miss array<boolean>")
-    back = {r["pep_id"]: r["x"] for r in stats.low_rank_fill(rows, 1, rounds=8).collect()}
+    back = {r["pep_id"]: r["x"] for r in stats.low_rank_fill(rows, 1, most=8).collect()}
     error = np.abs(np.array([back[i] for i in range(40)]) - full)[gone]
     assert error.mean() < 0.5 * np.abs(full[gone]).mean()
 
@@ -213,6 +213,54 @@ def test_local_fit_keeps_a_line(spark):
     assert [r["fit"] for r in alone] == [13.0]
 
 
+@pytest.mark.parametrize(("method", "weight"), [("pam250", 0.0), ("pam250", 0.5), ("binomial", 0.5)])
+def test_rounds_agree_in_one_task_and_in_many(spark, monkeypatch, method, weight):
+    rows = base.rows(spark, SF, hide=True).repartition(3).cache()
+    found = []
+    for cells, chain in ((1 << 30, 8), (0, 2)):
+        monkeypatch.setattr(rounds, "ONE_TASK_CELLS", cells)
+        monkeypatch.setattr(rounds, "CHAIN", chain)
+        got, model = mixture.fit(rows, base.K, method, weight, [0.05] * 220, most=5, tol=0.0)
+        found.append((sorted((r["pep_id"], r["lse"], r["x"], int(np.argmax(r["r"]))) for r in got.collect()), model))
+    (a, one), (b, many) = found
+    assert one.bounds == pytest.approx(many.bounds) and len(one.bounds) == 5
+    assert np.allclose(one.means, many.means) and [x[3] for x in a] == [x[3] for x in b]
+    assert all(x[1] == pytest.approx(y[1]) and np.allclose(x[2], y[2]) for x, y in zip(a, b, strict=True))
+
+
+def test_fit_ends_when_the_bound_rests(spark):
+    rows = base.rows(spark, SF, hide=True)
+    for weight in (0.0, 1.0):
+        _, model = mixture.fit(rows, base.K, "pam250", weight)
+        b = model.bounds
+        assert len(b) < 200 and abs(b[-1] - b[-2]) < 1e-4 and all(abs(y - x) >= 1e-4 for x, y in zip(b, b[1:-1], strict=False))
+
+
+def test_block_steps_are_those_of_the_columns(spark):
+    rows = base.rows(spark, SF).cache()
+    model = mixture.m_step(rows, base.K, "pam250", 0.5)
+    by_columns = {r["pep_id"]: (r["lse"], r["r"]) for r in mixture.scored(rows, model).collect()}
+    for r in mixture.scored_by(rows, model).collect():
+        assert r["lse"] == pytest.approx(by_columns[r["pep_id"]][0]) and np.allclose(r["r"], by_columns[r["pep_id"]][1], atol=1e-9)
+    assert special.binomial_below(np.array([3.0, 20, 49]), np.array([10.0, 200, 50]), np.array([0.2, 0.05, 0.9])) == pytest.approx([special.betainc(max(n - k, 1e-3), k + 1, 1 - p) for n, k, p in ((10, 3, 0.2), (200, 20, 0.05), (50, 49, 0.9))])
+    a, b, x = np.random.default_rng(1).random((3, 500)) * np.array([[300], [50], [1]]) + 1e-3
+    assert special.betainc_many(a, b, np.minimum(x, 1.0)) == pytest.approx([special.betainc(*v) for v in zip(a, b, np.minimum(x, 1.0), strict=True)], abs=1e-12)
+
+
+def test_soft_fill_keeps_seen_cells_and_agrees_in_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    full = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 6))
+    gone = rng.random(full.shape) < 0.1
+    rows = spark.createDataFrame([(i, [None if g else float(v) for v, g in zip(r, m, strict=True)], [bool(g) for g in m]) for i, (r, m) in enumerate(zip(full, gone, strict=True))], "pep_id int, x array<double>, miss array<boolean>").repartition(3)
+    found = []
+    for cells in (1 << 30, 0):
+        monkeypatch.setattr(rounds, "ONE_TASK_CELLS", cells)
+        back = {r["pep_id"]: r["x"] for r in stats.soft_fill(rows).collect()}
+        found.append(np.array([back[i] for i in range(40)]))
+    assert np.allclose(*found) and (found[0][~gone] == full[~gone]).all()
+    assert np.abs(found[0] - full)[gone].mean() < 0.3 * np.abs(full[gone]).mean()
+
+
 def test_best_start(spark):
     rows = base.rows(spark, SF, hide=True)
     _, one = mixture.fit(rows, base.K, most=3)
