@@ -10,6 +10,7 @@ a round writes nothing; both ways walk the same rounds.
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import re
 import shutil
@@ -19,7 +20,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,19 +28,23 @@ from pyspark.sql import types as T
 ONE_TASK_CELLS, CHAIN = 8 << 20, 8
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of ``spark.checkpoint.dir``; a local one only where it is unset and all runs here."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one only where it is unset and all runs on this machine."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            import atexit
-
             named = tempfile.mkdtemp(prefix="sigloom-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a copy in the shared folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,6 +8,11 @@ from pyspark.sql.window import Window as W
 
 from sigloom.functions.residues import ALPHABET, CENTRE, FREQUENCIES, WINDOW
 from sigloom.operators.ordered import running
+from sigloom.operators.rounds import settle
+
+
+#: Distinct prefixes that are broadcast to the proteins, in some 40 MB; more are joined by shuffling.
+BROADCAST_PREFIXES = 500_000
 
 
 def alphabet(spark: SparkSession) -> DataFrame:
@@ -82,8 +87,8 @@ def motif(sequence: Column, at: Column, size: int = CENTRE) -> Column:
     return F.concat(F.lpad(left, size, "-"), centre, F.when(at < size, right).otherwise(F.rpad(right, size, "-")))
 
 
-def map_sites(sites: DataFrame, proteome: DataFrame) -> DataFrame:
-    """sites (gene, position like S123) with motif and why it is rejected, if it is.
+def map_sites(sites: DataFrame, proteome: DataFrame, *keep: str) -> DataFrame:
+    """sites (gene, position like S123, and the columns to ``keep``) with motif and why it is rejected, if it is.
 
     Rejected: no such gene, a window that is not whole, another residue at the place, or
     none of S, T, Y.
@@ -97,7 +102,7 @@ def map_sites(sites: DataFrame, proteome: DataFrame) -> DataFrame:
         .when(found != F.substring("position", 1, 1), "other residue")
         .when(~found.isin("S", "T", "Y"), "no acceptor")
     )
-    return joined.select("gene", "position", F.when(why.isNull(), motif(F.col("protein"), F.col("at"))).alias("motif"), why.alias("rejected"))
+    return joined.select("gene", "position", *[F.col(f"`{c}`") for c in keep], F.when(why.isNull(), motif(F.col("protein"), F.col("at"))).alias("motif"), why.alias("rejected"))
 
 
 def contains_match(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> DataFrame:
@@ -109,9 +114,12 @@ def contains_match(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> Data
     lengths = [r[0] for r in peptides.select(F.least(F.length("seq"), F.lit(k))).distinct().collect()]  # at most ``k`` rows
     parts = []
     for n in lengths:
-        own = peptides.filter(F.least(F.length("seq"), F.lit(k)) == n).withColumn("key", F.substring("seq", 1, n))
+        own = settle(peptides.filter(F.least(F.length("seq"), F.lit(k)) == n).withColumn("key", F.substring("seq", 1, n)))
         # only the protein's number travels with its prefixes; candidates meet the protein itself afterwards
-        grams = proteome.filter(F.length("seq") >= n).select("ord", F.explode(F.array_distinct(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))).alias("key"))
+        grams = proteome.filter(F.length("seq") >= n).select("ord", F.explode(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{n}}}))"), F.lit(1))).alias("key"))
+        keys = own.select("key").distinct()
+        # where the peptides' own prefixes are few, others never leave the scan
+        grams = grams.join(F.broadcast(keys) if keys.count() <= BROADCAST_PREFIXES else keys, "key", "left_semi").distinct()
         near = own.join(grams, "key").select("pep_id", F.col("seq").alias("part"), "ord")
         parts.append(near.join(proteome, "ord").filter(F.col("seq").contains(F.col("part"))))
     if not parts:
@@ -122,6 +130,22 @@ def contains_match(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> Data
     return joined.groupBy("pep_id").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
 
 
+def match_names(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> DataFrame:
+    """peptides (pep_id, name, ms_seq) with the protein's name and sequence: the named one if it holds the peptide, else the first that does.
+
+    A peptide that no protein holds is an error that names it.
+    """
+    up = F.upper("ms_seq")
+    named = proteome.select(F.trim("name").alias("name"), F.col("seq").alias("protein"))
+    met = settle(peptides.withColumn("name", F.trim("name")).join(named, "name", "left").withColumn("held", F.coalesce(F.col("protein").contains(up), F.lit(False))))
+    own = met.filter("held").select("pep_id", "name", "ms_seq", "protein")
+    rest = met.filter("not held").select("pep_id", "ms_seq")
+    found = contains_match(rest.select("pep_id", up.alias("seq")), proteome, k)
+    other = rest.join(found, "pep_id", "left")
+    name = F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("no protein holds: "), "ms_seq"))).otherwise(F.col("name"))
+    return own.unionByName(other.withColumn("name", name).join(named, "name").select("pep_id", "name", "ms_seq", "protein"))
+
+
 def multi_site_motifs(peptides: DataFrame) -> DataFrame:
     """pep_id, pos, motif of peptides (pep_id, ms_seq with lower-case sites, protein) that their protein holds.
 
@@ -133,7 +157,7 @@ def multi_site_motifs(peptides: DataFrame) -> DataFrame:
     letters = F.split(ms, "")
     where = lambda of: F.filter(F.sequence(F.lit(0), F.length(ms) - 1), lambda i: F.array_contains(F.array(*[F.lit(c) for c in of]), letters[i]))
     ys, ts, all_ = where("y"), where("ts"), where("yts")
-    rows = peptides.filter(up.contains(F.upper(ms))).select("pep_id", "ms_seq", "protein", ys.alias("ys"), ts.alias("ts"), all_.alias("any"), F.expr("instr(protein, upper(ms_seq)) - 1").alias("start"))
+    rows = peptides.filter(up.contains(F.upper(ms))).select("pep_id", *[c for c in ("name",) if c in peptides.columns], "ms_seq", "protein", ys.alias("ys"), ts.alias("ts"), all_.alias("any"), F.expr("instr(protein, upper(ms_seq)) - 1").alias("start"))
     rows = rows.filter(F.size("any") > 0)
     tail = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
     centre = F.when(F.size("ys") > 0, F.element_at("ys", 1)).otherwise(F.element_at("ts", 1))
@@ -144,4 +168,4 @@ def multi_site_motifs(peptides: DataFrame) -> DataFrame:
     marked = F.transform(plain, lambda c, i: F.when(F.array_contains("near", i - CENTRE + F.col("centre")), F.lower(c)).otherwise(c))
     site = lambda i: F.concat(F.upper(F.substring(up, i + 1, F.lit(1))), (i + 1).cast("string"), F.lit("-p"))
     listed = F.concat(F.array(site(F.col("at"))), F.transform("near", lambda i: site(F.col("start") + i)))
-    return rows.select("pep_id", F.array_join(listed, ";").alias("pos"), F.array_join(marked, "").alias("motif"))
+    return rows.select("pep_id", *[c for c in ("name",) if c in peptides.columns], F.array_join(listed, ";").alias("pos"), F.array_join(marked, "").alias("motif"))

@@ -122,6 +122,25 @@ def mean_roc(points: DataFrame, fold: str, grid: int = 100) -> DataFrame:
     return mean.select("x", F.when(F.col("x") == 0, 0.0).when(F.col("x") == 1, 1.0).otherwise(F.col("tpr")).alias("tpr"))
 
 
+def curve_area(curve: DataFrame) -> DataFrame:
+    """auc of an averaged curve (x, tpr); the grid has a hundred rows."""
+    at = W.orderBy("x")
+    step = (F.col("x") - F.lag("x").over(at)) * (F.col("tpr") + F.lag("tpr").over(at)) / 2
+    return curve.select(step.alias("step")).agg(F.sum("step").alias("auc"))
+
+
+def repeated_folds(rows: DataFrame, k: int, repeats: int, key: str, seed: str = "fold") -> DataFrame:
+    """rows once for each of ``repeats`` (repeat) with their fold there: shuffled by hash, without regard to labels; the first folds have a row more."""
+    n = rows.count()
+    every = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = F.md5(F.concat(F.lit(seed), F.col("repeat").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary"))
+    placed = running(every.withColumn("_order", order), ["repeat"], [F.col("_order"), F.col(key)], {"place": F.lit(1)}).drop("_order")
+    full, more = divmod(n, k)
+    long = (full + 1) * more
+    fold = F.when(F.col("place") <= long, F.floor((F.col("place") - 1) / F.lit(full + 1))).otherwise(F.lit(more) + F.floor((F.col("place") - 1 - long) / F.lit(max(full, 1))))
+    return placed.withColumn("fold", fold.cast("int")).drop("place")
+
+
 def local_fit(rows: DataFrame, by: str, x: str, y: str, low: float, high: float, bins: int = 50, share: float = 2 / 3) -> DataFrame:
     """by, x, fit: y smoothed by a tricube-weighted line through the nearest ``share`` of the rows.
 
@@ -209,6 +228,19 @@ def logistic(rows: DataFrame, features: str = "features", label: str = "y", c: f
     return LogisticRegression(featuresCol=features, weightCol="weight", elasticNetParam=l1, regParam=1 / (c * n), standardization=False, maxIter=100).fit(ready)
 
 
+def logistic_search(rows: DataFrame, k: int, penalties: tuple[float, ...] = (1e-2, 1.0, 1e2), l1: float = 0.5, order: str = "pep_id"):
+    """The model on all rows with the penalty of the best mean accuracy over ``k`` inner folds (the first of equals), and that penalty."""
+    d = rounds.settle(folds(rows, k, "y", order))
+    right = dict.fromkeys(penalties, 0.0)
+    for f in range(k):
+        train, test = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
+        for c in penalties:
+            got = logistic(train, c=c, l1=l1).transform(test)
+            right[c] += got.agg(F.avg(((F.col("prediction") == 1) == F.col("y")).cast("double"))).first()[0] or 0.0
+    best = max(penalties, key=lambda c: right[c])
+    return logistic(d, c=best, l1=l1), best
+
+
 def gram(rows: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Cross products, sums and number of the vectors in ``x``, which have no null.
 
@@ -242,7 +274,31 @@ def principal(rows: DataFrame, x: str, parts: int = 2) -> tuple[np.ndarray, np.n
     mean = sums / n
     values, vectors = np.linalg.eigh((products - n * np.outer(mean, mean)) / (n - 1))
     order = np.argsort(values)[::-1][:parts]
-    return mean, vectors[:, order], values[order] / values.sum()
+    loadings = vectors[:, order]
+    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])  # the largest entry is positive
+    return mean, loadings, values[order] / values.sum()
+
+
+def principal_scores(rows: DataFrame, x: str, mean: np.ndarray, loadings: np.ndarray) -> DataFrame:
+    """rows with pc, the coordinates of their centred vector along the loadings."""
+    centred = F.zip_with(x, F.array(*[F.lit(float(v)) for v in mean]), lambda v, m: v - m)
+    along = lambda part: F.aggregate(F.zip_with(centred, F.array(*[F.lit(float(v)) for v in part]), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    return rows.withColumn("pc", F.array(*[along(part) for part in loadings.T]))
+
+
+def top_clusters(coefficients: DataFrame, members: DataFrame, most: int = 3) -> DataFrame:
+    """place (0 first), cluster, coef of the ``most`` largest coefficients by size among the clusters that have members; of equals the higher cluster."""
+    held = coefficients.join(members.select("cluster").distinct(), "cluster", "left_semi")
+    top = held.orderBy(F.desc(F.abs("coef")), F.desc("cluster")).limit(most)
+    return top.select((F.row_number().over(W.orderBy(F.desc(F.abs("coef")), F.desc("cluster"))) - 1).alias("place"), "cluster", "coef")
+
+
+def best_and_plain(results: DataFrame) -> DataFrame:
+    """task, weight, performance, kind: the rows of weight 0 (plain), and of the others each task's best (weighted; the smallest weight of equals)."""
+    plain = results.filter("weight = 0").select("task", "weight", "performance", F.lit("plain").alias("kind"))
+    order = F.struct("performance", -F.col("weight"))
+    best = results.filter("weight <> 0").groupBy("task").agg(F.max(order).alias("o"))
+    return plain.unionByName(best.select("task", (-F.col("o").getField("col2")).alias("weight"), F.col("o.performance").alias("performance"), F.lit("weighted").alias("kind")))
 
 
 class Filling(rounds.Task):

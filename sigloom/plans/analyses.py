@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sigloom.functions.special import rounded
-from sigloom.operators import clusterers, mixture, stats
-from sigloom.plans.base import K, MODEL, SAMPLES, SIGNAL, rows, signal, table
+from sigloom.operators import clusterers, filters, mixture, regression, stats
+from sigloom.plans.base import K, MASKED, MODEL, SAMPLES, SIGNAL, background_weights, masked, rows, signal, table
 from sigloom.plans.matrices import hard_labels
 from sigloom.plans.registry import query
 
+#: Independent fits that are handed to the cluster at a time.
+FITS_AT_ONCE = 4
 TAIL = """least(1.0, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * (1 / (1 + 0.2316419 * z)) * (0.319381530 + (1 / (1 + 0.2316419 * z)) * (-0.356563782
  + (1 / (1 + 0.2316419 * z)) * (1.781477937 + (1 / (1 + 0.2316419 * z)) * (-1.821255978 + (1 / (1 + 0.2316419 * z)) * 1.330274429)))))"""
 RANKS = f"""{SIGNAL}, v AS (SELECT s, round(x, 2) AS x, label % 2 = 1 AS y FROM sig),
@@ -71,16 +76,52 @@ def roc_points(spark, sf_dir):
     return points(spark, sf_dir).select("fold", "score", rounded(F.col("fpr")).alias("fpr"), rounded(F.col("tpr")).alias("tpr"))
 
 
-@query(f"WITH {ROC} SELECT round(avg(auc), 4) AS auc, round(stddev_samp(auc) / sqrt(count(*)), 4) AS sem FROM area")
-def mean_auc(spark, sf_dir):
-    return stats.auc(points(spark, sf_dir), "fold").agg(rounded(F.avg("auc")).alias("auc"), rounded(F.stddev_samp("auc") / F.sqrt(F.count(F.lit(1)))).alias("sem"))
+CURVE = f"""{ROC}, seg AS (SELECT fold, fpr, tpr, coalesce(lag(fpr) OVER q, 0) AS x0, coalesce(lag(tpr) OVER q, 0) AS y0 FROM pts WINDOW q AS (PARTITION BY fold ORDER BY score DESC)),
+grid AS (SELECT range / 99.0::DOUBLE AS x FROM range(100)),
+curve AS (SELECT x, CASE WHEN x = 0 THEN 0 WHEN x = 1 THEN 1 ELSE avg(y0 + (x - x0) / (fpr - x0) * (tpr - y0)) END AS tpr FROM grid JOIN seg ON fpr > x0 AND x >= x0 AND (x < fpr OR (x = 1 AND fpr = 1)) GROUP BY x)"""
 
 
-@query()
+@query(f"WITH {CURVE} SELECT round(x, 4) + 0.0 AS x, round(tpr, 4) + 0.0 AS tpr FROM curve")
 def mean_roc_curve(spark, sf_dir):
     return stats.mean_roc(points(spark, sf_dir), "fold").select(rounded(F.col("x")).alias("x"), rounded(F.col("tpr")).alias("tpr"))
 
 
+@query(f"""WITH {CURVE}, a AS (SELECT sum((x - px) * (tpr + pt) / 2) AS auc FROM (SELECT *, lag(x) OVER (ORDER BY x) AS px, lag(tpr) OVER (ORDER BY x) AS pt FROM curve)),
+e AS (SELECT stddev_samp(auc) / sqrt(count(*)) AS sem FROM area) SELECT round(auc, 4) AS auc, round(sem, 4) AS sem FROM a, e""")
+def mean_auc(spark, sf_dir):
+    """The area under the mean of the folds' curves, and the standard error of the folds' own areas."""
+    own = points(spark, sf_dir)
+    area = stats.curve_area(stats.mean_roc(own, "fold"))
+    sem = stats.auc(own, "fold").agg((F.stddev_samp("auc") / F.sqrt(F.count(F.lit(1)))).alias("sem"))
+    return area.crossJoin(F.broadcast(sem)).select(rounded(F.col("auc")).alias("auc"), rounded(F.col("sem")).alias("sem"))  # one row each
+
+
+@query("""WITH base AS (SELECT doc_id, toxic = 1 AS y, round(n_chars / 100.0, 0) AS score FROM documents JOIN labels USING (doc_id)), n AS (SELECT count(*) AS n FROM base),
+pl AS (SELECT rep::INT AS repeat, base.*, row_number() OVER (PARTITION BY rep ORDER BY md5('fold' || rep || ':' || doc_id), doc_id) AS place FROM base CROSS JOIN range(10) t(rep)),
+fo AS (SELECT repeat, y, score, CASE WHEN place <= (n // 4 + 1) * (n % 4) THEN (place - 1) // (n // 4 + 1) ELSE n % 4 + (place - 1 - (n // 4 + 1) * (n % 4)) // (n // 4) END AS fold FROM pl, n),
+pts AS (SELECT repeat, fold, score, sum(sum((NOT y)::INT)) OVER w / nullif(sum(sum((NOT y)::INT)) OVER (PARTITION BY repeat, fold), 0) AS fpr, sum(sum(y::INT)) OVER w / nullif(sum(sum(y::INT)) OVER (PARTITION BY repeat, fold), 0) AS tpr
+  FROM fo GROUP BY repeat, fold, score WINDOW w AS (PARTITION BY repeat, fold ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT repeat, fold::INT AS fold, round(sum((fpr - x0) * (tpr + y0) / 2), 4) + 0.0 AS auc FROM (SELECT *, coalesce(lag(fpr) OVER q, 0) AS x0, coalesce(lag(tpr) OVER q, 0) AS y0 FROM pts WINDOW q AS (PARTITION BY repeat, fold ORDER BY score DESC)) GROUP BY repeat, fold""")
+def repeated_fold_areas(spark, sf_dir):
+    base = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    base = base.select("doc_id", (F.col("toxic") == 1).alias("y"), F.round(F.col("n_chars") / 100.0, 0).alias("score"))
+    own = stats.roc_points(stats.repeated_folds(base, 4, 10, "doc_id"), "score", "y", "repeat", "fold")
+    return stats.auc(own, "repeat", "fold").withColumn("auc", rounded(F.col("auc")))
+
+
+AMI = f"""{MODEL}, j AS (SELECT label, cluster, count(*) AS n FROM hard GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY label) AS a, sum(n) OVER (PARTITION BY cluster) AS b, sum(n) OVER () AS z FROM j),
+m AS (SELECT sum(n / z * ln(n * z / (a * b))) AS mi FROM t), la AS (SELECT label, sum(n)::BIGINT AS a FROM j GROUP BY label), lb AS (SELECT cluster, sum(n)::BIGINT AS b FROM j GROUP BY cluster), tot AS (SELECT sum(n)::BIGINT AS z FROM j),
+h AS (SELECT (SELECT -sum(a / z * ln(a / z)) FROM la, tot) AS ha, (SELECT -sum(b / z * ln(b / z)) FROM lb, tot) AS hb),
+e AS (SELECT sum(k / z * ln(z * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(z - a + 1) + lgamma(z - b + 1) - lgamma(z + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(z - a - b + k + 1))) AS emi
+  FROM (SELECT a, b, z, unnest(range(greatest(1, a + b - z), least(a, b) + 1))::DOUBLE AS k FROM la, lb, tot))"""
+
+
+@query(f"WITH {AMI} SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 4) + 0.0 AS ami FROM m, h, e")
+def adjusted_information(spark, sf_dir):
+    ami = stats.adjusted_mutual_information(hard_labels(spark, sf_dir), "label", "cluster")
+    return spark.createDataFrame([(float(ami),)], "ami double").select(rounded(F.col("ami")).alias("ami"))
+
+
 @query(f"WITH {MODEL}, j AS (SELECT label, cluster, count(*) AS n FROM hard GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY label) AS a, sum(n) OVER (PARTITION BY cluster) AS b, sum(n) OVER () AS z FROM j) SELECT round(sum(n / z * ln(n * z / (a * b))), 4) AS mi, round(-sum(n / z * ln(a / z)), 4) AS h_a, round(-sum(n / z * ln(b / z)), 4) AS h_b FROM t")
 def mutual_info(spark, sf_dir):
     got = stats.mutual_information(hard_labels(spark, sf_dir), "label", "cluster")
@@ -140,42 +181,127 @@ def lowess_fit(spark, sf_dir):
     return stats.local_fit(items, "grp", "l_quantity", "l_extendedprice", 0.5, 50.5).withColumn("fit", rounded(F.col("fit"), 2))
 
 
+#: Clusters and sequence weights of the imputation runs.
+IMPUTED = ((1, 0.0), (45, 0.0), (1, 100.0), (45, 100.0), (1, 1e6), (45, 1e6), (2, 0.0), (2, 100.0), (20, 0.0), (20, 100.0), (40, 0.0), (40, 100.0))
+
+
+def experiments(spark, sf_dir):
+    """The signal's seen cells, eight samples an experiment."""
+    return masked(spark, sf_dir).select("pep_id", "label", "s", (F.col("s") / 8).cast("int").alias("experiment"), "x")
+
+
+@query(f"""WITH {MASKED}, c AS (SELECT pep_id, s, s // 8 AS experiment, x FROM mis),
+p AS (SELECT pep_id, arg_min(experiment, md5('mask' || pep_id || ':' || experiment)) AS gone FROM (SELECT DISTINCT pep_id, experiment FROM c WHERE x IS NOT NULL) GROUP BY pep_id)
+SELECT pep_id, s, round(CASE WHEN experiment = gone THEN NULL ELSE x END, 4) + 0.0 AS x FROM c JOIN p USING (pep_id)""")
+def masked_experiments(spark, sf_dir):
+    return filters.masked_experiment(experiments(spark, sf_dir)).select("pep_id", "s", rounded(F.col("x")).alias("x"))
+
+
+@query(f"""WITH {MASKED}, c AS (SELECT pep_id, s, s // 8 AS experiment, x FROM mis),
+p AS (SELECT pep_id, arg_min(experiment, md5('mask' || pep_id || ':' || experiment)) AS gone FROM (SELECT DISTINCT pep_id, experiment FROM c WHERE x IS NOT NULL) GROUP BY pep_id),
+h AS (SELECT s, x AS truth, CASE WHEN experiment = gone THEN NULL ELSE x END AS x FROM c JOIN p USING (pep_id)),
+f AS (SELECT truth, x, avg(x) OVER (PARTITION BY s) AS mean, min(x) OVER (PARTITION BY s) AS least FROM h)
+SELECT m AS method, round(sum(pow(truth - CASE m WHEN 'average' THEN mean WHEN 'minimum' THEN least ELSE 0 END, 2)), 4) AS sse FROM f, (VALUES ('average'), ('minimum'), ('zero')) v(m) WHERE x IS NULL AND truth IS NOT NULL GROUP BY m""")
+def baseline_errors(spark, sf_dir):
+    return _baseline_errors(experiments(spark, sf_dir)).select("method", rounded(F.col("sse")).alias("sse"))
+
+
+def _baseline_errors(cells):
+    hidden = filters.masked_experiment(cells.withColumn("truth", F.col("x")))
+    per = hidden.groupBy("s").agg(F.avg("x").alias("average"), F.min("x").alias("minimum"))
+    fills = F.create_map(F.lit("average"), F.col("average"), F.lit("minimum"), F.col("minimum"), F.lit("zero"), F.lit(0.0))
+    gone = hidden.filter("x is null and truth is not null").join(F.broadcast(per), "s")  # a row per sample
+    return gone.select("truth", F.explode(fills).alias("method", "fill")).groupBy("method").agg(F.sum(F.pow(F.col("truth") - F.col("fill"), 2)).alias("sse"))
+
+
+def masked_rows(spark, sf_dir, seed="mask"):
+    """Mixture rows with one experiment hidden in each, and ``truth``."""
+    cells = filters.masked_experiment(experiments(spark, sf_dir).withColumn("truth", F.col("x")), seed=seed)
+    wide = cells.groupBy("pep_id").agg(F.array_sort(F.collect_list(F.struct("s", "x", "truth"))).alias("c"))  # as many cells as samples
+    own = wide.select("pep_id", F.col("c.x").alias("x"), F.col("c.truth").alias("truth")).withColumn("miss", F.transform("x", lambda v: v.isNull()))
+    return own.join(rows(spark, sf_dir).select("pep_id", "codes"), "pep_id")
+
+
+def _error(got, truth):
+    cells = got.join(truth, "pep_id").select(F.explode(F.arrays_zip("x", "miss", "truth")).alias("c")).filter("c.miss and c.truth is not null")
+    return cells.agg(F.sum(F.pow(F.col("c.x") - F.col("c.truth"), 2))).first()[0]
+
+
+def imputation_errors(spark, sf_dir, pairs, runs=1):
+    """run, clusters, weight, method, sse at hidden cells, of the mixture for each pair and of the baselines; runs differ in what is hidden.
+
+    Fits are independent and go to the cluster side by side.
+    """
+    bg = background_weights(spark, sf_dir)
+    out = []
+    for run in range(runs):
+        given = mixture.settle(masked_rows(spark, sf_dir, f"mask{run or ''}"))
+        truth = given.select("pep_id", "truth")
+        start = stats.soft_fill(given.drop("truth"))
+        starts = {(k, s): mixture.settle(mixture.kmeans_start(start, k, s)) for k in sorted({k for k, _ in pairs}) for s in (1, 2)}
+
+        def one(pair, run=run, truth=truth, starts=starts):
+            k, weight = pair
+            fits = [mixture.fit(starts[k, s], k, "binomial", weight, bg) for s in (1, 2)]
+            got, model = max(fits, key=lambda f: f[1].bounds[-1])
+            return run, k, weight, "mixture", _error(mixture.imputed(got, model), truth)
+
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            out += pool.map(one, pairs)
+        base = [(r["method"], r["sse"]) for r in _baseline_errors(experiments(spark, sf_dir)).collect()] if not run else []  # three rows
+        base.append(("low_rank", _error(stats.low_rank_fill(given.drop("truth", "codes"), 5, tol=1e-5), truth)))
+        out += [(run, k, weight, method, sse) for k, weight in pairs for method, sse in base]
+    return spark.createDataFrame([(r, k, w, m, round(float(e), 2)) for r, k, w, m, e in out], "run int, clusters int, weight double, method string, sse double")
+
+
 @query()
 def imputation_grid(spark, sf_dir):
-    """Squared error at hidden cells of the fitted mixture, over numbers of clusters and sequence weights."""
-    given = rows(spark, sf_dir, hide=True).drop("r")
-    truth = rows(spark, sf_dir).select("pep_id", F.col("x").alias("truth"))
-    out = None
-    for k in (5, K):
-        start = mixture.settle(mixture.kmeans_start(given, k, 1))
-        for weight in (0.0, 1.0):
-            got, model = mixture.fit(start, k, "pam250", weight, most=3)
-            cells = mixture.imputed(got, model).join(truth, "pep_id").select(F.explode(F.arrays_zip("x", "miss", "truth")).alias("c"))
-            error = cells.filter("c.miss").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col("c.x") - F.col("c.truth"), 2)).alias("sse"))
-            row = error.select(F.lit(k).alias("clusters"), F.lit(weight).alias("weight"), "n", rounded(F.col("sse"), 2).alias("sse"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Squared errors at hidden cells of the converged mixture and the baselines, over numbers of clusters and sequence weights."""
+    return imputation_errors(spark, sf_dir, IMPUTED)
 
 
 @query()
 def phenotype_sweep(spark, sf_dir):
-    """Area under the curve of models that tell two labels of the samples from the clusters' centres, over sequence weights."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Area under the mean curve of searched models that tell three labels of the samples from the clusters' centres, over sequence weights.
 
+    Folds are shuffled and repeated ten times; each fit searches its penalty by folds of its own.
+    """
+    return phenotype_areas(spark, sf_dir)
+
+
+def phenotype_areas(spark, sf_dir, weights=(0.0, 1e2, 1e6), runs=1, folds=2, repeats=10):
+    bg = background_weights(spark, sf_dir)
     start = mixture.settle(rows(spark, sf_dir))
-    out = []
-    for weight in (0.0, 1.0):
-        _, model = mixture.fit(start, K, "pam250", weight, most=3)
-        centres = np.array(model.means).T
-        centres = centres - centres.mean(axis=1, keepdims=True)
-        wide = spark.createDataFrame([(s, v.tolist()) for s, v in enumerate(centres)], "s int, v array<double>")  # a row per sample
-        for name, y in (("odd", F.col("s") % 2 == 1), ("third", F.col("s") % 3 == 0)):
-            d = stats.folds(wide.select("s", y.alias("y"), array_to_vector("v").alias("features")), 2, "y", "s").cache()
-            for f in range(2):
-                fitted = stats.logistic(d.filter(F.col("fold") != f), c=1e4, l1=0.5)
-                got = fitted.transform(d.filter(F.col("fold") == f)).select("fold", "y", F.round(vector_to_array("probability")[1], 6).alias("score"))
-                out.append((weight, name, f, round(stats.auc(stats.roc_points(got, "score", "y", "fold"), "fold").first()["auc"], 3)))
-    return spark.createDataFrame(out, "weight double, label string, fold int, auc double")
+    tasks = [(weight, run) for weight in weights for run in range(runs)]
+
+    def one(task):
+        weight, run = task
+        fits = [mixture.fit(mixture.kmeans_start(start, K, 1 + 2 * run + s), K, "binomial", weight, bg)[1] for s in (0, 1)]
+        centres = np.array(max(fits, key=lambda m: m.bounds[-1]).means).T
+        return centres - centres.mean(axis=1, keepdims=True)
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        centres = list(pool.map(one, tasks))
+    s = np.arange(SAMPLES)
+    labels = {"odd": s % 2 == 1, "third": s % 3 == 0, "either": (s % 5 == 0) | (s % 7 == 0)}
+    jobs = [(w, r, name, k, f, t) for t, (w, r) in enumerate(tasks) for name in labels for k in range(repeats) for f in range(folds)]
+
+    def fits(batches):
+        for batch in batches:
+            curves = []
+            for row in batch.to_pylist():
+                x, y = centres[row["task"]], labels[row["label"]]
+                test = regression.repeated(SAMPLES, folds, row["repeat"]) == row["fold"]
+                w, _ = regression.search(x[~test], y[~test], folds)
+                curves.append(regression.on_grid(*regression.curve(np.round(regression.scores(w, x[test]), 6), y[test])).tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("weight", "run", "label")), pa.array(curves, pa.list_(pa.float64()))], names=["weight", "run", "label", "curve"])
+
+    dealt = spark.createDataFrame(jobs, "weight double, run int, label string, repeat int, fold int, task int").repartition(len(jobs))
+    got = dealt.mapInArrow(fits, "weight double, run int, label string, curve array<double>").collect()  # a row per fit
+    curves: dict[tuple, list] = {}
+    for r in got:
+        curves.setdefault((r["weight"], r["run"], r["label"]), []).append(r["curve"])
+    return spark.createDataFrame([(*key, round(regression.area(np.array(c)), 4)) for key, c in sorted(curves.items())], "weight double, run int, label string, auc double")
 
 
 @query()
@@ -184,19 +310,39 @@ def pca_variance(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(share)], "part int, share double")
 
 
+@query()
+def pca_scores(spark, sf_dir):
+    """Coordinates of the rows along the first two directions; a direction's largest entry is positive."""
+    own = rows(spark, sf_dir)
+    mean, loadings, _ = stats.principal(own, "x")
+    got = stats.principal_scores(own.select("pep_id", "x"), "x", mean, loadings)
+    return got.select("pep_id", rounded(F.col("pc")[0]).alias("pc1"), rounded(F.col("pc")[1]).alias("pc2"))
+
+
+@query()
+def pca_loadings(spark, sf_dir):
+    _, loadings, _ = stats.principal(rows(spark, sf_dir), "x")
+    return spark.createDataFrame([(s, round(float(a), 4), round(float(b), 4)) for s, (a, b) in enumerate(loadings)], "s int, pc1 double, pc2 double")
+
+
 @query()
 def logreg_cv(spark, sf_dir):
-    """Fold scores of a penalised logistic model on the centred signal, as mean area under the curve."""
+    """The area under the mean curve of models that tell the parity of a cluster from its centred samples, with the penalty that inner folds pick."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     cells = signal(spark, sf_dir)
     centred = cells.join(cells.groupBy("s").agg(F.avg("x").alias("mean")), "s").withColumn("x", F.col("x") - F.col("mean"))
     wide = centred.groupBy("pep_id", "label").agg(F.array_sort(F.collect_list(F.struct("s", "x"))).alias("c"))  # as many cells as samples
     d = wide.select("pep_id", (F.col("label") % 2 == 1).alias("y"), array_to_vector(F.col("c.x")).alias("features"))
-    d = stats.folds(d, 3, "y", "pep_id").cache()
-    scored = None
-    for f in range(3):
-        model = stats.logistic(d.filter(F.col("fold") != f), c=1.0, l1=0.5)
-        got = model.transform(d.filter(F.col("fold") == f)).select("fold", "y", F.round(vector_to_array("probability")[1], 6).alias("score"))
-        scored = got if scored is None else scored.unionByName(got)
-    return stats.auc(stats.roc_points(scored, "score", "y", "fold"), "fold").withColumn("auc", rounded(F.col("auc"), 3))
+    d = mixture.settle(stats.folds(d, 3, "y", "pep_id"))
+
+    def one(f):
+        model, c = stats.logistic_search(d.filter(F.col("fold") != f).drop("fold"), 3, order="pep_id")
+        return c, model.transform(d.filter(F.col("fold") == f)).select("fold", "y", F.round(vector_to_array("probability")[1], 6).alias("score"))
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        found = list(pool.map(one, range(3)))
+    scored = found[0][1].unionByName(found[1][1]).unionByName(found[2][1])
+    own = mixture.settle(stats.roc_points(scored, "score", "y", "fold"))
+    area = stats.curve_area(stats.mean_roc(own, "fold")).first()["auc"]
+    return stats.auc(own, "fold").select("fold", rounded(F.col("auc"), 3).alias("auc"), rounded(F.lit(float(area)), 3).alias("mean_auc"))

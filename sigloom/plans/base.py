@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.residues import ALPHABET, CENTRE, FREQUENCIES, WINDOW, pam250
-from sigloom.operators import mixture
+from sigloom.operators import mixture, sequence
 
 K, SAMPLES = 10, 64
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` as they are read; only a table of fewer parts than there are cores is dealt out anew."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pep_id, s, x, label: embeddings as a long signal; the label is the initial cluster."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pep_id"), "label", F.posexplode("embedding").alias("s", "v")).select("pep_id", "label", "s", F.col("v").cast("double").alias("x"))
@@ -49,6 +55,14 @@ def rows(spark: SparkSession, sf_dir: str, *, hide: bool = False) -> DataFrame:
     return d.withColumn("r", one)
 
 
+def background_weights(spark: SparkSession, sf_dir: str) -> list[float]:
+    """Share of each residue at each position of all windows, with pseudocounts, by code."""
+    out = [0.0] * (20 * WINDOW)
+    for r in sequence.weights(sequence.counts(sequence.residues(peptides(spark, sf_dir)))).collect():  # 220 rows
+        out[r["pos"] * 20 + ALPHABET.index(r["aa"])] = r["p"]
+    return out
+
+
 SIGNAL = f"""sig AS (SELECT vec_id AS pep_id, label, unnest(range({SAMPLES}))::INT AS s, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
 MASKED = SIGNAL + """, mis AS (SELECT pep_id, label, s, x AS truth, CASE WHEN (pep_id * 31 + s * 17) % 11 <> 0 THEN x END AS x FROM sig)"""
 RESIDUES = f"""res AS (SELECT vec_id AS pep_id, label, p::INT AS pos,

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigloom.functions.residues import ALPHABET
 from sigloom.functions.special import rounded
 from sigloom.operators import mixture, profiles, sequence, stats
-from sigloom.plans.base import ALPHABET_SQL, K, MASKED, MODEL, PAM_SQL, RESIDUES, SIGNAL, masked, peptides, rows, signal, table
+from sigloom.plans.base import ALPHABET_SQL, K, MASKED, MODEL, PAM_SQL, RESIDUES, SIGNAL, background_weights, masked, peptides, rows, signal, table
 from sigloom.plans.registry import query
 
 
 def one_step(spark, sf_dir):
     start = rows(spark, sf_dir)
-    return mixture.scored(start, mixture.m_step(start, K))
+    # settled: what is read off it would evaluate the densities anew each time
+    return mixture.settle(mixture.scored(start, mixture.m_step(start, K)))
 
 
 @query(f"WITH {MODEL} SELECT cluster, s, round(mu, 4) + 0.0 AS mu, round(var, 4) + 0.0 AS var FROM mom")
@@ -96,20 +96,55 @@ def impute_cluster(spark, sf_dir):
     return cells.join(own, ["label", "s"]).select("pep_id", "s", rounded(F.coalesce("x", "own")).alias("x"))
 
 
+def _round_sql(k: int) -> str:
+    """The k-th round: densities of the cells filled so far, hard labels, refilled cells, and the next model."""
+    return f"""
+l{k} AS (SELECT x{k}.pep_id, m{k}.cluster, any_value(m{k}.lp) - 0.5 * (count(*) * ln(2 * pi()) + sum(pow(x - mu, 2) / var) + sum(ln(var))) AS l FROM x{k} JOIN m{k} USING (s) GROUP BY x{k}.pep_id, m{k}.cluster),
+t{k} AS ({"SELECT pep_id, cluster, l FROM l0" if not k else f"SELECT l{k}.pep_id, l{k}.cluster, l + 0.05 * score AS l FROM l{k} JOIN s{k} ON s{k}.pep_id = l{k}.pep_id AND s{k}.cluster = l{k}.cluster"}),
+z{k} AS (SELECT pep_id, max(l) + ln(sum(exp(l - most))) AS z FROM (SELECT *, max(l) OVER (PARTITION BY pep_id) AS most FROM t{k}) GROUP BY pep_id),
+r{k} AS (SELECT t{k}.pep_id, cluster, exp(l - z) AS r FROM t{k} JOIN z{k} USING (pep_id)),
+h{k} AS (SELECT pep_id, arg_max(cluster, (r, -cluster)) AS cluster FROM r{k} GROUP BY pep_id),
+x{k + 1} AS (SELECT x{k}.pep_id, x{k}.s, miss, CASE WHEN miss THEN mu ELSE x END AS x FROM x{k} JOIN h{k} USING (pep_id) JOIN m{k} ON m{k}.cluster = h{k}.cluster AND m{k}.s = x{k}.s),
+n{k + 1} AS (SELECT cluster, sum(r) AS n FROM r{k} GROUP BY cluster),
+m{k + 1} AS (SELECT cluster, s, sum(r * x) / (any_value(n) + 2.220446049250313e-15) AS mu, sum(r * x * x) / (any_value(n) + 2.220446049250313e-15) - pow(sum(r * x) / (any_value(n) + 2.220446049250313e-15), 2) + 1e-6 AS var,
+  ln((any_value(n) + 2.220446049250313e-15) / any_value(tot)) AS lp FROM x{k + 1} JOIN r{k} USING (pep_id) JOIN n{k + 1} USING (cluster), (SELECT sum(n + 2.220446049250313e-15) AS tot FROM n{k + 1}) GROUP BY cluster, s),
+q{k + 1} AS (SELECT cluster, pos, aa, sum(r) AS q FROM res JOIN r{k} USING (pep_id) GROUP BY ALL),
+u{k + 1} AS (SELECT q.cluster, q.pos, pam.aa1 AS aa, sum(pam.score * q.q) / any_value(n) AS v FROM q{k + 1} q JOIN pam ON pam.aa2 = q.aa JOIN n{k + 1} USING (cluster) GROUP BY ALL),
+s{k + 1} AS (SELECT pep_id, u.cluster, sum(v) AS score FROM res JOIN u{k + 1} u USING (pos, aa) GROUP BY pep_id, u.cluster)"""
+
+
+TWO_ROUNDS = f"""{MASKED}, {RESIDUES}, {PAM_SQL},
+x0 AS (SELECT pep_id, s, x IS NULL AS miss, coalesce(x, avg(x) OVER (PARTITION BY s)) AS x FROM mis),
+g AS (SELECT DISTINCT pep_id, label AS cluster FROM sig), k0 AS (SELECT cluster, count(*) AS n FROM g GROUP BY cluster),
+m0 AS (SELECT cluster, s, sum(x) / (any_value(n) + 2.220446049250313e-15) AS mu, sum(x * x) / (any_value(n) + 2.220446049250313e-15) - pow(sum(x) / (any_value(n) + 2.220446049250313e-15), 2) + 1e-6 AS var,
+  ln((any_value(n) + 2.220446049250313e-15) / any_value(tot)) AS lp FROM x0 JOIN g USING (pep_id) JOIN k0 USING (cluster), (SELECT sum(n + 2.220446049250313e-15) AS tot FROM k0) GROUP BY cluster, s),""" + _round_sql(0) + "," + _round_sql(1) + "," + _round_sql(2)
+
+
+@query(f"WITH {TWO_ROUNDS} SELECT pep_id, h2.cluster, round(z, 3) + 0.0 AS lse FROM h2 JOIN z2 USING (pep_id)")
+def em_two_rounds(spark, sf_dir):
+    """Two rounds with missing cells and substitution scores from the given labels, and the responsibilities after them."""
+    got, _ = mixture.fit(rows(spark, sf_dir, hide=True), K, "pam250", 0.05, most=2, tol=0.0)
+    return got.select("pep_id", mixture.hard(F.col("r")).alias("cluster"), rounded(F.col("lse"), 3).alias("lse"))
+
+
 @query()
 def em_converged(spark, sf_dir):
-    """The mixture with missing cells and substitution scores, to convergence."""
-    got, _ = mixture.fit(rows(spark, sf_dir, hide=True), K, "pam250", 1.0, most=12)
+    """The mixture with missing cells and substitution scores until its bound rests, the better of two starts."""
+    got, _ = mixture.fit_best(rows(spark, sf_dir, hide=True), K, method="pam250", weight=1.0, start="soft")
+    return got.select("pep_id", mixture.hard(F.col("r")).alias("cluster"), rounded(F.col("lse"), 2).alias("lse"))
+
+
+@query()
+def plain_mixture(spark, sf_dir):
+    """Two clusters by the signal alone."""
+    got, _ = mixture.fit_best(rows(spark, sf_dir).drop("r"), 2, weight=0.0)
     return got.select("pep_id", mixture.hard(F.col("r")).alias("cluster"), rounded(F.col("lse"), 2).alias("lse"))
 
 
 @query()
 def em_binomial(spark, sf_dir):
-    """The same with binomial enrichment against the pseudocounted background; imputes at the end."""
-    bg = [0.0] * 220
-    for r in sequence.weights(sequence.counts(sequence.residues(peptides(spark, sf_dir)))).collect():  # 220 rows
-        bg[r["pos"] * 20 + ALPHABET.index(r["aa"])] = r["p"]
-    got, model = mixture.fit(rows(spark, sf_dir, hide=True), K, "binomial", 1.0, bg, most=6)
+    """The same with binomial enrichment against the pseudocounted background; its imputed cells."""
+    got, model = mixture.fit_best(rows(spark, sf_dir, hide=True), K, method="binomial", weight=1.0, background=background_weights(spark, sf_dir), start="soft")
     cells = mixture.imputed(got, model).select("pep_id", mixture.hard(F.col("r")).alias("cluster"), F.posexplode(F.arrays_zip("x", "miss")).alias("s", "c")).filter("c.miss")
     return cells.select("pep_id", "cluster", "s", rounded(F.col("c.x")).alias("x"))
 
@@ -151,9 +186,7 @@ p AS (SELECT k.cluster, k.pos, k.aa, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lga
 def binomial_score(spark, sf_dir):
     start = rows(spark, sf_dir)
     n, _, _ = mixture.moments(start, K)
-    bg = [0.0] * 220
-    for r in sequence.weights(sequence.counts(sequence.residues(peptides(spark, sf_dir)))).collect():  # 220 rows
-        bg[r["pos"] * 20 + ALPHABET.index(r["aa"])] = r["p"]
+    bg = background_weights(spark, sf_dir)
     return _table_scores(spark, start, mixture.binomial_table(mixture.code_sums(start, K), n, bg), log=True)
 
 

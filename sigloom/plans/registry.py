@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from sigloom.plans import analyses, matrices, tables  # noqa: F401  (they register on import)
+    from sigloom.plans import analyses, chains, matrices, tables  # noqa: F401  (they register on import)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

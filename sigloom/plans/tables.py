@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigloom.functions.residues import ALPHABET
 from sigloom.functions.special import rounded
 from sigloom.operators import filters, profiles, sequence
-from sigloom.plans.base import ALPHABET_SQL, EVENT_CELLS, RESIDUES, WINDOWS, cells, peptides, table
+from sigloom.plans.base import ALPHABET_SQL, EVENT_CELLS, RESIDUES, WINDOWS, cells, peptides, spread, table
 from sigloom.plans.registry import query
 
 
@@ -68,7 +68,7 @@ def symmetric_difference(spark, sf_dir):
 
 @query(f"WITH {WINDOWS} SELECT seq, count(*) AS n FROM win GROUP BY seq")
 def kmer_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return sequence.windows(docs, "doc_id").groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -112,7 +112,7 @@ k AS (SELECT b.*, row_number() OVER (PARTITION BY site ORDER BY doc_id, seq) AS
 SELECT site, count(*) AS n, min(seq) AS least, max(seq) AS most, max(doc_id) AS last_doc FROM k, q
 WHERE turn <= trunc(size * CASE site WHEN 'Y' THEN y WHEN 'S' THEN s ELSE t END) GROUP BY site""")
 def background_quota(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     got = sequence.quota(spark, sequence.windows(docs, "doc_id"), peptides(spark, sf_dir), "doc_id")
     return got.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("least"), F.max("seq").alias("most"), F.max("doc_id").alias("last_doc"))
 

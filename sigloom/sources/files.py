@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 
 from sigloom.functions.residues import ALPHABET
 from sigloom.functions.special import clipped, masked_log2
+from sigloom.operators.filters import require_numeric
+from sigloom.operators.sequence import map_sites
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -18,6 +20,39 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None
     return rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
 
 
+def signal_table(spark: SparkSession, path: str, experiments: str, least: int = 2) -> DataFrame:
+    """row, seq, sample, experiment, x of a signal table: the rows seen in at least ``least`` experiments.
+
+    The first column is a number and goes, as do Protein, Gene and Position; Sequence is the
+    key; every other column is a sample.  ``experiments`` names a table whose second column is
+    the experiment of each sample, in the samples' order.
+    """
+    raw = csv(spark, path)
+    kept = raw.select(*raw.columns[1:]).drop("Protein", "Gene", "Position")
+    samples = [c for c in kept.columns if c != "Sequence"]
+    require_numeric(kept, samples)
+    dealt = csv(spark, experiments)
+    groups = [r[0] for r in dealt.select(dealt.columns[1]).collect()]  # a row per sample
+    if len(groups) != len(samples):
+        raise ValueError(f"{len(samples)} samples, but {len(groups)} experiments")
+    cells = F.array(*[F.struct(F.lit(c).alias("sample"), F.lit(g).alias("experiment"), F.col(f"`{c}`").cast("double").alias("x")) for c, g in zip(samples, groups, strict=True)])
+    seen = F.size(F.array_distinct(F.transform(F.filter(cells, lambda c: c["x"].isNotNull()), lambda c: c["experiment"])))
+    rows = kept.select(F.monotonically_increasing_id().alias("row"), F.col("Sequence").alias("seq"), cells.alias("cells"), seen.alias("seen"))
+    return rows.filter(F.col("seen") >= least).select("row", "seq", F.explode("cells").alias("c")).select("row", "seq", "c.*")
+
+
+def site_table(spark: SparkSession, path: str, proteome: str, without: str = "ARPC2_HUMAN;") -> DataFrame:
+    """seq and the value columns of a table of sites (``GENE(S123);``), mapped to windows of their proteins.
+
+    FDR goes, as do the row named ``without`` and the sites that don't map.
+    """
+    raw = csv(spark, path).drop("FDR").withColumnRenamed("sh.index.sites", "site").filter(F.col("site") != without)
+    values = [c for c in raw.columns if c != "site"]
+    sites = raw.select(F.split_part("site", F.lit("("), F.lit(1)).alias("gene"), F.regexp_extract("site", r"\(([A-Za-z0-9]+)\)", 1).alias("position"), *[F.col(f"`{c}`") for c in values])
+    mapped = map_sites(sites, fasta(spark, proteome, "gene"), *values)
+    return mapped.filter("rejected is null").select(F.col("motif").alias("seq"), *[F.col(f"`{c}`") for c in values])
+
+
 def gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """name, url, members of a ragged tab-separated file."""
     cut = F.split("value", "\t")
@@ -30,7 +65,8 @@ def fasta(spark: SparkSession, path: str, names: str = "full") -> DataFrame:
     ``full`` names stand between ``HUMAN `` and `` OS`` (a record without them is an error);
     ``gene`` names follow `` GN=`` (records without it are left out).
     """
-    text = spark.read.text(path, lineSep="\n>").select("value", F.monotonically_increasing_id().alias("ord"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))  # files may be read in any order
+    text = spark.read.text(path, lineSep="\n>").select("value", place.alias("ord"))
     head = F.regexp_extract("value", r"^>?([^\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     rows = text.select("ord", head.alias("head"), body.alias("seq"))
