@@ -311,6 +311,8 @@ def kmeans_start(rows: DataFrame, k: int, seed: int) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if k == 1:
+        return rows.withColumn("r", F.array(F.lit(1.0)))
     means = F.array(*[F.lit(float(v)) for v in sample_means(rows)])
     ready = rows.withColumn("features", array_to_vector(F.zip_with("x", means, lambda v, m: F.coalesce(v, m))))
     model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="own").fit(ready)

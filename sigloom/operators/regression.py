@@ -21,7 +21,7 @@ def balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y, n / (2 * max(p, 1)), n / (2 * max(n - p, 1)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float = 1.0, start: np.ndarray | None = None, most: int = 2000, tol: float = 1e-6) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float = 1.0, start: np.ndarray | None = None, most: int = 1000, tol: float = 1e-4) -> np.ndarray:
     """Coefficients and intercept (last, without penalty) that minimise the penalty plus ``c`` times the balanced log loss.
 
     Proximal gradient steps with momentum, restarted when they climb.
@@ -78,7 +78,7 @@ def search(x: np.ndarray, y: np.ndarray, folds: int, penalties: tuple[float, ...
         w = None
         for k, c in enumerate(penalties):
             w = fit(x[fold != f], y[fold != f], c, l1, w)
-            right[k] += ((scores(w, x[fold == f]) >= 0.5) == y[fold == f]).mean() if (fold == f).any() else 0
+            right[k] += ((scores(w, x[fold == f]) > 0.5) == y[fold == f]).mean() if (fold == f).any() else 0
     best = penalties[int(right.argmax())]
     return fit(x, y, best, l1), best
 

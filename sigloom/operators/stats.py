@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sigloom.functions.special import normal_tail
-from sigloom.operators import rounds
+from sigloom.operators import regression, rounds
 from sigloom.operators.ordered import running
 
 
@@ -228,17 +228,51 @@ def logistic(rows: DataFrame, features: str = "features", label: str = "y", c: f
     return LogisticRegression(featuresCol=features, weightCol="weight", elasticNetParam=l1, regParam=1 / (c * n), standardization=False, maxIter=100).fit(ready)
 
 
-def logistic_search(rows: DataFrame, k: int, penalties: tuple[float, ...] = (1e-2, 1.0, 1e2), l1: float = 0.5, order: str = "pep_id"):
-    """The model on all rows with the penalty of the best mean accuracy over ``k`` inner folds (the first of equals), and that penalty."""
-    d = rounds.settle(folds(rows, k, "y", order))
+def logistic_search(rows: DataFrame, k: int, penalties: tuple[float, ...], l1: float, key: str):
+    """The model on all rows with the penalty of the best mean accuracy over ``k`` inner folds (the first of equals)."""
+    d = rounds.settle(folds(rows, k, "y", key))
     right = dict.fromkeys(penalties, 0.0)
     for f in range(k):
         train, test = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
-        for c in penalties:
+        for c in right:
             got = logistic(train, c=c, l1=l1).transform(test)
             right[c] += got.agg(F.avg(((F.col("prediction") == 1) == F.col("y")).cast("double"))).first()[0] or 0.0
-    best = max(penalties, key=lambda c: right[c])
-    return logistic(d, c=best, l1=l1), best
+    return logistic(d, c=max(right, key=lambda c: right[c]), l1=l1)
+
+
+def searched_scores(rows: DataFrame, k: int, penalties: tuple[float, ...] = regression.PENALTIES, l1: float = 1.0, key: str = "pep_id") -> DataFrame:
+    """fold, y, score of each row (key, y, x) by a model that hasn't seen its fold and whose penalty inner folds picked.
+
+    A table of up to ``rounds.ONE_TASK_CELLS`` cells is searched in one task, a larger one by Spark ML.
+    """
+    d = rounds.settle(folds(rows.select(key, "y", "x"), k, "y", key))
+    first = d.select(F.size("x").alias("n")).first()
+    shape = "fold int, y boolean, score double"
+    if first is None:
+        return rows.sparkSession.createDataFrame([], shape)
+    if d.count() * first["n"] <= rounds.ONE_TASK_CELLS:
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            order = np.argsort(np.concatenate([np.asarray(b.column(key)) for b in held]), kind="stable")
+            x, y, fold = (np.concatenate(v)[order] for v in zip(*((b.column("x").flatten().to_numpy().reshape(b.num_rows, -1), np.asarray(b.column("y")).astype(bool), np.asarray(b.column("fold"))) for b in held), strict=True))
+            for f in range(k):
+                w, _ = regression.search(x[fold != f], y[fold != f], k, penalties, l1)
+                own = fold == f
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), f, np.int32)), pa.array(y[own]), pa.array(np.round(regression.scores(w, x[own]), 6))], names=["fold", "y", "score"])
+
+        return d.coalesce(1).mapInArrow(search, shape)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    ready = d.withColumn("features", array_to_vector("x")).drop("x")
+    parts = []
+    for f in range(k):
+        model = logistic_search(ready.filter(F.col("fold") != f).drop("fold"), k, penalties, l1, key)
+        parts.append(model.transform(ready.filter(F.col("fold") == f)).select("fold", "y", F.round(vector_to_array("probability")[1], 6).alias("score")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def gram(rows: DataFrame, x: str) -> tuple[np.ndarray, np.ndarray, int]:

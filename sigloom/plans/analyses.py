@@ -327,22 +327,11 @@ def pca_loadings(spark, sf_dir):
 
 @query()
 def logreg_cv(spark, sf_dir):
-    """The area under the mean curve of models that tell the parity of a cluster from its centred samples, with the penalty that inner folds pick."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
+    """Areas under the curves of models that tell the parity of a cluster from its centred samples, with the penalty that inner folds pick, and under their mean."""
     cells = signal(spark, sf_dir)
     centred = cells.join(cells.groupBy("s").agg(F.avg("x").alias("mean")), "s").withColumn("x", F.col("x") - F.col("mean"))
     wide = centred.groupBy("pep_id", "label").agg(F.array_sort(F.collect_list(F.struct("s", "x"))).alias("c"))  # as many cells as samples
-    d = wide.select("pep_id", (F.col("label") % 2 == 1).alias("y"), array_to_vector(F.col("c.x")).alias("features"))
-    d = mixture.settle(stats.folds(d, 3, "y", "pep_id"))
-
-    def one(f):
-        model, c = stats.logistic_search(d.filter(F.col("fold") != f).drop("fold"), 3, order="pep_id")
-        return c, model.transform(d.filter(F.col("fold") == f)).select("fold", "y", F.round(vector_to_array("probability")[1], 6).alias("score"))
-
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        found = list(pool.map(one, range(3)))
-    scored = found[0][1].unionByName(found[1][1]).unionByName(found[2][1])
+    scored = stats.searched_scores(wide.select("pep_id", (F.col("label") % 2 == 1).alias("y"), F.col("c.x").alias("x")), 3)
     own = mixture.settle(stats.roc_points(scored, "score", "y", "fold"))
     area = stats.curve_area(stats.mean_roc(own, "fold")).first()["auc"]
     return stats.auc(own, "fold").select("fold", rounded(F.col("auc"), 3).alias("auc"), rounded(F.lit(float(area)), 3).alias("mean_auc"))

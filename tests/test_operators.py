@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import residues, special
-from sigloom.operators import clusterers, filters, mixture, ordered, profiles, rounds, sequence, stats
+from sigloom.operators import clusterers, filters, mixture, ordered, profiles, regression, rounds, sequence, stats
 from sigloom.plans import base
 from sigloom.sources import files
 
@@ -270,6 +270,81 @@ def test_best_start(spark):
     assert all(abs(sum(r["r"]) - 1) < 1e-9 for r in got.select("r").collect())
 
 
+def test_logistic_fit_is_the_penalised_optimum():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    y = x[:, 0] + 0.5 * rng.normal(size=60) > 0.3
+    for c, l1 in ((0.05, 1.0), (1.0, 1.0), (1.0, 0.5), (100.0, 1.0)):
+        w = regression.fit(x, y, c, l1, most=20_000, tol=1e-10)
+
+        def loss(v, c=c, l1=l1):
+            m = (x @ v[:-1] + v[-1]) * np.where(y, 1, -1)
+            return c * (regression.balanced(y) * np.logaddexp(0, -m)).sum() + l1 * np.abs(v[:-1]).sum() + (1 - l1) / 2 * (v[:-1] ** 2).sum()
+
+        assert all(loss(w) <= loss(w + 1e-3 * rng.normal(size=5)) + 1e-9 for _ in range(200))
+    assert (regression.fit(x, y, 1e-4)[:-1] == 0).all()
+    fold = regression.stratified(y, 3)
+    assert all(abs(np.bincount(fold[y == c], minlength=3) - (y == c).sum() / 3).max() < 1 for c in (False, True))
+    assert sorted(np.bincount(regression.repeated(11, 4, 1)).tolist()) == [2, 3, 3, 3]
+    score, truth = np.array([0.9, 0.8, 0.8, 0.1]), np.array([True, True, False, False])
+    fpr, tpr = regression.curve(score, truth)
+    assert fpr.tolist() == [0, 0, 0.5, 1] and tpr.tolist() == [0, 0.5, 1, 1]
+    assert regression.area(np.array([regression.on_grid(fpr, tpr)])) == pytest.approx(0.875, abs=0.01)
+
+
+def test_searched_scores_agree_in_one_task_and_by_spark_ml(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 3))
+    y = x[:, 0] + 0.3 * rng.normal(size=90) > 0
+    rows = spark.createDataFrame([(k, bool(b), [float(v) for v in r]) for k, (r, b) in enumerate(zip(x, y, strict=True))], "pep_id int, y boolean, x array<double>")
+    found = []
+    for cells in (1 << 30, 0):
+        monkeypatch.setattr(rounds, "ONE_TASK_CELLS", cells)
+        found.append(sorted(tuple(r) for r in stats.searched_scores(rows, 2, (0.01, 1.0)).collect()))
+    assert [r[:2] for r in sorted(found[0], key=lambda r: r[:2])] == [r[:2] for r in sorted(found[1], key=lambda r: r[:2])]
+    assert np.abs(np.array([r[2] for r in found[0]]) - np.array([r[2] for r in found[1]])).max() < 0.05
+
+
+def test_errors_name_what_is_wrong(spark, tmp_path):
+    with pytest.raises(Exception, match="not a sequence: AB"):
+        filters.require_sequences(spark.createDataFrame([("AB",)], "seq string")).collect()
+    with pytest.raises(ValueError, match="b"):
+        filters.require_numeric(spark.createDataFrame([(1.0, "x")], "a double, b string"), ["a", "b"])
+    rows = spark.createDataFrame([("P1", 1), ("P1.N", 0)], "name string, egfr int")
+    assert [tuple(r) for r in filters.mutation_flags(rows, "name", ["egfr"]).collect()] == [("P1", True)]
+    with pytest.raises(Exception, match="no row for: P2"):
+        filters.labelled(rows, spark.createDataFrame([("P2",)], "name string"), "name").collect()
+    assert filters.drop_null_columns(spark.createDataFrame([(1, None), (2, 3)], "a int, b int")).columns == ["a"]
+    proteins = spark.createDataFrame([(1, "A", "MKAAASAATYAA")], "ord int, name string, seq string")
+    with pytest.raises(Exception, match="no protein holds"):
+        sequence.match_names(spark.createDataFrame([(1, "A", "AAsAATW")], "pep_id int, name string, ms_seq string"), proteins).collect()
+    got = sequence.match_names(spark.createDataFrame([(1, " A ", "AAsAAT"), (2, "B", "KAAAs")], "pep_id int, name string, ms_seq string"), proteins).collect()
+    assert sorted((r["pep_id"], r["name"]) for r in got) == [(1, "A"), (2, "A")]
+    dist = spark.createDataFrame([("X", 0, 1.0)], "kinase string, cluster int, d double")
+    with pytest.raises(Exception, match="no class for: X"):
+        profiles.nearest(dist, 1, spark.createDataFrame([("Z", "Y")], "kinase string, class string"), spark.createDataFrame([(0, "Y")], "cluster int, acceptor string")).collect()
+    with pytest.raises(ValueError):
+        filters.sample_with_replacement(rows, "name")
+    (tmp_path / "s.csv").write_text("n,Sequence,Protein,Gene,Position,A,B\n1,AAAAASAAAAA,p,g,S1,1.0,\n2,AAAAATAAAAA,p,g,S1,1.0,2.0\n")
+    (tmp_path / "e.csv").write_text("Sample,Experiment\nA,1\nB,2\n")
+    got = files.signal_table(spark, str(tmp_path / "s.csv"), str(tmp_path / "e.csv")).collect()
+    assert sorted((r["seq"], r["sample"], r["experiment"], r["x"]) for r in got) == [("AAAAATAAAAA", "A", 1, 1.0), ("AAAAATAAAAA", "B", 2, 2.0)]
+    (tmp_path / "e.csv").write_text("Sample,Experiment\nA,1\n")
+    with pytest.raises(ValueError, match="2 samples"):
+        files.signal_table(spark, str(tmp_path / "s.csv"), str(tmp_path / "e.csv"))
+
+
+def test_principal_scores_are_those_of_the_decomposition(spark):
+    table = np.random.default_rng(3).normal(size=(50, 4)) * [3, 2, 1, 1]
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(table)], "k int, x array<double>")
+    mean, loadings, _ = stats.principal(rows, "x")
+    _, _, vt = np.linalg.svd(table - table.mean(axis=0), full_matrices=False)
+    want = vt[:2].T * np.sign(vt[:2].T[np.abs(vt[:2].T).argmax(axis=0), [0, 1]])
+    assert np.allclose(loadings, want)
+    got = {r["k"]: r["pc"] for r in stats.principal_scores(rows, "x", mean, loadings).collect()}
+    assert np.allclose([got[k] for k in range(50)], (table - table.mean(axis=0)) @ want)
+
+
 def test_running_sums_of_a_large_group(spark):
     rows = spark.createDataFrame([("a" if k % 10 else None, (k * 37) % 500, k) for k in range(500)], "g string, o int, v int").repartition(7)
     got = ordered.running(rows, ["g"], [F.col("o").desc()], {"place": F.lit(1), "upto": F.col("v")}).collect()
