@@ -7,7 +7,10 @@ points alone, and a row takes the label of its representative.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,67 @@ def representatives(rows: DataFrame, x: str, most: int = REPRESENTATIVES, seed:
     return np.array(model.clusterCenters()), model.transform(ready).drop("features")
 
 
+class Leaves:
+    """Clustering features (number, sum, sum of squares), each within ``threshold`` of its centre; at most ``most``.
+
+    A feature goes into the nearest one that keeps its radius, else stands alone.  When there
+    are too many, the threshold grows and the features are dealt anew.
+    """
+
+    def __init__(self, most: int, threshold: float):
+        self.most, self.threshold = most, threshold
+        self.n, self.sums, self.squares = np.zeros(0), None, np.zeros(0)
+
+    def add(self, n: float, total: np.ndarray, squares: float) -> None:
+        if self.sums is None:
+            self.sums = np.zeros((0, len(total)))
+        if len(self.n):
+            k = int(((self.sums / self.n[:, None] - total / n) ** 2).sum(axis=1).argmin())
+            m, t, q = self.n[k] + n, self.sums[k] + total, self.squares[k] + squares
+            if q / m - ((t / m) ** 2).sum() <= self.threshold**2:
+                self.n[k], self.sums[k], self.squares[k] = m, t, q
+                return
+        self.n, self.sums, self.squares = np.append(self.n, n), np.vstack([self.sums, total]), np.append(self.squares, squares)
+        while len(self.n) > self.most:
+            held = self.n, self.sums, self.squares
+            self.threshold *= 1.5
+            self.n, self.sums, self.squares = np.zeros(0), np.zeros((0, held[1].shape[1])), np.zeros(0)
+            for one in zip(*held, strict=True):
+                self.add(*one)
+
+
+def leaf_centres(rows: DataFrame, x: str, most: int = REPRESENTATIVES, threshold: float = 0.5) -> np.ndarray:
+    """Centres of the features that the rows fall into: first inside the partitions, then of what these found, in two steps."""
+    shape = "n double, total array<double>, squares double"
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = Leaves(most, threshold)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = batch.column(batch.num_columns - 1 if batch.num_columns == 1 else 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if batch.num_columns == 1:
+                n, squares = np.ones(len(vectors)), (vectors**2).sum(axis=1)
+            else:
+                n, squares = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            for one in zip(n, vectors, squares, strict=True):
+                leaves.add(*one)
+        if len(leaves.n):
+            yield pa.RecordBatch.from_arrays([pa.array(leaves.n), pa.array(leaves.sums.tolist(), pa.list_(pa.float64())), pa.array(leaves.squares)], names=["n", "total", "squares"])
+
+    parts = rows.select(x).mapInArrow(folded, shape)
+    some = parts.repartition(max(1, rows.rdd.getNumPartitions() // 64)).mapInArrow(folded, shape)
+    got = some.coalesce(1).mapInArrow(folded, shape).collect()  # at most ``most`` rows
+    return np.array([np.array(r["total"]) / r["n"] for r in got])
+
+
+def nearest_centre(rows: DataFrame, x: str, centres: np.ndarray, name: str) -> DataFrame:
+    """rows with the index of the centre nearest to ``x``; the first of equals."""
+    mu = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    gap = lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return rows.withColumn("_gaps", F.transform(mu, gap)).withColumn(name, (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
+
+
 def squared(points: np.ndarray) -> np.ndarray:
     """Squared distances between all points."""
     norms = (points**2).sum(axis=1)
@@ -143,9 +207,9 @@ def affinity(points: np.ndarray, damping: float = 0.5, rounds: int = 200) -> np.
     return labels
 
 
-def lloyd(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
-    """K-means labels of few points; each start lies farthest from those before it."""
-    picked = [int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())]
+def lloyd(points: np.ndarray, k: int, sizes: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """K-means labels of few weighted points; each start lies farthest from those before it."""
+    picked = [int(((points - np.average(points, axis=0, weights=sizes)) ** 2).sum(axis=1).argmin())]
     while len(picked) < min(k, len(points)):
         picked.append(int(np.min([((points - points[p]) ** 2).sum(axis=1) for p in picked], axis=0).argmax()))
     centres = points[picked]
@@ -155,24 +219,26 @@ def lloyd(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
         if step and (new == labels).all():
             break
         labels = new
-        centres = np.array([points[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(len(centres))])
+        centres = np.array([np.average(points[labels == c], axis=0, weights=sizes[labels == c]) if (labels == c).any() else centres[c] for c in range(len(centres))])
     return labels
 
 
-def spectral(points: np.ndarray, k: int, gamma: float = 1.0) -> np.ndarray:
-    """Labels by K-means on the leading directions of the normalised Gaussian affinity."""
+def spectral(points: np.ndarray, k: int, sizes: np.ndarray, gamma: float = 1.0) -> np.ndarray:
+    """Labels by K-means on the leading directions of the normalised Gaussian affinity of all the rows that the points stand for."""
     w = np.exp(-gamma * squared(points))
-    scale = 1 / np.sqrt(w.sum(axis=1))
+    degree = w @ sizes
+    scale = np.sqrt(sizes / degree)
     _, vectors = np.linalg.eigh(w * scale[:, None] * scale[None, :])
-    return lloyd(vectors[:, -k:] * scale[:, None], k)
+    return lloyd(vectors[:, -k:] / np.sqrt(sizes * degree)[:, None], k, sizes)
 
 
 def baselines(points: np.ndarray, sizes: np.ndarray, k: int) -> dict[str, np.ndarray]:
-    """Labels of the representatives by each method.
-
-    ``birch`` links the summary's centres without their sizes, ``ward`` with them.
-    """
+    """Labels of the representatives by each method; all but affinity weigh them by their rows."""
     n = len(points)
     out = {m: cut(linkage(points, sizes, m), n, k) for m in ("ward", "average", "complete")}
-    out["birch"] = cut(linkage(points, np.ones(n), "ward"), n, k)
-    return out | {"mean_shift": mean_shift(points, sizes), "affinity": affinity(points), "spectral": spectral(points, k)}
+    return out | {"mean_shift": mean_shift(points, sizes), "affinity": affinity(points), "spectral": spectral(points, k, sizes)}
+
+
+def birch(centres: np.ndarray, k: int) -> np.ndarray:
+    """Labels of the features' centres: Ward's linkage of the centres, each counting once."""
+    return cut(linkage(centres, np.ones(len(centres)), "ward"), len(centres), k)

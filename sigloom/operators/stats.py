@@ -22,7 +22,7 @@ def centred(rows: DataFrame, value: str, by: str, name: str) -> DataFrame:
 
 
 def rank_sums(rows: DataFrame, group: str, value: str, label: str) -> DataFrame:
-    """group, n1, n2, u1, z: two-sided Mann-Whitney with average ranks, tie and continuity correction.
+    """group, n1, n2, u1, z, ties (0 without any): two-sided Mann-Whitney with average ranks, tie and continuity correction.
 
     Ranks come from counts per distinct value (combined map-side) and their running sums.
     """
@@ -36,7 +36,7 @@ def rank_sums(rows: DataFrame, group: str, value: str, label: str) -> DataFrame:
     var = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     most = F.greatest(u1, F.col("n1") * F.col("n2") - u1)
     z = F.when(var > 0, (most - F.col("n1") * F.col("n2") / 2 - 0.5) / F.sqrt(var)).otherwise(F.lit(0.0))
-    return s.select(group, "n1", "n2", u1.alias("u1"), z.alias("z"))
+    return s.select(group, "n1", "n2", u1.alias("u1"), z.alias("z"), "ties")
 
 
 def tail_probability(z: Column) -> Column:
@@ -47,18 +47,35 @@ def tail_probability(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly)
 
 
-def exact_rank_test(a: list[float], b: list[float]) -> float:
-    """Two-sided p of U for small samples without ties, by counting arrangements."""
-    n1, n2 = len(a), len(b)
-    u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+def exact_tail(n1: int, n2: int, u: float) -> float:
+    """Two-sided p of U without ties, by counting arrangements."""
     ways = [1] + [0] * (n1 * n2)
     for i in range(1, n1 + 1):
         for k in range(n1 * n2, n2 + i - 1, -1):
             ways[k] -= ways[k - n2 - i]
         for k in range(i, n1 * n2 + 1):
             ways[k] += ways[k - i]
-    total = sum(ways)
-    return min(1.0, 2 * sum(ways[int(max(u, n1 * n2 - u)) :]) / total)
+    return min(1.0, 2 * sum(ways[int(max(u, n1 * n2 - u)) :]) / sum(ways))
+
+
+def exact_rank_test(a: list[float], b: list[float]) -> float:
+    """Two-sided p of two small samples without ties."""
+    return exact_tail(len(a), len(b), sum((x > y) + 0.5 * (x == y) for x in a for y in b))
+
+
+def rank_probability(tests: DataFrame, few: int = 8) -> DataFrame:
+    """``rank_sums`` with p: exact where the smaller sample has at most ``few`` values and none are tied, else of the normal score."""
+
+    @F.pandas_udf("double")
+    def exact(n1, n2, u1):
+        import pandas as pd
+
+        return pd.Series([exact_tail(int(a), int(b), u) for a, b, u in zip(n1, n2, u1, strict=True)], dtype=float)
+
+    small = (F.least("n1", "n2") <= few) & (F.col("ties") == 0)
+    # the exact count runs over the rows that need it, one a group
+    counted = tests.filter(small).withColumn("p", exact("n1", "n2", "u1"))
+    return counted.unionByName(tests.filter(~small).withColumn("p", tail_probability(F.col("z"))))
 
 
 def asymptotic_p(z: float) -> float:

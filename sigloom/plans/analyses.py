@@ -42,6 +42,20 @@ def mann_whitney(spark, sf_dir):
     return tests(spark, sf_dir).select("s", "n1", "n2", rounded(F.col("u1"), 1).alias("u1"), rounded(F.col("z")).alias("z"), rounded(F.col("p")).alias("p"))
 
 
+@query("""WITH RECURSIVE v AS (SELECT p_brand || '-' || p_size AS grp, p_partkey % 2 = 1 AS y, md5(p_partkey::VARCHAR) AS x FROM part),
+g AS (SELECT grp, count(*) FILTER (y) AS n1, count(*) FILTER (NOT y) AS n2 FROM v GROUP BY grp HAVING count(*) FILTER (y) > 0 AND count(*) FILTER (NOT y) > 0),
+u AS (SELECT a.grp, count(*) FILTER (a.x > b.x) AS u1 FROM v a JOIN v b ON a.grp = b.grp AND a.y AND NOT b.y GROUP BY a.grp),
+walk(i, j, u) AS (SELECT 0, 0, 0 UNION ALL SELECT i + a, j + 1 - a, u + CASE WHEN a = 1 THEN j ELSE 0 END FROM walk, (VALUES (0), (1)) s(a) WHERE i + a <= (SELECT max(n1) FROM g) AND j + 1 - a <= (SELECT max(n2) FROM g))
+SELECT g.grp, any_value(n1) AS n1, any_value(n2) AS n2, any_value(u1)::DOUBLE AS u1, round(least(1.0, 2.0::DOUBLE * count(*) FILTER (walk.u >= greatest(u1, n1 * n2 - u1)) / count(*)), 4) + 0.0 AS p
+FROM g JOIN u ON u.grp = g.grp JOIN walk ON i = n1 AND j = n2 GROUP BY g.grp""")
+def rank_test_exact(spark, sf_dir):
+    """Small samples: the exact distribution of U."""
+    place = F.conv(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 13), 16, 10).cast("double")
+    own = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("grp"), place.alias("x"), (F.col("p_partkey") % 2 == 1).alias("y"))
+    got = stats.rank_probability(stats.rank_sums(own, "grp", "x", "y").filter("n1 > 0 and n2 > 0"))
+    return got.select("grp", "n1", "n2", "u1", rounded(F.col("p")).alias("p"))
+
+
 @query(f"WITH {RANKS} SELECT s, round(p, 4) AS p, round(p_adjusted, 4) AS p_adjusted, CASE WHEN p_adjusted < 0.05 THEN '*' WHEN p_adjusted < 0.01 THEN '**' ELSE '' END AS stars FROM adj")
 def holm_sidak(spark, sf_dir):
     adj = stats.step_down(tests(spark, sf_dir), "s")
@@ -138,13 +152,16 @@ def baseline_clusterers(spark, sf_dir):
     points, found = clusterers.representatives(d.drop("features"), "x")
     for name, kind in (("kmeans", KMeans), ("bisecting", BisectingKMeans)):
         found = kind(k=K, seed=1, maxIter=10, predictionCol=name).fit(d).transform(found.withColumn("features", array_to_vector("x"))).drop("features")
-    cells = found.groupBy("label", "kmeans", "bisecting", "point").count().collect()  # bounded by labels and representatives
+    centres = clusterers.leaf_centres(d, "x")
+    found = clusterers.nearest_centre(found, "x", centres, "leaf")
+    cells = found.groupBy("label", "kmeans", "bisecting", "point", "leaf").count().collect()  # bounded by labels and representatives
     sizes = np.zeros(len(points))
     for r in cells:
         sizes[r["point"]] += r["count"]
     held = clusterers.baselines(points, sizes, K)
-    names = ["label", "kmeans", "bisecting", *held]
-    label = lambda r, name: int(held[name][r["point"]]) if name in held else r[name]
+    leaves = clusterers.birch(centres, K)
+    names = ["label", "kmeans", "bisecting", "birch", *held]
+    label = lambda r, name: int(leaves[r["leaf"]]) if name == "birch" else int(held[name][r["point"]]) if name in held else r[name]
     out = []
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
@@ -269,14 +286,14 @@ def phenotype_sweep(spark, sf_dir):
     return phenotype_areas(spark, sf_dir)
 
 
-def phenotype_areas(spark, sf_dir, weights=(0.0, 1e2, 1e6), runs=1, folds=2, repeats=10):
+def phenotype_areas(spark, sf_dir, weights=(0.0, 1e2, 1e6), runs=1, folds=2, repeats=10, clusters=35):
     bg = background_weights(spark, sf_dir)
     start = mixture.settle(rows(spark, sf_dir))
     tasks = [(weight, run) for weight in weights for run in range(runs)]
 
     def one(task):
         weight, run = task
-        fits = [mixture.fit(mixture.kmeans_start(start, K, 1 + 2 * run + s), K, "binomial", weight, bg)[1] for s in (0, 1)]
+        fits = [mixture.fit(mixture.kmeans_start(start, clusters, 1 + 2 * run + s), clusters, "binomial", weight, bg)[1] for s in (0, 1)]
         centres = np.array(max(fits, key=lambda m: m.bounds[-1]).means).T
         return centres - centres.mean(axis=1, keepdims=True)
 

@@ -12,11 +12,12 @@ from sigloom.functions.residues import ALPHABET, profile_classes
 from sigloom.functions.special import rounded
 from sigloom.operators import filters, mixture, profiles, sequence, stats
 from sigloom.operators.rounds import settle, shared_folder
-from sigloom.plans.base import ALPHABET_SQL, K, MODEL, RESIDUES, SAMPLES, SIGNAL, peptides, signal, table
+from sigloom.plans.base import ALPHABET_SQL, EVENT_CELLS, K, MODEL, RESIDUES, SAMPLES, SIGNAL, peptides, signal, table
 from sigloom.plans.matrices import ORDER, PSPL, hard_labels, one_step, pssms, reference_profiles
 from sigloom.plans.registry import query
 from sigloom.plans.tables import PROTEOME, proteome
 from sigloom.sources import files
+from sigloom.streaming import cells
 
 
 def through_files(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
@@ -43,9 +44,9 @@ def put(spark: SparkSession, path: str, text: str) -> None:
 def wide_signal(spark, sf_dir):
     """The table's form: a number, the sequence, three columns that go, and a column per sample; two of three experiments of a row are empty."""
     seen = lambda s: (F.col("vec_id") * 31 + s // 8 * 17) % 3 == 0
-    cells = [F.when(seen(s), F.col("embedding")[s].cast("double")).alias(f"S{s:02d}") for s in range(SAMPLES)]
+    samples = [F.when(seen(s), F.col("embedding")[s].cast("double")).alias(f"S{s:02d}") for s in range(SAMPLES)]
     own = table(spark, sf_dir, "embeddings").join(peptides(spark, sf_dir).select(F.col("pep_id").alias("vec_id"), "seq"), "vec_id")
-    return own.select("vec_id", F.col("seq").alias("Sequence"), F.lit("p").alias("Protein"), F.lit("g").alias("Gene"), F.lit("S1").alias("Position"), *cells)
+    return own.select("vec_id", F.col("seq").alias("Sequence"), F.lit("p").alias("Protein"), F.lit("g").alias("Gene"), F.lit("S1").alias("Position"), *samples)
 
 
 @query(f"""WITH {SIGNAL}, {RESIDUES}, w AS (SELECT pep_id, string_agg(aa, '' ORDER BY pos) AS seq FROM res GROUP BY pep_id),
@@ -112,12 +113,12 @@ def cell(name: str, at: str) -> F.Column:
 SELECT kinase, pos, aa, round(CASE WHEN min(raw) OVER (PARTITION BY kinase) >= 0 THEN log2(raw) ELSE raw END, 4) + 0.0 AS score FROM c""")
 def profile_tables(spark, sf_dir):
     """A folder of residue-by-offset tables, one file a profile: ratios go to logs, logs stay, other files are skipped."""
-    cells = reference_profiles(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_name").alias("kinase"), "n_nationkey"), "kinase")
-    cells = cells.select("kinase", "pos", "aa", (F.col("score") + F.when(F.col("n_nationkey") % 2 == 0, 0.25).otherwise(-1.0)).alias("raw")).collect()  # 25 x 9 x 20 rows
+    raws = reference_profiles(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_name").alias("kinase"), "n_nationkey"), "kinase")
+    raws = raws.select("kinase", "pos", "aa", (F.col("score") + F.when(F.col("n_nationkey") % 2 == 0, 0.25).otherwise(-1.0)).alias("raw")).collect()  # 25 x 9 x 20 rows
 
     def write(folder):
         own: dict[str, dict] = {}
-        for r in cells:
+        for r in raws:
             own.setdefault(r["kinase"], {})[r["aa"], r["pos"]] = r["raw"]
         for kinase, raw in own.items():
             rows = [f"{a}," + ",".join(repr(raw[a, p]) for p in range(9)) for a in ALPHABET] + ["pT" + ",1" * 9, "pY" + ",1" * 9]
@@ -133,10 +134,10 @@ SELECT kinase, CASE WHEN r < 8 THEN r - 2 ELSE r - 3 END AS pos, aa, round(least
 def profile_blocks(spark, sf_dir):
     """A file of blocks, a name and fifteen positions each; clipped logs of nine of them."""
     grid = table(spark, sf_dir, "nation").select(F.col("n_name").alias("kinase")).crossJoin(spark.range(15).select(F.col("id").alias("r"))).crossJoin(spark.range(21).select(F.col("id").alias("c")))  # 25 x 15 x 21 rows
-    cells = {(r["kinase"], r["r"], r["c"]): r["v"] for r in grid.withColumn("v", cell("kinase", "r c") * 5).collect()}
+    values = {(r["kinase"], r["r"], r["c"]): r["v"] for r in grid.withColumn("v", cell("kinase", "r c") * 5).collect()}
     lines = []
-    for kinase in sorted({k for k, _, _ in cells}):
-        lines += [kinase + "," * 20, *(",".join(repr(cells[kinase, r, c]) for c in range(21)) for r in range(15))]
+    for kinase in sorted({k for k, _, _ in values}):
+        lines += [kinase + "," * 20, *(",".join(repr(values[kinase, r, c]) for c in range(21)) for r in range(15))]
     got = through_files(spark, lambda f: put(spark, f"{f}/blocks.csv", "\r\n".join(lines) + "\r\n"), lambda f: files.profile_blocks(spark, f"{f}/blocks.csv"))
     return got.select("kinase", "pos", "aa", rounded(F.col("score")).alias("score"))
 
@@ -146,6 +147,14 @@ def kinase_classes(spark, sf_dir):
     return spark.createDataFrame(list(profile_classes().items()), "kinase string, class string")
 
 
+@query(f"WITH {EVENT_CELLS} SELECT user_id, count(*) AS n_seen, count(DISTINCT experiment) AS n_experiments, round(sum(x), 4) + 0.0 AS total FROM cells GROUP BY user_id HAVING count(DISTINCT experiment) >= 2")
+def stream_cells(spark, sf_dir):
+    """Users seen on two days or more, from the events as a stream."""
+    got = through_files(spark, lambda f: None, lambda f: cells.run_to_end(cells.cells(cells.event_stream(spark, sf_dir)), f))
+    kept = filters.incomplete(got, "user_id", 1, experiments=2)
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"), F.countDistinct("experiment").alias("n_experiments"), rounded(F.sum("x")).alias("total"))
+
+
 # ---- labels
 
 

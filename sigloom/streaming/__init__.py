@@ -1 +1 @@
-"""Streams: the engine is batch only; nothing is offered here."""
+"""Structured Streaming forms of the signal."""

@@ -180,6 +180,28 @@ def test_baselines_find_separate_groups():
         assert same_parts(labels, want), name
 
 
+def test_weights_stand_for_copies():
+    points, _ = blobs(4)
+    sizes = np.arange(1, len(points) + 1)
+    copies = np.repeat(points, sizes, axis=0)
+    for few, many in ((clusterers.spectral(points, 3, sizes), clusterers.spectral(copies, 3, np.ones(len(copies)))), (clusterers.lloyd(points, 3, sizes), clusterers.lloyd(copies, 3, np.ones(len(copies))))):
+        assert same_parts(np.repeat(few, sizes), many)
+
+
+def test_features_hold_every_row_and_find_separate_groups(spark):
+    points, want = blobs(40)
+    leaves = clusterers.Leaves(9, 0.1)
+    for v in points:
+        leaves.add(1.0, v, float((v**2).sum()))
+    assert len(leaves.n) <= 9 and leaves.n.sum() == len(points) and np.allclose(leaves.sums.sum(axis=0), points.sum(axis=0)) and np.isclose(leaves.squares.sum(), (points**2).sum())
+    assert (leaves.squares / leaves.n - ((leaves.sums / leaves.n[:, None]) ** 2).sum(axis=1) <= leaves.threshold**2 + 1e-9).all()
+    rows = spark.createDataFrame([([float(v) for v in p], int(w)) for p, w in zip(points, want, strict=True)], "x array<double>, w int").repartition(5)
+    centres = clusterers.leaf_centres(rows, "x", 30)
+    got = clusterers.nearest_centre(rows, "x", centres, "leaf").collect()
+    labels = clusterers.birch(centres, 3)
+    assert len(centres) <= 30 and same_parts([int(labels[r["leaf"]]) for r in got], [r["w"] for r in got])
+
+
 def test_representatives_cover_every_row(spark):
     points, want = blobs(40)
     rows = spark.createDataFrame([(i, [float(v) for v in p], int(w)) for i, (p, w) in enumerate(zip(points, want, strict=True))], "k int, x array<double>, w int")
