@@ -14,12 +14,15 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A prime of at least a hundred slots a shard.
 SLOTS = 5003
 SHARDS = tuple(f"shard-{k:02d}" for k in range(48))
 #: Slots that a table may have, so that its broadcast stays within a few megabytes.
 MOST_SLOTS = 1 << 18
+#: Bytes of a shard's file, about; of a row, where a table's size is unknown.
+FILE_BYTES, ROW_BYTES = 256 << 20, 4 << 10
 
 
 def preference(name: str, slots: int) -> tuple[int, int]:
@@ -63,8 +66,17 @@ def place(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
     return kept.join(F.broadcast(table), F.col("slot") == F.col("table_slot")).drop("table_slot")
 
 
-def write_shards(rows: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, files_a_shard: int = 4) -> None:
-    """Writes the rows by shard; each shard's rows are dealt over several tasks and files."""
+def write_shards(rows: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the rows by shard; a shard's rows are dealt over as many tasks and files as its share of the table's size asks for.
+
+    The size is the optimizer's, which for files is theirs.  Rows are dealt by all they
+    hold, so that a key that many rows share isn't one task's.
+    """
     placed = place(rows, key, shards)
-    deal = F.pmod(F.xxhash64(key), F.lit(files_a_shard))
-    placed.repartition(len(shards) * files_a_shard, "shard", deal).drop("slot").write.partitionBy("shard").parquet(path)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an unknown size is a number beyond all tables: then the rows are counted
+    size = size if size < 1 << 60 else rows.count() * ROW_BYTES
+    files = max(1, -(-size // (len(shards) * file_bytes)))
+    held = [F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+    deal = F.pmod(F.xxhash64(*held), F.lit(files))
+    placed.withColumn("_deal", deal).repartition(len(shards) * files, "shard", "_deal").drop("slot", "_deal").write.partitionBy("shard").parquet(path)
