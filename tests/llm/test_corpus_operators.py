@@ -451,7 +451,7 @@ def test_field_finds_planted_spans(spark):
         added += len(found)
         hits += want in found
     print(f"planted {planted}, added {added}, right {hits}")
-    assert hits >= 0.8 * planted and hits >= 0.8 * added
+    assert hits >= 0.95 * planted and hits >= 0.95 * added
 
 
 def test_field_walks_odd_digits_and_long_runs():
@@ -518,6 +518,9 @@ def test_place(spark, tmp_path):
     assert sharding.place(empty(spark)).count() == 0
     sharding.write_shards(frame(spark), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(awkward())
+    sharding.write_shards(frame(spark), str(tmp_path / "more"), shards=("a", "b"), file_bytes=1 << 10)
+    back = spark.read.parquet(str(tmp_path / "more"))
+    assert back.count() == len(awkward()) and len(list((tmp_path / "more").glob("shard=a/*.parquet"))) > 1
 
 
 # ---- simhash
