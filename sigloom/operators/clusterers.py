@@ -1,7 +1,7 @@
 """Baseline clusterers and hierarchical linkage over a bounded number of representatives.
 
-Rows of any number are summarised by K-means into at most ``REPRESENTATIVES`` weighted
-points; hierarchical, density, message-passing and spectral methods then work on these
+Up to ``REPRESENTATIVES`` rows stand for themselves; more are summarised by K-means into as
+many weighted points.  Hierarchical, density, message-passing and spectral methods then work on these
 points alone, and a row takes the label of its representative.
 """
 
@@ -13,16 +13,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sigloom.operators.rounds import settle
 
 #: Weighted points that stand for all rows, at most.
-REPRESENTATIVES = 128
+REPRESENTATIVES = 1024
 
 
 def representatives(rows: DataFrame, x: str, most: int = REPRESENTATIVES, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
-    """Centres of at most ``most`` groups, and the rows with ``point``, the index of theirs."""
+    """Up to ``most`` rows, or centres of as many groups, and the rows with ``point``, the index of theirs."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if rows.count() <= most:
+        own = settle(rows).withColumn("_at", F.monotonically_increasing_id())  # settled rows keep their places
+        got = own.select("_at", x).orderBy("_at").collect()  # at most ``most`` rows
+        places = rows.sparkSession.createDataFrame([(r["_at"], k) for k, r in enumerate(got)], "_at long, point int")
+        return np.array([r[x] for r in got], float), own.join(F.broadcast(places), "_at").drop("_at")
     ready = rows.withColumn("features", array_to_vector(x))
     model = KMeans(k=most, seed=seed, maxIter=10, predictionCol="point").fit(ready)
     return np.array(model.clusterCenters()), model.transform(ready).drop("features")
@@ -84,9 +92,17 @@ def leaf_centres(rows: DataFrame, x: str, most: int = REPRESENTATIVES, threshold
 
 def nearest_centre(rows: DataFrame, x: str, centres: np.ndarray, name: str) -> DataFrame:
     """rows with the index of the centre nearest to ``x``; the first of equals."""
-    mu = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
-    gap = lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return rows.withColumn("_gaps", F.transform(mu, gap)).withColumn(name, (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
+    shape = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields), T.StructField(name, T.IntegerType())])
+    norms = (centres**2).sum(axis=1)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(x).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                own = (norms[None, :] - 2 * v @ centres.T).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(found, shape)
 
 
 def squared(points: np.ndarray) -> np.ndarray:

@@ -208,6 +208,8 @@ def test_representatives_cover_every_row(spark):
     centres, found = clusterers.representatives(rows, "x", most=9)
     got = found.select("w", "point").collect()
     assert len(got) == 120 and len(centres) <= 9
+    every, own = clusterers.representatives(rows, "x")
+    assert len(every) == 120 and all(every[r["point"]].tolist() == r["x"] for r in own.collect())
     assert all(len({r["w"] for r in got if r["point"] == p}) == 1 for p in {r["point"] for r in got})
 
 
