@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from sigloom.functions.residues import ALPHABET, CENTRE, FREQUENCIES, WINDOW
@@ -13,6 +17,8 @@ from sigloom.operators.rounds import settle
 
 #: Distinct prefixes that are broadcast to the proteins, in some 40 MB; more are joined by shuffling.
 BROADCAST_PREFIXES = 500_000
+#: Letters of distinct peptides that are sent to the proteins as an automaton.
+BROADCAST_LETTERS = 4 << 20
 
 
 def alphabet(spark: SparkSession) -> DataFrame:
@@ -108,9 +114,13 @@ def map_sites(sites: DataFrame, proteome: DataFrame, *keep: str) -> DataFrame:
 def contains_match(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> DataFrame:
     """pep_id, name: the first protein by ``ord`` whose sequence holds the peptide.
 
-    Peptides of at least ``k`` letters meet proteins by their first ``k`` letters, shorter ones
+    Up to ``BROADCAST_LETTERS`` of distinct peptides go to the proteins as one automaton, which
+    walks each sequence once.  Beyond that, peptides of at least ``k`` letters meet proteins by their first ``k`` letters, shorter ones
     by their own length, so there is one equi-join per length and no cross product.
     """
+    words = settle(peptides.select("seq").filter("seq is not null").distinct())
+    if (words.agg(F.sum(F.length("seq") + 1)).first()[0] or 0) <= BROADCAST_LETTERS:
+        return _walked(peptides, proteome, [r["seq"] for r in words.collect()])
     lengths = [r[0] for r in peptides.select(F.least(F.length("seq"), F.lit(k))).distinct().collect()]  # at most ``k`` rows
     parts = []
     for n in lengths:
@@ -130,6 +140,34 @@ def contains_match(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> Data
     return joined.groupBy("pep_id").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
 
 
+def _walked(peptides: DataFrame, proteome: DataFrame, words: list[str]) -> DataFrame:
+    """``contains_match`` by an automaton of the ``words``."""
+    kinds = {f.name: f.dataType for f in proteome.schema.fields}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            if word:
+                automaton.add_word(word, word)
+        automaton.make_automaton()
+        every = [""] if "" in words else []  # every sequence holds the empty one
+        for batch in batches:
+            at, parts = [], []
+            for k, seq in enumerate(batch.column("seq").to_pylist()):
+                if seq is not None:
+                    own = [*every, *({w for _, w in automaton.iter(seq)} if len(automaton) else ())]
+                    at += [k] * len(own)
+                    parts += own
+            taken = batch.select(["ord", "name"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), *taken.columns], names=["seq", "ord", "name"])
+
+    shape = T.StructType([T.StructField("seq", T.StringType()), T.StructField("ord", kinds["ord"]), T.StructField("name", T.StringType())])
+    first = proteome.select("ord", "name", "seq").mapInArrow(found, shape).groupBy("seq").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
+    return peptides.select("pep_id", "seq").join(first, "seq").select("pep_id", "name").groupBy("pep_id").agg(F.first("name").alias("name"))
+
+
 def match_names(peptides: DataFrame, proteome: DataFrame, k: int = 6) -> DataFrame:
     """peptides (pep_id, name, ms_seq) with the protein's name and sequence: the named one if it holds the peptide, else the first that does.
 

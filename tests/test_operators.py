@@ -382,7 +382,10 @@ def test_running_sums_of_a_large_group(spark):
     assert not ordered.running(rows.filter("false"), ["g"], [F.col("o")], {"place": F.lit(1)}).collect()
 
 
-def test_contains_match_takes_the_first_protein(spark):
-    proteins = spark.createDataFrame([(2, "B", "MKAAASAATYA"), (1, "A", "XXAAASAATXX"), (3, "C", "KR")], "ord int, name string, seq string")
-    peptides = spark.createDataFrame([(1, "AAASAAT"), (2, "AAASAATY"), (3, "KR"), (4, "AAASAATZ")], "pep_id int, seq string")
-    assert {r["pep_id"]: r["name"] for r in sequence.contains_match(peptides, proteins).collect()} == {1: "A", 2: "B", 3: "C"}
+@pytest.mark.parametrize("letters", [1 << 20, 0])
+def test_contains_match_takes_the_first_protein(spark, monkeypatch, letters):
+    monkeypatch.setattr(sequence, "BROADCAST_LETTERS", letters)
+    proteins = spark.createDataFrame([(2, "B", "MKAAASAATYA"), (1, "A", "XXAAASAATXX"), (3, "C", "KR"), (4, "D", None)], "ord int, name string, seq string")
+    peptides = spark.createDataFrame([(1, "AAASAAT"), (2, "AAASAATY"), (3, "KR"), (4, "AAASAATZ"), (5, "AAASAAT")], "pep_id int, seq string")
+    assert {r["pep_id"]: r["name"] for r in sequence.contains_match(peptides, proteins).collect()} == {1: "A", 2: "B", 3: "C", 5: "A"}
+    assert sequence.contains_match(peptides.filter("false"), proteins).count() == 0
