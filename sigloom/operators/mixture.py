@@ -13,6 +13,7 @@ since the last copy of the rows, so no round writes the table.  Column forms of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +29,8 @@ from sigloom.operators.rounds import settle
 
 EPS = 10 * 2.220446049250313e-16
 FLOOR = 1e-6
+#: Rows that a step takes at a time, few enough for the processor's cache; squares over variances beyond which a distance isn't multiplied out (it would be off by 1e-8 or so).
+AT_ONCE, LOST = 2048, 1e8
 
 
 @dataclass
@@ -155,12 +158,18 @@ def lower_bound(rows: DataFrame) -> float:
 
 @dataclass
 class Block:
-    """The rows of a batch or a whole table as matrices; ``x`` is filled where ``miss``."""
+    """The rows of a batch or a whole table as matrices; ``x`` is filled where ``miss``, ``truth`` is there where asked for."""
 
     x: np.ndarray
     miss: np.ndarray
     codes: np.ndarray
     r: np.ndarray
+    truth: np.ndarray | None = None
+
+    def parts(self) -> Iterator[Block]:
+        """The rows, some at a time, which share their memory with the block's."""
+        for low in range(0, len(self.x), AT_ONCE):
+            yield Block(*(None if v is None else v[low : low + AT_ONCE] for v in vars(self).values()))
 
 
 def matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -173,42 +182,104 @@ def block_of(batch: pa.RecordBatch) -> Block:
     return Block(matrix(batch.column("x"), n).astype(float), matrix(batch.column("miss"), n).astype(bool), matrix(batch.column("codes"), n).astype(int), matrix(batch.column("r"), n).astype(float))
 
 
-def joint(block: Block, model: Model) -> np.ndarray:
-    """Log joint density (rows by clusters)."""
+@dataclass
+class Terms:
+    """A model as matrices: per cluster a constant, one more for the distance from ``origin``, and what multiplies a row's distances to it and their squares."""
+
+    means: np.ndarray
+    variances: np.ndarray
+    origin: np.ndarray
+    const: np.ndarray
+    apart: np.ndarray
+    factors: np.ndarray
+    tables: list[np.ndarray]
+    method: str
+    weight: float
+
+
+def pairs(positions: int) -> list[tuple[int, ...]]:
+    return [tuple(range(p, min(p + 2, positions))) for p in range(0, positions, 2)]
+
+
+def own_codes(p: int) -> np.ndarray:
+    """The codes that position ``p`` can have: of no residue, then of each."""
+    return np.arange(20 * p - 1, 20 * p + 20)
+
+
+def keys(codes: np.ndarray) -> list[np.ndarray]:
+    """Per pair of positions (the last may stand alone) a number for the residues there."""
+    if codes[:, 0].min(initial=0) < 0:
+        raise ValueError("a sequence begins with no residue")
+    places = [[codes[:, p] - (20 * p - 1) for p in pair] for pair in pairs(codes.shape[1])]
+    return [own[0] * 21 + own[1] if len(own) > 1 else own[0] for own in places]
+
+
+def terms(model: Model, positions: int = WINDOW) -> Terms:
     means, variances = np.array(model.means), np.array(model.variances)
-    out = np.array(model.log_pi) - 0.5 * (means.shape[1] * math.log(2 * math.pi) + np.log(variances).sum(axis=1))
-    out = np.repeat(out[None, :], len(block.x), axis=0)
-    for c in range(len(means)):
-        out[:, c] -= 0.5 * ((block.x - means[c]) ** 2) @ (1 / variances[c])
+    origin = means.mean(axis=0)
+    apart = means - origin
+    const = np.array(model.log_pi) - 0.5 * (means.shape[1] * math.log(2 * math.pi) + np.log(variances).sum(axis=1))
+    tables = []
     if model.table is not None and model.weight:
-        total = np.array(model.table)[:, block.codes].sum(axis=2).T
-        with np.errstate(divide="ignore"):
-            out += model.weight * (np.log(total) if model.method == "binomial" else total)
+        own = np.array(model.table).T
+        for first, *second in pairs(positions):
+            tables.append(own[own_codes(first)])
+            for p in second:
+                tables[-1] = (tables[-1][:, None, :] + own[own_codes(p)][None, :, :]).reshape(-1, own.shape[1])
+    return Terms(means, variances, origin, const, -0.5 * (apart**2 / variances).sum(axis=1), np.hstack([apart / variances, -0.5 / variances]).T.copy(), tables, model.method, model.weight)
+
+
+def joint(block: Block, t: Terms) -> np.ndarray:
+    """Log joint density (rows by clusters).
+
+    Squares are multiplied out, which loses digits where a cluster is narrow for its distance
+    from the rows; such clusters are taken as they stand.
+    """
+    n, d = block.x.shape
+    powers = np.empty((n, 2 * d))
+    np.subtract(block.x, t.origin, out=powers[:, :d])
+    np.square(powers[:, :d], out=powers[:, d:])
+    out = powers @ t.factors
+    out += t.const + t.apart
+    far = powers[:, d:].max(axis=0, initial=0)
+    for c in np.flatnonzero(((far + (t.means - t.origin) ** 2) / t.variances).sum(axis=1) > LOST):
+        out[:, c] = t.const[c] - 0.5 * ((block.x - t.means[c]) ** 2) @ (1 / t.variances[c])
+    if t.tables:
+        total, one = np.zeros_like(out), np.empty_like(out)
+        for table, at in zip(t.tables, keys(block.codes), strict=True):
+            total += np.take(table, at, axis=0, out=one, mode="clip")  # other modes copy once more
+        if t.method == "binomial":
+            with np.errstate(divide="ignore"):
+                np.log(total, out=total)
+        total *= t.weight
+        out += total
     return out
 
 
-def expect(block: Block, model: Model) -> np.ndarray:
+def expect(block: Block, t: Terms, l: np.ndarray | None = None) -> np.ndarray:
     """Sets the responsibilities; returns each row's log density."""
-    l = joint(block, model)
+    l = joint(block, t) if l is None else l
     most = l.max(axis=1, keepdims=True)
     lse = most[:, 0] + np.log(np.exp(l - most).sum(axis=1))
-    block.r = np.exp(l - lse[:, None])
+    np.exp(np.subtract(l, lse[:, None], out=block.r), out=block.r)
     return lse
 
 
-def refill(block: Block, model: Model) -> None:
+def refill(block: Block, t: Terms) -> None:
     """Missing cells at the centre of the row's hard label."""
-    block.x = np.where(block.miss, np.array(model.means)[block.r.argmax(axis=1)], block.x)
+    np.copyto(block.x, t.means[block.r.argmax(axis=1)], where=block.miss)
 
 
 def summed(block: Block, lse: np.ndarray, sequences: bool) -> np.ndarray:
     """Rows, sum of log densities, weights, moments and, where asked, weighted counts of the codes, end to end."""
-    parts = [np.array([len(block.x), lse.sum()]), block.r.sum(axis=0), (block.r.T @ block.x).ravel(), (block.r.T @ block.x**2).ravel()]
+    r = np.ascontiguousarray(block.r.T)
+    parts = [np.array([len(block.x), lse.sum()]), r.sum(axis=1), (r @ block.x).ravel(), (r @ block.x**2).ravel()]
     if sequences:
-        counts = np.zeros((block.r.shape[1], 20 * WINDOW))
-        for p in range(block.codes.shape[1]):
-            for c in range(counts.shape[0]):
-                counts[c] += np.bincount(block.codes[:, p], block.r[:, c], minlength=20 * WINDOW)
+        counts = np.zeros((len(r), 20 * WINDOW))
+        for pair, at in zip(pairs(block.codes.shape[1]), keys(block.codes), strict=True):
+            own = np.array([np.bincount(at, weights, minlength=21 ** len(pair)) for weights in r]).reshape(len(r), *[21] * len(pair))
+            for axis, p in enumerate(pair):
+                counts[:, own_codes(p)] += own.sum(axis=2 - axis) if len(pair) > 1 else own
         parts.append(counts.ravel())
     return np.concatenate(parts)
 
@@ -241,14 +312,23 @@ class Rounds(rounds.Task):
         return block_of(batch)
 
     def join(self, blocks: list[Block]) -> Block:
-        return Block(*(np.concatenate([getattr(b, n) for b in blocks]) for n in ("x", "miss", "codes", "r")))
+        whole = Block(None, None, None, None)
+        for name in [n for n, v in vars(blocks[0]).items() if v is not None]:
+            setattr(whole, name, np.concatenate([getattr(b, name) for b in blocks]))
+            for b in blocks:
+                setattr(b, name, None)  # else all is held twice
+        return whole
 
     def advance(self, block: Block, model: Model | None) -> np.ndarray:
-        lse = np.zeros(len(block.x))
-        if model is not None:
-            lse = expect(block, model)
-            refill(block, model)
-        return summed(block, lse, bool(self.weight) and model is not None)
+        t = terms(model, block.codes.shape[1]) if model is not None else None
+        sums = 0.0
+        for part in block.parts():
+            lse = np.zeros(len(part.x))
+            if t is not None:
+                lse = expect(part, t)
+                refill(part, t)
+            sums = sums + summed(part, lse, bool(self.weight) and t is not None)
+        return sums
 
     def decide(self, sums: np.ndarray, model: Model | None, step: int) -> tuple[Model, bool]:
         bounds = [] if model is None else [*model.bounds, float(sums[1] / max(sums[0], 1))]
@@ -261,6 +341,32 @@ class Rounds(rounds.Task):
         return {"x": block.x, "r": block.r}
 
 
+class Imputing(Rounds):
+    """Rounds that end with the squared error at the missing cells of known ``truth``."""
+
+    def load(self, batch: pa.RecordBatch) -> Block:
+        block = block_of(batch)
+        block.truth = matrix(batch.column("truth"), batch.num_rows).astype(float)
+        return block
+
+    def outcome(self, block: Block, model: Model) -> np.ndarray:
+        t, error = terms(model, block.codes.shape[1]), 0.0
+        for part in block.parts():
+            expect(part, t)
+            refill(part, t)
+            error += float(((part.x - part.truth)[part.miss & ~np.isnan(part.truth)] ** 2).sum())
+        return np.array([error])
+
+
+def imputation_error(rows: DataFrame, k: int, method: str = "binomial", weight: float = 0.0, background: list[float] | None = None, most: int = 200, tol: float = 1e-4) -> tuple[float, Model]:
+    """The squared error at missing cells of known ``truth`` after a fit from the rows' own r, and the model; x has no nulls, and no table is written."""
+    first = rows.select(F.size("x").alias("n")).first()
+    if first is None:
+        return 0.0, Model([[]] * k, [[]] * k, [0.0] * k, bounds=[0.0])
+    model, sums = rounds.outcome(rows, Imputing(k, first["n"], method, weight, background, most, tol), first["n"] + k)
+    return float(sums[0]), model
+
+
 def fit(rows: DataFrame, k: int, method: str = "binomial", weight: float = 0.0, background: list[float] | None = None, most: int = 200, tol: float = 1e-4, start: str = "means") -> tuple[DataFrame, Model]:
     """Iterates from the rows' own r until the bound moves by less than ``tol``; returns scored rows and model.
 
@@ -296,7 +402,9 @@ def scored_by(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 block = block_of(batch)
-                l, lse = joint(block, model), expect(block, model)
+                t = terms(model, block.codes.shape[1])
+                l = joint(block, t)
+                lse = expect(block, t, l)
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), rounds.lists(l), pa.array(lse), rounds.lists(block.r)], names=[f.name for f in shape.fields])
 
     return rows.mapInArrow(score, shape)
@@ -306,17 +414,21 @@ def one_hot(label: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.when(c == label, 1.0).otherwise(0.0))
 
 
-def kmeans_start(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """rows with r of one for the K-means label of their cells, the missing ones at the sample's mean."""
+def kmeans_start(rows: DataFrame, k: int, seed: int, full: bool = False) -> DataFrame:
+    """rows with r of one for the K-means label of their cells, the missing ones at the sample's mean; ``full`` rows have no null."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     if k == 1:
         return rows.withColumn("r", F.array(F.lit(1.0)))
-    means = F.array(*[F.lit(float(v)) for v in sample_means(rows)])
-    ready = rows.withColumn("features", array_to_vector(F.zip_with("x", means, lambda v, m: F.coalesce(v, m))))
+    x = F.col("x")
+    if not full:
+        means = F.array(*[F.lit(float(v)) for v in sample_means(rows)])
+        x = F.zip_with("x", means, lambda v, m: F.coalesce(v, m))
+    ready = rows.withColumn("features", array_to_vector(x))
     model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="own").fit(ready)
-    return model.transform(ready).withColumn("r", one_hot(F.col("own"), k)).drop("features", "own")
+    r = F.array(*[F.when(F.col("own") == c, 1.0).otherwise(0.0) for c in range(k)])  # inside one_hot's lambda, the label would be predicted anew for each cluster
+    return model.transform(ready).withColumn("r", r).drop("features", "own")
 
 
 def fit_best(rows: DataFrame, k: int, starts: int = 2, **options) -> tuple[DataFrame, Model]:

@@ -1,8 +1,8 @@
 """Iterations over a table whose rounds exchange sums of a fixed size.
 
 A task folds blocks of rows into one vector of sums per round and decides the parameters of
-the next.  A table of up to ``ONE_TASK_CELLS`` cells is walked by one executor task, all rounds
-through.  A larger one takes one job a round: partitions are folded where they lie and their
+the next.  A table of up to ``ONE_TASK_CELLS`` cells (twice as many where only an outcome is asked
+for) is walked by one executor task, all rounds through.  A larger one takes one job a round: partitions are folded where they lie and their
 vectors added cell by cell with map-side combination.  What earlier rounds did to a row is
 done again from the parameters since the last copy of the rows, at most ``CHAIN`` of them, so
 a round writes nothing; both ways walk the same rounds.
@@ -74,6 +74,10 @@ class Task:
         """The columns (matrices of doubles) that rounds change."""
         raise NotImplementedError
 
+    def outcome(self, block: Any, params: Any) -> np.ndarray:
+        """Sums over a block after the last round, where they are all that is asked for."""
+        raise NotImplementedError
+
 
 def _replaced(batch: pa.RecordBatch, state: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lists(state[n], batch.column(n).type) if n in state else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
@@ -102,11 +106,58 @@ def _one_task(rows: DataFrame, task: Task) -> tuple[DataFrame, Any]:
     return got.filter(F.col("params").isNull()).drop("params"), params
 
 
+def _one_task_outcome(rows: DataFrame, task: Task) -> tuple[Any, np.ndarray | None]:
+    def walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [task.load(b) for b in batches if b.num_rows]
+        if not blocks:
+            return
+        block, params, done, step = task.join(blocks), None, False, 0
+        while not done:
+            params, done = task.decide(task.advance(block, params), params, step)
+            step += 1
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((params, task.outcome(block, params)))], pa.binary())], names=["got"])
+
+    got = rows.coalesce(1).mapInArrow(walk_all, "got binary").collect()  # one row
+    return pickle.loads(got[0]["got"]) if got else (None, None)
+
+
+def _total(rows: DataFrame, sums: Any) -> np.ndarray:
+    """What ``sums`` gives for the batches, added cell by cell."""
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = sums(batch)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([lists(total[None, :])], names=["v"])
+
+    cells = rows.mapInArrow(folded, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+    got = cells.collect()  # as many rows as the parameters have numbers, about
+    vector = np.zeros(len(got))
+    for r in got:
+        vector[r["at"]] = r["v"]
+    return vector
+
+
 def walk(rows: DataFrame, task: Task, width: int) -> tuple[DataFrame, Any]:
     """The settled ``rows`` after the last round, and the parameters that it gave; ``width`` is a row's cells."""
     if rows.count() * width <= ONE_TASK_CELLS:
         return _one_task(rows, task)
+    rows, params, _ = _many_tasks(rows, task)
+    return rows, params
 
+
+def outcome(rows: DataFrame, task: Task, width: int) -> tuple[Any, np.ndarray | None]:
+    """The parameters after the last round of the ``rows`` and the task's outcome; writes no table, so a task holds twice the cells."""
+    if rows.count() * width <= 2 * ONE_TASK_CELLS:
+        return _one_task_outcome(rows, task)
+    _, params, sums = _many_tasks(settle(rows), task, ends=True)
+    return params, sums
+
+
+def _many_tasks(rows: DataFrame, task: Task, ends: bool = False) -> tuple[DataFrame, Any, np.ndarray | None]:
     def caught_up(batch: pa.RecordBatch, chain: list) -> Any:
         block = task.load(batch)
         for params in chain:
@@ -118,23 +169,12 @@ def walk(rows: DataFrame, task: Task, width: int) -> tuple[DataFrame, Any]:
     while not done:
         behind, now = list(chain), params
 
-        def sums(batches: Iterator[pa.RecordBatch], behind=behind, now=now) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                if batch.num_rows:
-                    own = task.advance(caught_up(batch, behind), now)
-                    total = own if total is None else total + own
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([lists(total[None, :])], names=["v"])
-
-        cells = rows.mapInArrow(sums, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
-        got = cells.collect()  # as many rows as the parameters have numbers, about
-        vector = np.zeros(len(got))
-        for r in got:
-            vector[r["at"]] = r["v"]
+        vector = _total(rows, lambda batch, behind=behind, now=now: task.advance(caught_up(batch, behind), now))
         chain.append(params)
         params, done = task.decide(vector, params, step)
         step += 1
+        if done and ends:
+            return rows, params, _total(rows, lambda batch, behind=list(chain), now=params: task.outcome(caught_up(batch, behind), now))
         if done or len(chain) >= CHAIN:
             passed = list(chain)
 
@@ -144,4 +184,4 @@ def walk(rows: DataFrame, task: Task, width: int) -> tuple[DataFrame, Any]:
                         yield _replaced(batch, task.state(caught_up(batch, passed)))
 
             rows, chain = settle(rows.mapInArrow(copied, rows.schema)), []
-    return rows, params
+    return rows, params, None

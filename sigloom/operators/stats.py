@@ -369,13 +369,16 @@ class Filling(rounds.Task):
         return [np.concatenate([b[k] for b in blocks]) for k in (0, 1)]
 
     def advance(self, block: list[np.ndarray], params: dict | None) -> np.ndarray:
-        x, miss = block
-        moved = size = 0.0
-        if params is not None:
-            new = np.where(miss, x @ params["project"], x)
-            moved, size = float(((new - x)[miss] ** 2).sum()), float((new[miss] ** 2).sum())
-            block[0] = x = new
-        return np.concatenate([[moved, size], (x.T @ x).ravel()])
+        moved, size, products = 0.0, 0.0, np.zeros((block[0].shape[1],) * 2)
+        for low in range(0, len(block[0]), 2048):  # what is held of so many rows stays in the processor's cache
+            x, miss = (v[low : low + 2048] for v in block)
+            if params is not None:
+                at = np.flatnonzero(miss)
+                new, old = (x @ params["project"]).ravel()[at], x.ravel()[at]
+                moved, size = moved + float(((new - old) ** 2).sum()), size + float((new**2).sum())
+                x.ravel()[at] = new
+            products += x.T @ x
+        return np.concatenate([[moved, size], products.ravel()])
 
     def decide(self, sums: np.ndarray, params: dict | None, step: int) -> tuple[dict, bool]:
         if params is not None and (sums[0] <= self.tol**2 * sums[1] or step >= self.most):

@@ -239,34 +239,36 @@ def masked_rows(spark, sf_dir, seed="mask"):
     return own.join(rows(spark, sf_dir).select("pep_id", "codes"), "pep_id")
 
 
-def _error(got, truth):
-    cells = got.join(truth, "pep_id").select(F.explode(F.arrays_zip("x", "miss", "truth")).alias("c")).filter("c.miss and c.truth is not null")
+def _error(got):
+    cells = got.select(F.explode(F.arrays_zip("x", "miss", "truth")).alias("c")).filter("c.miss and c.truth is not null")
     return cells.agg(F.sum(F.pow(F.col("c.x") - F.col("c.truth"), 2))).first()[0]
 
 
 def imputation_errors(spark, sf_dir, pairs, runs=1):
     """run, clusters, weight, method, sse at hidden cells, of the mixture for each pair and of the baselines; runs differ in what is hidden.
 
-    Fits are independent and go to the cluster side by side.
+    Fits are independent and go to the cluster side by side, the largest first; one cluster has but one start.
     """
-    bg = background_weights(spark, sf_dir)
     out = []
     for run in range(runs):
-        given = mixture.settle(masked_rows(spark, sf_dir, f"mask{run or ''}"))
-        truth = given.select("pep_id", "truth")
-        start = stats.soft_fill(given.drop("truth"))
-        starts = {(k, s): mixture.settle(mixture.kmeans_start(start, k, s)) for k in sorted({k for k, _ in pairs}) for s in (1, 2)}
-
-        def one(pair, run=run, truth=truth, starts=starts):
-            k, weight = pair
-            fits = [mixture.fit(starts[k, s], k, "binomial", weight, bg) for s in (1, 2)]
-            got, model = max(fits, key=lambda f: f[1].bounds[-1])
-            return run, k, weight, "mixture", _error(mixture.imputed(got, model), truth)
-
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-            out += pool.map(one, pairs)
-        base = [(r["method"], r["sse"]) for r in _baseline_errors(experiments(spark, sf_dir)).collect()] if not run else []  # three rows
-        base.append(("low_rank", _error(stats.low_rank_fill(given.drop("truth", "codes"), 5, tol=1e-5), truth)))
+        with ThreadPoolExecutor(2 * max(FITS_AT_ONCE, spark.sparkContext.defaultParallelism)) as pool:  # some only wait for their start
+            background = pool.submit(background_weights, spark, sf_dir)
+            given = mixture.settle(masked_rows(spark, sf_dir, f"mask{run or ''}"))
+            low_rank = pool.submit(lambda given=given: _error(stats.low_rank_fill(given.drop("codes"), 5, tol=1e-5)))
+            plain = pool.submit(lambda run=run: [(r["method"], r["sse"]) for r in _baseline_errors(experiments(spark, sf_dir)).collect()] if not run else [])  # three rows
+            start = stats.soft_fill(given)
+
+            def one(own, k, weight, background=background):
+                error, model = mixture.imputation_error(own.result(), k, "binomial", weight, background.result())
+                return model.bounds[-1], error
+
+            fits = {}
+            for k in sorted({k for k, _ in pairs}, reverse=True):
+                starts = [pool.submit(mixture.kmeans_start, start, k, s, True) for s in ((1, 2) if k > 1 else (1,))]
+                for weight in sorted({w for c, w in pairs if c == k}, reverse=True):
+                    fits[k, weight] = [pool.submit(one, own, k, weight) for own in starts]
+        out += [(run, k, weight, "mixture", max((f.result() for f in fits[k, weight]), key=lambda f: f[0])[1]) for k, weight in pairs]
+        base = [*plain.result(), ("low_rank", low_rank.result())]
         out += [(run, k, weight, method, sse) for k, weight in pairs for method, sse in base]
     return spark.createDataFrame([(r, k, w, m, round(float(e), 2)) for r, k, w, m, e in out], "run int, clusters int, weight double, method string, sse double")
 

@@ -271,6 +271,48 @@ def test_block_steps_are_those_of_the_columns(spark):
     assert special.betainc_many(a, b, np.minimum(x, 1.0)) == pytest.approx([special.betainc(*v) for v in zip(a, b, np.minimum(x, 1.0), strict=True)], abs=1e-12)
 
 
+@pytest.mark.parametrize("weight", [0.0, 0.5])
+def test_imputation_error_is_that_of_the_fit(spark, monkeypatch, weight):
+    given = base.rows(spark, SF, hide=True).drop("r").withColumn("truth", F.transform("x", lambda v, i: F.when(i % 5 > 0, F.coalesce(v, i * 0.01)))).cache()
+    full = mixture.filled(given, mixture.sample_means(given)).repartition(3).cache()
+    start = mixture.kmeans_start(full, 4, 1, full=True).cache()
+    assert sorted((r["pep_id"], r["r"]) for r in start.collect()) == sorted((r["pep_id"], r["r"]) for r in mixture.kmeans_start(full, 4, 1).collect())
+    got, model = mixture.fit(start, 4, weight=weight, background=[0.05] * 220, most=5, tol=0.0)
+    cells = mixture.imputed(got, model).select(F.explode(F.arrays_zip("x", "miss", "truth")).alias("c")).filter("c.miss and c.truth is not null")
+    error = cells.agg(F.sum(F.pow(F.col("c.x") - F.col("c.truth"), 2))).first()[0]
+    for cells, chain in ((1 << 30, 8), (0, 2)):
+        monkeypatch.setattr(rounds, "ONE_TASK_CELLS", cells)
+        monkeypatch.setattr(rounds, "CHAIN", chain)
+        found, own = mixture.imputation_error(start, 4, weight=weight, background=[0.05] * 220, most=5, tol=0.0)
+        assert found == pytest.approx(error) and own.bounds == pytest.approx(model.bounds)
+
+
+def test_labels_are_predicted_once_a_row(spark):
+    start = mixture.kmeans_start(base.rows(spark, SF).drop("r"), 4, 1)
+    assert " AS own#" in start._jdf.queryExecution().optimizedPlan().toString()  # a column of its own, not a part of r's expression
+
+
+def test_narrow_far_clusters_keep_their_digits_and_blocks_of_any_size_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3)) + np.array([0, 1e4, 0])
+    codes = np.arange(11) * 20 + rng.integers(0, 20, (500, 11))
+    means, variances = np.array([[0, 1e4, 0], [0, -1e4, 0], [1, 1e4, 1]]), np.array([[1e-6] * 3, [1.0] * 3, [1.0] * 3])
+    model = mixture.Model(means.tolist(), variances.tolist(), np.log([0.2, 0.3, 0.5]).tolist(), rng.random((3, 220)).tolist(), "binomial", 2.0)
+    plain = np.array([[model.log_pi[c] - 0.5 * (3 * math.log(2 * math.pi) + np.log(variances[c]).sum() + ((v - means[c]) ** 2 / variances[c]).sum()) + 2 * math.log(sum(model.table[c][i] for i in own)) for c in range(3)] for v, own in zip(x, codes, strict=True)])
+    block = lambda: mixture.Block(x.copy(), np.zeros(x.shape, bool), codes, np.ones((500, 3)) / 3)
+    got = mixture.joint(block(), mixture.terms(model))
+    assert np.allclose(got, plain, rtol=1e-12, atol=1e-7)
+    found = []
+    for size in (7, 1 << 20):
+        monkeypatch.setattr(mixture, "AT_ONCE", size)
+        found.append(mixture.Rounds(3, 3, "binomial", 2.0, [0.05] * 220, 5, 0.0).advance(block(), model))
+    assert np.allclose(*found)
+    r = np.exp(plain - plain.max(axis=1, keepdims=True))
+    r /= r.sum(axis=1, keepdims=True)
+    counts = np.array([[r[(codes == code).any(axis=1), c].sum() for code in range(220)] for c in range(3)])
+    assert np.allclose(found[0][-660:], counts.ravel(), atol=1e-6)
+
+
 def test_soft_fill_keeps_seen_cells_and_agrees_in_many_tasks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     full = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 6))
